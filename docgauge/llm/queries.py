@@ -25,8 +25,46 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"), limit=4096)
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docgauge.llm.packing import pack
+
+    return pack(_documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), capacity=2048, end_id=0)
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docgauge.llm.lines import without_repeated_lines
+
+    kept = without_repeated_lines(_documents(spark, sf_dir), min_chars=10)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_best_fit_packing": op1_best_fit_packing,
     "op4_token_counts": op4_token_counts,
+    "op8_line_dedup": op8_line_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: White space at the ends, as RE2 writes it.
+_ENDS = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
+
+_LINES = rf"""
+lines AS (
+  SELECT doc_id, line, position,
+         translate(regexp_replace(line, '{_ENDS}', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+               generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS position
+        FROM documents)
+),
+firsts AS (
+  SELECT key, min(doc_id) AS first_doc FROM lines WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) >= 2
+)"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op8_line_dedup": f"""
+WITH {_LINES}
+SELECT l.doc_id, count(*) AS n_lines,
+       count(*) FILTER (WHERE f.first_doc < l.doc_id) AS n_dropped,
+       sha256(coalesce(string_agg(l.line, chr(10) ORDER BY l.position) FILTER (WHERE f.first_doc IS NULL OR f.first_doc >= l.doc_id), '')) AS kept_sha256
+FROM lines l LEFT JOIN firsts f ON l.key = f.key
+GROUP BY l.doc_id""",
+}
