@@ -31,6 +31,12 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), capacity=2048, end_id=0)
 
 
+def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docgauge.llm.simhash import near_duplicates
+
+    return near_duplicates(_documents(spark, sf_dir), words=3)
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docgauge.llm.lines import without_repeated_lines
 
@@ -41,6 +47,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op4_token_counts": op4_token_counts,
+    "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op8_line_dedup": op8_line_dedup,
 }
 
