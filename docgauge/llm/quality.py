@@ -108,7 +108,7 @@ def rules() -> dict[str, Column]:
         "repetition": _vote(repeated > 0.3, repeated < 0.15, words >= 20),
         "copied_lines": _vote(copied > 0.5, copied == 0, lines >= 3),
         "word_length": _vote((length < 2.5) | (length > 10), length.between(3.5, 7.5), words >= 20),
-        "line_ends": _vote(ended < 0.1, ended > 0.7, lines > 0),
+        "line_ends": _vote(ended < 0.1, ended > 0.7, lines >= 3),
         "vocabulary": _vote(distinct < 0.15, distinct > 0.3, words.between(50, 2000)),
     }
 
@@ -133,7 +133,8 @@ def fit(patterns: DataFrame, names: list[str], iterations: int = 20, tolerance:
 
     Starts from rules that seldom fire, and then mostly on bad documents.  A rule is held to vote bad more
     often on bad documents than on good ones, on which it may be wrong in one case of
-    fifty at most (a rule that fires alone is otherwise taken for noise); two documents' worth of the starting belief is kept for rules that
+    fifty at most (a rule that fires alone is otherwise taken for noise) and in one of 500 at
+    least (no rule is above doubt); two documents' worth of the starting belief is kept for rules that
     hardly vote.
     """
     now = Accuracies(0.7, dict.fromkeys(names, 0.01), dict.fromkeys(names, 0.3))
@@ -147,7 +148,7 @@ def fit(patterns: DataFrame, names: list[str], iterations: int = 20, tolerance:
         s = scored.agg(*sums).first()
         if not s["n"]:
             return now
-        on_good = {v: min(max((s[f"{v}_good_bad"] + 0.1) / (s[f"{v}_good_votes"] + 2), 1e-4), 0.02) for v in names}
+        on_good = {v: min(max((s[f"{v}_good_bad"] + 0.1) / (s[f"{v}_good_votes"] + 2), 0.002), 0.02) for v in names}
         on_bad = {v: min(max((s[f"{v}_all_bad"] - s[f"{v}_good_bad"] + 1) / (s[f"{v}_all_votes"] - s[f"{v}_good_votes"] + 2), on_good[v] + 0.02), 0.999) for v in names}
         new = Accuracies(min(max(s["good"] / s["n"], 0.02), 0.98), on_good, on_bad)
         change = max(abs(new.share - now.share), *(abs(new.on_bad[v] - now.on_bad[v]) for v in names))
