@@ -12,6 +12,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+
+
 def vocabulary(name: str) -> str:
     """The place of a public vocabulary file."""
     import public_tokenizers
@@ -44,6 +48,17 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir), words=3)
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docgauge.llm.secret_scan import find_secrets
+
+    open_ = F.filter("spans", lambda s: s["layers"] == "")
+    count = lambda kind: F.size(F.filter(open_, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    name = lambda s: F.when(s["layers"] == "", s["kind"]).otherwise(F.concat_ws("/", s["layers"], s["kind"]))
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", name(s), s["start"], s["end"])), ",")
+    found = find_secrets(_documents(spark, sf_dir))
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(open_), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docgauge.llm.lines import without_repeated_lines
 
@@ -51,12 +66,20 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docgauge.llm.decontam import contaminated
+
+    return contaminated(_documents(spark, sf_dir), _benchmark(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op3_quality_rules": op3_quality_rules,
     "op4_token_counts": op4_token_counts,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op7_secret_scan": op7_secret_scan,
     "op8_line_dedup": op8_line_dedup,
+    "op9_benchmark_decontamination": op9_benchmark_decontamination,
 }
 
 #: White space at the ends, as RE2 writes it.
