@@ -17,7 +17,8 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     """Links every larger (large) or not larger (small) neighbour of a node to the least node around it."""
     down = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     around = down.union(down.select("v", "u")) if large else down
-    least = around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    # Written out, so that the join deals both sides anew and Spark can split a node with very many neighbours.
+    least = stored(around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
     found = around.join(least.hint("shuffle_hash"), "u")
     moved = found.filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     if not large:

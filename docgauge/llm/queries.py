@@ -35,6 +35,13 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), capacity=2048, end_id=0)
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docgauge.llm.substrings import without_repeats
+
+    kept = without_repeats(_documents(spark, sf_dir), length=20)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docgauge.llm.quality import quality
 
@@ -74,6 +81,7 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_quality_rules": op3_quality_rules,
     "op4_token_counts": op4_token_counts,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
@@ -98,6 +106,30 @@ firsts AS (
 )"""
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_substring_dedup": r"""
+WITH split AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+),
+windows AS (
+  SELECT doc_id, place, array_to_string(words[place:place + 19], ' ') AS sequence
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS place FROM split)
+),
+later AS (
+  SELECT doc_id, place FROM (SELECT doc_id, place, row_number() OVER (PARTITION BY sequence ORDER BY doc_id, place) AS n FROM windows) WHERE n > 1
+),
+covered AS (
+  SELECT DISTINCT doc_id, place + step AS place FROM later, range(20) AS steps(step)
+),
+each_word AS (
+  SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS place FROM split
+),
+kept AS (
+  SELECT e.doc_id, string_agg(e.word, ' ' ORDER BY e.place) AS text, count(*) AS n
+  FROM each_word e LEFT JOIN covered c ON e.doc_id = c.doc_id AND e.place = c.place
+  WHERE c.place IS NULL GROUP BY e.doc_id
+)
+SELECT s.doc_id, len(s.words) AS n_words, len(s.words) - coalesce(k.n, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM split s LEFT JOIN kept k ON s.doc_id = k.doc_id""",
     "op8_line_dedup": f"""
 WITH {_LINES}
 SELECT l.doc_id, count(*) AS n_lines,

@@ -49,3 +49,11 @@ def id_from(key: str = "_key") -> Column:
 def whole_text() -> Column:
     """The text, empty where it is null."""
     return F.coalesce(F.col("text"), F.lit(""))
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished jobs now rather than at its next periodic collection."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
