@@ -79,6 +79,13 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contaminated(_documents(spark, sf_dir), _benchmark(spark, sf_dir))
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docgauge.llm.lmscore import backoff_scores
+
+    scores = backoff_scores(_documents(spark, sf_dir), order=3, alpha=0.4)
+    return scores.select("doc_id", "n_words", "n_backed_off", F.round("log_score", 5).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_substring_dedup": op2_substring_dedup,
@@ -88,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_secret_scan": op7_secret_scan,
     "op8_line_dedup": op8_line_dedup,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
+    "op10_lm_scoring": op10_lm_scoring,
 }
 
 #: White space at the ends, as RE2 writes it.
@@ -106,6 +114,39 @@ firsts AS (
 )"""
 
 ORACLE_SQL: dict[str, str] = {
+    "op10_lm_scoring": r"""
+WITH split AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+),
+words AS (
+  SELECT doc_id, len(words) AS n_words, place, words[place] AS g1,
+         CASE WHEN place > 1 THEN words[place - 1] || ' ' || words[place] END AS g2,
+         CASE WHEN place > 2 THEN words[place - 2] || ' ' || words[place - 1] || ' ' || words[place] END AS g3
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS place FROM split)
+),
+others AS (
+  SELECT doc_id, place, (SELECT count(*) FROM words) - n_words AS c0,
+         count(*) OVER (PARTITION BY g1) - count(*) OVER (PARTITION BY doc_id, g1) AS c1,
+         CASE WHEN place > 1 THEN count(*) OVER (PARTITION BY g2) - count(*) OVER (PARTITION BY doc_id, g2) END AS c2,
+         CASE WHEN place > 2 THEN count(*) OVER (PARTITION BY g3) - count(*) OVER (PARTITION BY doc_id, g3) END AS c3
+  FROM words
+),
+histories AS (
+  SELECT *, lag(c1) OVER before AS h1, lag(c2) OVER before AS h2 FROM others WINDOW before AS (PARTITION BY doc_id ORDER BY place)
+),
+scored AS (
+  SELECT doc_id,
+         CASE WHEN c3 > 0 THEN ln(c3 / h2)
+              WHEN c2 > 0 THEN ln(c2 / h1) + CASE WHEN place > 2 THEN ln(0.4) ELSE 0 END
+              ELSE CASE WHEN c1 > 0 THEN ln(c1 / c0) ELSE -ln(c0 + 1) END + least(place - 1, 2) * ln(0.4) END AS score,
+         CASE WHEN place = 1 OR c3 > 0 OR (place = 2 AND c2 > 0) THEN 0 ELSE 1 END AS backed
+  FROM histories
+)
+SELECT s.doc_id, len(s.words) AS n_words, CAST(coalesce(sum(d.backed), 0) AS BIGINT) AS n_backed_off,
+       round(coalesce(sum(d.score), 0), 5) AS log_score, round(sum(d.score) / nullif(len(s.words), 0), 6) AS mean_log_score
+FROM split s LEFT JOIN scored d ON s.doc_id = d.doc_id
+GROUP BY s.doc_id, len(s.words)""",
     "op2_substring_dedup": r"""
 WITH split AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
