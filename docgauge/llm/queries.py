@@ -55,6 +55,15 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir), words=3)
 
 
+def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docgauge.llm.pii import TYPES, with_surrogates
+
+    # A demonstration key; real runs pass their own.
+    made = with_surrogates(_documents(spark, sf_dir), key=b"docgauge demonstration key")
+    count = lambda kind: F.size(F.filter("entities", lambda e: e["type"] == kind)).cast("long").alias(f"n_{kind}")
+    return made.select("doc_id", *[count(kind) for kind in TYPES], "text")
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docgauge.llm.secret_scan import find_secrets
 
@@ -92,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op4_token_counts": op4_token_counts,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op6_pii_surrogates": op6_pii_surrogates,
     "op7_secret_scan": op7_secret_scan,
     "op8_line_dedup": op8_line_dedup,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
