@@ -1,0 +1,110 @@
+"""Hand-computed evaluations."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from docgauge.functions import columns as C
+from docgauge.operators import metrics
+from docgauge.plans.evaluate import as_maps, evaluate
+from docgauge.schemas import CANONICAL, GROUND_TRUTH
+
+BOX = {"title": (0, 0, 10, 2), "paragraph": (0, 3, 10, 5), "table": (0, 6, 10, 9), "formula": (0, 10, 10, 12)}
+
+
+def block(at, kind, text, order=None, cells=(), latex=None):
+    box = dict(zip(("x1", "y1", "x2", "y2"), map(float, BOX[kind]), strict=True))
+    made = [{"row": r, "column": c, "row_span": 1, "column_span": 1, "text": t} for r, c, t in cells]
+    return {"id": f"b{at}", "type": kind, "page_number": 1, "reading_order": at if order is None else order, "text": text, "bbox": box, "latex": latex, "cells": made}
+
+
+def document(*blocks, text="제목 본문 123456-1234567"):
+    return {"document_id": "d1", "full_text": text, "pages": [{"page_number": 1, "text": text, "blocks": list(blocks)}]}
+
+
+TRUTH = document(block(0, "title", "제목"), block(1, "paragraph", "본문 123456-1234567"), block(2, "table", "", cells=[(0, 0, "A"), (0, 1, "B")]), block(3, "formula", "x^2+y^2"))
+WORSE = document(
+    block(0, "title", "제목", order=3), block(1, "paragraph", "본문 123456-1234567"), block(2, "table", "", cells=[(0, 0, "A")]), block(3, "formula", "x^2+y^2", order=0), text="제목 오인식"
+)
+
+
+def scores(spark, prediction, truth_entities, found_entities, truth=TRUTH):
+    runs = spark.createDataFrame([{**prediction, "run_id": "r1"}], CANONICAL)
+    gold = spark.createDataFrame([{**truth, "pii_entities": truth_entities}], GROUND_TRUTH)
+    deid = spark.createDataFrame([("r1", found_entities)], "run_id string, entities array<struct<type: string, start: int, end: int>>")
+    (row,) = evaluate(runs, gold, deid).collect()
+    return row
+
+
+RRN = {"type": "RRN", "start": 6, "end": 20}
+
+
+def test_perfect_prediction(spark):
+    row = scores(spark, TRUTH, [RRN], [RRN])
+    for name in ("text_accuracy", "page_count_accuracy", "layout_f1_iou50", "layout_mean_iou", "table_teds", "table_structure_f1", "table_content_accuracy", "reading_order_accuracy", "reading_order_coverage", "formula_accuracy", "pii_f1", "overall_quality"):
+        expected = 1.0 if name != "reading_order_coverage" else 0.75  # the table has no text to match
+        assert row[name] == expected, name
+    assert row["text_cer"] == 0 and row["matched_cells"] == 2 and row["text_edit_distance"] == 0
+
+
+def test_worse_prediction(spark):
+    row = scores(spark, WORSE, [RRN], [{**RRN, "type": "PHONE"}])
+    assert 0 < row["text_cer"] <= 1 and row["table_structure_recall"] == 0.5 and row["table_teds"] < 1
+    assert row["reading_order_accuracy"] < 1 and row["prediction_cells"] == 1
+    assert (row["pii_precision"], row["pii_recall"], row["pii_f1"], row["pii_leakage_rate"]) == (0, 0, 0, 1)
+
+
+def test_nothing_to_measure_is_null(spark):
+    plain = document(text="가나다")
+    row = scores(spark, plain, [], [], truth=document(text="가"))
+    assert row["text_cer"] == 2 and round(row["text_accuracy"], 6) == round(1 / 3, 6)
+    for name in ("layout_f1_iou50", "table_teds", "reading_order_accuracy", "formula_accuracy", "pii_f1", "pii_leakage_rate"):
+        assert row[name] is None, name
+    assert row["ground_truth_tables"] == 0
+    runs = spark.createDataFrame([{**TRUTH, "run_id": "r1"}], CANONICAL)
+    gold = spark.createDataFrame([{**TRUTH, "pii_entities": []}], GROUND_TRUTH)
+    (maps,) = as_maps(evaluate(runs, gold)).collect()
+    assert maps["metrics"]["text_accuracy"] == 1.0 and maps["sample_counts"]["matched_cells"] == 2
+
+
+def test_one_sided_tables(spark):
+    row = scores(spark, document(block(0, "title", "제목")), [RRN], [])
+    assert row["table_teds"] == 0 and row["table_structure_recall"] == 0 and row["pii_recall"] == 0 and row["pii_precision"] is None and row["pii_f1"] == 0
+
+
+def test_f1_nulls(spark):
+    p, r, f = C.f1_scores(F.col("tp"), F.col("fp"), F.col("fn"))
+    rows = spark.createDataFrame([(0, 0, 0), (0, 2, 0), (0, 1, 1), (1, 1, 0)], "tp int, fp int, fn int").select(p, r, f).collect()
+    assert [tuple(x) for x in rows] == [(None, None, None), (0.0, None, 0.0), (0.0, 0.0, 0.0), (0.5, 1.0, pytest.approx(2 / 3))]
+
+
+def test_greedy_matching_prefers_overlap(spark):
+    rows = [("r", 1, "t", 0.9, 0, 0), ("r", 1, "t", 0.8, 0, 1), ("r", 1, "t", 0.7, 1, 0), ("r", 1, "t", 0.6, 1, 1), ("r", 1, "t", 0.6, 2, 1)]
+    candidates = spark.createDataFrame(rows, "run_id string, page_number int, type string, overlap double, g int, p int")
+    found = {(x["g"], x["p"]) for x in metrics.greedy_matches(candidates, ["run_id", "page_number", "type"]).collect()}
+    assert found == {(0, 0), (2, 1)}
+
+
+def test_inversions(spark):
+    matches = spark.createDataFrame([("r", 0, 0), ("r", 2, 1), ("r", 1, 2), ("s", 3, 0)], "run_id string, g int, p int")
+    assert {x["run_id"]: (x["n_matched"], x["n_inversions"]) for x in metrics.inversions(matches).collect()} == {"r": (3, 1), "s": (1, 0)}
+
+
+def test_table_similarity():
+    two = {0: [("0:1:1", "A"), ("1:1:1", "B")]}
+    assert metrics.teds_style(two, two, True) == 1
+    assert metrics.teds_style(two, {0: [("0:1:1", "A")]}, False) == 1 - 1 / 4
+    assert metrics.teds_style(two, {0: [("0:1:1", "A"), ("1:1:1", "C")]}, True) == 1 - 1 / 4
+    assert metrics.levenshtein("kitten", "sitting") == 3
+
+
+def test_text_functions(spark):
+    text = "ｆｕｌｌ　width\r\n x "
+    (row,) = spark.createDataFrame([(text, None)], "a string, b string").select(C.normalize_text("a").alias("a"), C.normalize_text("b").alias("b"), C.normalize_space(F.col("a")).alias("c")).collect()
+    assert row["a"] == "full width x" and row["b"] == "" and row["c"] == "ｆｕｌｌ width x"
+    long = "x" * 3000
+    rows = spark.createDataFrame([("kitten", "sitting"), (long, "y" * 3000), ("", "")], "a string, b string")
+    assert [r[0] for r in rows.select(C.edit_distance(F.col("a"), F.col("b"))).collect()] == [3, 3000, 0]
+    safe = spark.createDataFrame([("=HYPERLINK('bad')",), ("+command",), ("normal",)], "t string").select(C.csv_safe(F.col("t"))).collect()
+    assert [r[0] for r in safe] == ["'=HYPERLINK('bad')", "'+command", "normal"]
+    hashes = spark.createDataFrame([('{"b": 1, "a": "x"}',), ('{"a":"x","b":1}',), (None,)], "c string").select(C.config_hash(F.col("c")).alias("h")).collect()
+    assert hashes[0]["h"] == hashes[1]["h"] != hashes[2]["h"] and len(hashes[2]["h"]) == 12
