@@ -105,3 +105,18 @@ def result_sizes(results: DataFrame) -> DataFrame:
 def token_usage(answers: DataFrame, keys: list[str]) -> DataFrame:
     """Calls and summed token counts; missing counts are 0."""
     return answers.groupBy(*keys).agg(F.count("*").alias("calls"), *[F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in ("input_tokens", "output_tokens", "total_tokens")])
+
+
+def with_snapshots(runs: DataFrame, connectors: DataFrame) -> DataFrame:
+    """Runs (parser_id) with parser_name, parser_version and adapter as their connector (parser_id, name, model_version, adapter) has them now."""
+    now = connectors.select("parser_id", F.col("name").alias("parser_name"), F.col("model_version").alias("parser_version"), F.col("adapter").alias("parser_adapter"))
+    return runs.join(now, "parser_id", "left")
+
+
+def trace(stages: dict[str, DataFrame], keys: list[str]) -> DataFrame:
+    """keys, stage_at, stage, row (JSON): the rows of all stages in their order, whatever their columns."""
+    made = [df.select(*keys, F.lit(i).alias("stage_at"), F.lit(name).alias("stage"), F.to_json(F.struct(*[c for c in df.columns if c not in keys])).alias("row")) for i, (name, df) in enumerate(stages.items())]
+    whole = made[0]
+    for rows in made[1:]:
+        whole = whole.unionByName(rows)
+    return whole

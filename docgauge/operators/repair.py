@@ -105,3 +105,8 @@ def interactions(scored: DataFrame) -> DataFrame:
     """case_id, repeat_id, interaction_count (gain of both repairs beyond the sum of each) and no_op_net_change."""
     gains = scored.groupBy("case_id", "repeat_id").pivot("condition", list(CONDITIONS)).agg(F.first("net_recovery"))
     return gains.select("case_id", "repeat_id", (F.col("AB") - F.col("A") - F.col("B")).alias("interaction_count"), F.col("no_op").alias("no_op_net_change"))
+
+
+def matching_questions(questions: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Questions on documents that have blocks; only the safe fields leave."""
+    return safe_questions(questions).join(blocks.select("document_id").distinct(), "document_id", "left_semi").select(*SAFE_QUESTION_FIELDS)

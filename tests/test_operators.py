@@ -356,3 +356,46 @@ def test_scores_on_arrival(spark, tmp_path):
     scores = {r["run_id"]: r["text_edit_distance"] for r in current_scores(spark.read.parquet(f"{out}/batch=*")).collect()}
     assert scores == {"r1": 1, "r2": 0}
     assert rescored(made(("r1", "abd")), truth, truth.filter("document_id = 'x'")).count() == 0
+
+
+def test_snapshots_trace_and_search(spark):
+    connectors = spark.createDataFrame([(1, "p", "v2", "http")], "parser_id int, name string, model_version string, adapter string")
+    runs = operations.with_snapshots(spark.createDataFrame([("r", 1), ("s", 9)], "run_id string, parser_id int"), connectors)
+    assert {r["run_id"]: (r["parser_name"], r["parser_version"]) for r in runs.collect()} == {"r": ("p", "v2"), "s": (None, None)}
+    stages = {"a": spark.createDataFrame([("r", 1)], "run_id string, x int"), "b": spark.createDataFrame([("r", "z")], "run_id string, y string")}
+    assert [(r["stage_at"], r["stage"], r["row"]) for r in operations.trace(stages, ["run_id"]).orderBy("stage_at").collect()] == [(0, "a", '{"x":1}'), (1, "b", '{"y":"z"}')]
+    rows = spark.createDataFrame([("Alpha", None), ("beta", "ALPHABET"), (None, None)], "a string, b string")
+    assert operations.search(rows, "alpha", "a", "b").count() == 2 and operations.search(rows, "", "a").count() == 3
+    blocks, questions, _ = case(spark, questions=[("c", "q", "d", "?"), ("c", "w", "other", "?")])
+    assert [r["question_id"] for r in repair.matching_questions(questions, blocks).collect()] == ["q"]
+
+
+def test_boards(spark):
+    rows = [("r1", "e", "p", "SUCCEEDED", "NONE", 10, datetime(2024, 1, 7)), ("r2", "e", "p", "FAILED", "NONE", None, datetime(2024, 1, 5)), ("r3", "e", "q", "RUNNING", "NONE", None, datetime(2023, 1, 1))]
+    runs = spark.createDataFrame(rows, "run_id string, experiment_id string, parser_name string, parse_status string, deidentification_status string, latency_ms long, created_at timestamp")
+    assert tuple(operations.board(runs).first()) == (50.0, 10.0, 1, 1)
+    days = operations.daily_histogram(runs, F.lit("2024-01-07").cast("date")).orderBy("day").collect()
+    assert len(days) == 7 and [r["n_runs"] for r in days] == [0, 0, 0, 0, 1, 0, 1]
+    assert [r["parser_name"] for r in operations.by_parser(runs, 1).collect()] == ["p"]
+    stage = runs.select("run_id", operations.retry_stage(F.col("parse_status"), F.lit("FAILED"), F.col("latency_ms").isNotNull()).alias("s"))
+    assert {r["run_id"]: r["s"] for r in stage.collect()} == {"r1": "deidentification", "r2": "parse", "r3": None}
+    scores = spark.createDataFrame([("r1",)], "run_id string")
+    assert tuple(benchmark.recompute_report(runs, scores, ["experiment_id"]).first()) == ("e", 1, 0)
+    assert tuple(benchmark.totals(runs, scores).first()) == (3, 1)
+
+
+def test_entry_without_training_data(tmp_path):
+    """The library works with the training-data folders gone."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    shutil.copytree(root / "docgauge", tmp_path / "docgauge", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(n.startswith('op1') or n == 'pipeline' for n in q) and set(e.oracle_sql()) <= set(q)"
+    for leftover in (False, True):
+        if leftover:
+            (tmp_path / "docgauge" / "llm" / "__pycache__").mkdir(parents=True)
+        subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
