@@ -101,7 +101,8 @@ def _suffixes(docs: DataFrame, length: int, prefix: int) -> DataFrame:
             kind = np.where(later, _LOST, np.where(many, _OPEN, _REP))
             keep = later | new
             h, label, doc, first, more = (x[order] for x in (h, label, doc, first, more))
-            deal = np.where(kind == _REP, h, label)
+            # Finished rows only pass through; they are dealt by their place, so that none of them crowd.
+            deal = np.where(kind == _REP, h, mixed(label ^ mixed(doc.view(np.uint64) * np.uint64(_OTHER_BASE) + first.view(np.uint64))))
             out = pd.DataFrame({"deal": deal.view(np.int64), "label": label.view(np.int64), "doc": doc, "place": first << 8 | more << 2 | kind})[keep]
             marked = np.unique(h[many & new])
             zero = np.zeros(len(marked), np.int64)
