@@ -121,7 +121,7 @@ def run_pairs(texts: DataFrame, base_run: str | None = None) -> DataFrame:
     """Pairs of runs of one experiment (experiment_id, run_id, text): all pairs by run_id, or base_run with every other."""
     a = texts.select("experiment_id", F.col("run_id").alias("base_run"), F.col("text").alias("base"))
     b = texts.select("experiment_id", F.col("run_id").alias("target_run"), F.col("text").alias("target"))
-    both = a.join(b, "experiment_id")
+    both = a.join(b.hint("merge"), "experiment_id")
     return both.filter(F.col("base_run") < F.col("target_run")) if base_run is None else both.filter((F.col("base_run") == base_run) & (F.col("target_run") != base_run))
 
 
@@ -130,8 +130,8 @@ def comparison(runs: DataFrame, results: DataFrame, deidentified: DataFrame, man
     from docgauge.operators.operations import result_sizes
 
     mine = manual.filter(F.col("evaluator_id") == evaluator).drop("evaluator_id", "updated_at")
-    rows = runs.join(results.drop("artifact_manifest"), "run_id", "left").join(result_sizes(results), "run_id", "left")
-    rows = rows.join(deidentified.select("run_id", "detected_entity_count", "masked_entity_count"), "run_id", "left").join(mine, "run_id", "left")
+    rows = runs.join(results.drop("artifact_manifest").hint("merge"), "run_id", "left").join(result_sizes(results).hint("merge"), "run_id", "left")
+    rows = rows.join(deidentified.select("run_id", "detected_entity_count", "masked_entity_count").hint("merge"), "run_id", "left").join(mine.hint("merge"), "run_id", "left")
     return rows.na.fill({"is_preferred": False, "result_size_bytes": 0})
 
 

@@ -32,7 +32,7 @@ def repaired_blocks(blocks: DataFrame, repairs: DataFrame, conditions: list[str]
     names = conditions or list(CONDITIONS)
     selected = F.create_map(*[x for n in names for x in (F.lit(n), F.array(*map(F.lit, CONDITIONS[n])).cast("array<string>"))])
     by_block = repairs.groupBy("case_id", "block_id").agg(F.collect_list(F.struct("candidate_id", "start", "end", "after")).alias("repairs"))
-    rows = blocks.select(*SAFE_BLOCK_FIELDS).join(by_block, ["case_id", "block_id"], "left").withColumn("condition", F.explode(F.array(*map(F.lit, names))))
+    rows = blocks.select(*SAFE_BLOCK_FIELDS).join(by_block.hint("merge"), ["case_id", "block_id"], "left").withColumn("condition", F.explode(F.array(*map(F.lit, names))))
     own = F.filter("repairs", lambda r: F.array_contains(F.element_at(selected, F.col("condition")), r["candidate_id"]))
     text = F.when(F.coalesce(F.size(own), F.lit(0)) > 0, edited(F.col("text"), own)).otherwise(F.col("text"))
     return rows.withColumn("text", text).select("condition", *SAFE_BLOCK_FIELDS)
@@ -47,7 +47,7 @@ def inverse_repairs(repairs: DataFrame) -> DataFrame:
     """Repairs that undo repairs on the text with all of them applied: shifted places, before and after swapped."""
     grown = F.length("after") - F.length("before")
     others = repairs.select("case_id", "block_id", F.col("end").alias("o_end"), grown.alias("grown"))
-    own = repairs.join(others, ["case_id", "block_id"]).groupBy(*repairs.columns).agg(F.sum(F.when(F.col("o_end") <= F.col("start"), F.col("grown")).otherwise(0)).cast("int").alias("shift"))
+    own = repairs.join(others.hint("merge"), ["case_id", "block_id"]).groupBy(*repairs.columns).agg(F.sum(F.when(F.col("o_end") <= F.col("start"), F.col("grown")).otherwise(0)).cast("int").alias("shift"))
     start = F.col("start") + F.col("shift")
     swapped = {"before": F.col("after"), "after": F.col("before"), "start": start, "end": start + F.length("after")}
     return own.select(*[swapped[c].alias(c) if c in swapped else F.col(c) for c in repairs.columns])
@@ -56,7 +56,7 @@ def inverse_repairs(repairs: DataFrame) -> DataFrame:
 def injected(blocks: DataFrame, repairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Blocks with all repairs taken as corruptions, and the repairs that restore them."""
     by_block = repairs.groupBy("case_id", "block_id").agg(F.collect_list(F.struct("start", "end", "after")).alias("repairs"))
-    rows = blocks.join(by_block, ["case_id", "block_id"], "left")
+    rows = blocks.join(by_block.hint("merge"), ["case_id", "block_id"], "left")
     return rows.withColumn("text", F.when(F.col("repairs").isNotNull(), edited(F.col("text"), F.col("repairs"))).otherwise(F.col("text"))).drop("repairs"), inverse_repairs(repairs)
 
 
@@ -78,7 +78,7 @@ def blind_sheet(records: DataFrame, gold: DataFrame) -> DataFrame:
     records: execution_id, question_id, answer, ...
     """
     id_ = stable_id(F.col("execution_id"), F.col("question_id"))
-    return records.withColumn("judgment_id", id_).join(gold.select("question_id", "reference_answer"), "question_id").select("judgment_id", "question_id", "answer", "reference_answer").orderBy("judgment_id")
+    return records.withColumn("judgment_id", id_).join(gold.select("question_id", "reference_answer").hint("merge"), "question_id").select("judgment_id", "question_id", "answer", "reference_answer").orderBy("judgment_id")
 
 
 def outcomes(judged: DataFrame) -> DataFrame:
@@ -88,7 +88,7 @@ def outcomes(judged: DataFrame) -> DataFrame:
     """
     keys = ["case_id", "repeat_id", "question_id"]
     base = judged.filter("condition = 'baseline'").select(*keys, F.col("correct").alias("base"))
-    rows = judged.join(base, keys)
+    rows = judged.join(base.hint("merge"), keys)
     recovered, regressed = F.col("correct") & ~F.col("base"), ~F.col("correct") & F.col("base")
     ids = lambda cond: F.array_sort(F.collect_list(F.when(cond, F.col("question_id"))))
     return rows.groupBy("case_id", "repeat_id", "condition").agg(
@@ -109,4 +109,4 @@ def interactions(scored: DataFrame) -> DataFrame:
 
 def matching_questions(questions: DataFrame, blocks: DataFrame) -> DataFrame:
     """Questions on documents that have blocks; only the safe fields leave."""
-    return safe_questions(questions).join(blocks.select("document_id").distinct(), "document_id", "left_semi").select(*SAFE_QUESTION_FIELDS)
+    return safe_questions(questions).join(blocks.select("document_id").distinct().hint("merge"), "document_id", "left_semi").select(*SAFE_QUESTION_FIELDS)

@@ -101,7 +101,7 @@ def empty_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("base"))
     b = a.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("base").alias("target"))
-    return a.join(b, ["conv_id", "turn"])
+    return a.join(b.hint("merge"), ["conv_id", "turn"])
 
 
 def text_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -220,7 +220,7 @@ def operations_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Latency percentiles, pages a minute and dataset versions of every group, ranked by quality."""
     evaluated = _evaluated(spark, sf_dir)
     quality = evaluated.groupBy(*benchmark.GROUP).agg(F.avg("overall_quality").alias("overall_quality"))
-    rows = benchmark.leaderboard(benchmark.operations(evaluated).join(quality, benchmark.GROUP))
+    rows = benchmark.leaderboard(benchmark.operations(evaluated).join(quality.hint("merge"), benchmark.GROUP))
     return rows.select("parser_name", "n_runs", "n_documents", *[F.round(c, 4).alias(c) for c in ("latency_p50", "latency_p95", "pages_per_minute")], F.array_join("dataset_versions", ",").alias("dataset_versions"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -280,7 +280,7 @@ def inverse_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels as questions: the source's quality judged under every condition."""
-    docs = _table(spark, sf_dir, "labels").join(_table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    docs = _table(spark, sf_dir, "labels").join(_table(spark, sf_dir, "documents").select("doc_id", "source").hint("merge"), "doc_id")
     names = list(repair.CONDITIONS)
     rows = docs.select(F.col("source").alias("case_id"), F.lit(1).alias("repeat_id"), F.col("doc_id").cast("string").alias("question_id"), "quality", "toxic", F.col("doc_id").alias("d"), F.explode(F.array(*map(F.lit, names))).alias("condition"))
     correct = F.when(F.col("condition") == "A", (F.col("quality") == 1) | (F.col("d") % 2 == 0)).when(F.col("condition") == "B", (F.col("quality") == 1) & (F.col("toxic") == 0)).when(F.col("condition") == "AB", F.col("d") % 3 != 0).otherwise(F.col("quality") == 1)
@@ -321,7 +321,7 @@ def leaderboard_of_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = structure.blocks_of(parsed, ["doc_id", "parser_name"]).select("doc_id", "parser_name", normalize_space(F.col("text")).alias("text")).distinct()
     names = F.explode(F.array(*map(F.lit, ("standard", "uppercase", "line_numbered")))).alias("parser_name")
     expected = truth.select("doc_id", "text", names)
-    both = expected.withColumn("g", F.lit(1)).join(found.withColumn("p", F.lit(1)), ["doc_id", "parser_name", "text"], "full_outer")
+    both = expected.withColumn("g", F.lit(1)).join(found.withColumn("p", F.lit(1)).hint("merge"), ["doc_id", "parser_name", "text"], "full_outer")
     per_run = both.groupBy("doc_id", "parser_name").agg(F.count("g").alias("g"), F.count("p").alias("p"), F.count_if(F.col("g").isNotNull() & F.col("p").isNotNull()).alias("tp"))
     tp = F.col("tp")
     from docgauge.functions.columns import f1_scores
