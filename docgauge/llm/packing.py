@@ -42,23 +42,44 @@ _ENCODERS: dict[str, WordEncoder] = {}
 class WordEncoder:
     """Token ids of texts as little-endian bytes; words between white space are encoded once.
 
-    For tokenizers that drop white space and never join what it separates.
+    For byte-level tokenizers that lower-case, drop white space, and join neither across it
+    nor letters with what is none.
     """
 
     def __init__(self, tokenizer_file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.ids: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.spelling = ByteLevel(add_prefix_space=False, use_regex=False)
 
     def _learn(self, words: list[str]) -> None:
+        """Latin words are lower-cased and parted from the punctuation behind them, as the tokenizer does, so that fewer are new."""
+        cut, whole = [], []
+        for word in words:
+            core = word.rstrip(".,!?;:")
+            if core.isalpha() and max(core) < "\u0250" and "\u0130" not in core:
+                cut.append((word, core.lower(), word[len(core) :]))
+            else:
+                whole.append(word)
+        if len(self.parts) > _WORDS_KEPT:
+            self.parts.clear()
+        self._encode(whole, self.ids)
+        parts, spelled, tokenize = self.parts, self.spelling.pre_tokenize_str, self.tokenizer.model.tokenize
+        for part in {part for _, core, tail in cut for part in (core, tail) if part}.difference(parts):
+            parts[part] = np.array([t.id for t in tokenize(spelled(part)[0][0])], "<u4").tobytes()
+        self.ids.update((word, parts[core] + parts[tail] if tail else parts[core]) for word, core, tail in cut)
+
+    def _encode(self, words: list[str], into: dict[str, bytes]) -> None:
         for at in range(0, len(words), 200):  # one call for many words, told apart by their word ids
             some = words[at : at + 200]
             encoded = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
             ids = np.array(encoded.ids, "<u4").tobytes()
             ends = 4 * np.cumsum(np.bincount(np.array(encoded.word_ids, "int64"), minlength=len(some)))
-            self.ids.update(zip(some, map(ids.__getitem__, map(slice, [0, *ends[:-1].tolist()], ends.tolist())), strict=True))
+            into.update(zip(some, map(ids.__getitem__, map(slice, [0, *ends[:-1].tolist()], ends.tolist())), strict=True))
 
     def encode(self, text: str) -> bytes:
         if _ODD_SPACE.search(text):
