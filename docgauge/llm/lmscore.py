@@ -13,8 +13,8 @@ Rows are packed, because one row for each n-gram would be several times the inpu
    explodes its documents into n-grams, pre-aggregates them, and sends its different
    n-gram hashes with counts to the bucket (range of hashes) that they fall into.
 2. A bucket adds the counts of all blocks: its part of the n-gram count table.  It
-   answers every block with the totals of the hashes that the block sent, in their order.
-3. Each block joins the totals with its exploded n-grams and sums per document.
+   answers every block with what the others have of the hashes that it sent, in their order.
+3. Each block joins the answers with its exploded n-grams and sums per document.
 
 Blocks and buckets grow in number with the input, not in size; hashing spreads frequent
 n-grams evenly, since a block sends each only once.
@@ -22,6 +22,7 @@ n-grams evenly, since a block sends each only once.
 
 from __future__ import annotations
 
+import struct
 import zlib
 from math import log
 
@@ -29,6 +30,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from docgauge.llm.stage import doc_key, id_from, release, stored, whole_text
 from docgauge.llm.words import Codes, window_hashes
@@ -39,17 +41,45 @@ BLOCK_BYTES = 8_000_000
 
 
 def _packed(hashes: np.ndarray) -> bytes:
-    """Rising hashes as differences, in as many bytes each as the largest needs."""
-    steps = np.diff(np.r_[np.uint64(0), hashes])
-    width = max(1, (int(steps.max()).bit_length() + 7) // 8)
-    return bytes([width]) + steps.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    """Rising hashes: the first whole, then differences in as many bytes each as the largest needs.
+
+    The highest bytes are alike and stand together, Huffman-coded; the others are random.
+    """
+    steps = np.diff(hashes)
+    width = max(1, (int(steps.max(initial=0)).bit_length() + 7) // 8)
+    planes = steps.astype("<u8").view(np.uint8).reshape(-1, 8)
+    coder = zlib.compressobj(6, zlib.DEFLATED, -15, 9, zlib.Z_HUFFMAN_ONLY)
+    top = coder.compress(planes[:, width - 1].tobytes()) + coder.flush()
+    return struct.pack("<BQI", width, int(hashes[0]), len(top)) + top + planes[:, : width - 1].tobytes()
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    width = data[0]
-    steps = np.zeros((len(data) // width, 8), np.uint8)
-    steps[:, :width] = np.frombuffer(data, np.uint8, offset=1).reshape(-1, width)
-    return np.cumsum(steps.view(np.uint64)[:, 0], dtype=np.uint64)
+    width, first, n_top = struct.unpack_from("<BQI", data)
+    at = struct.calcsize("<BQI")
+    top = np.frombuffer(zlib.decompress(data[at : at + n_top], -15), np.uint8)
+    steps = np.zeros((len(top), 8), np.uint8)
+    steps[:, width - 1] = top
+    steps[:, : width - 1] = np.frombuffer(data, np.uint8, offset=at + n_top).reshape(len(top), width - 1)
+    return np.cumsum(np.r_[np.uint64(first), steps.view("<u8")[:, 0]], dtype=np.uint64)
+
+
+def _ints(values: np.ndarray) -> bytes:
+    """Counts, compressed byte plane by byte plane (nearly all are small)."""
+    return zlib.compress(values.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def _from_ints(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1).T).view("<i8")[:, 0]
+
+
+@F.pandas_udf(BinaryType())
+def _squeezed(texts: pd.Series) -> pd.Series:
+    """Texts as they travel to their blocks."""
+    return texts.map(lambda t: zlib.compress(t.encode(), 1))
+
+
+def _texts(squeezed: pd.Series) -> list[str]:
+    return [zlib.decompress(t).decode() for t in squeezed]
 
 
 class Grams:
@@ -77,31 +107,31 @@ def _asked(keyed: DataFrame, order: int, buckets: int) -> DataFrame:
     """block, n, bucket, hashes, counts: the different n-grams of each block."""
 
     def asked(pdf: pd.DataFrame) -> pd.DataFrame:
-        grams, rows, block = Grams(pdf["text"].tolist(), order, Codes()), [], int(pdf["block"].iloc[0])
+        grams, rows, block = Grams(_texts(pdf["text"]), order, Codes()), [], int(pdf["block"].iloc[0])
         for n, all_ in enumerate(grams.hashes, 1):
             hashes, counts = np.unique(all_, return_counts=True)
             if len(hashes):
                 bucket = _bucket(hashes, buckets)
                 cuts = np.r_[0, np.flatnonzero(np.diff(bucket)) + 1, len(hashes)]
-                rows += [(block, n, int(bucket[a]), _packed(hashes[a:b]), zlib.compress(counts[a:b].astype("<u4").tobytes(), 1)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                rows += [(block, n, int(bucket[a]), _packed(hashes[a:b]), _ints(counts[a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         return pd.DataFrame(rows, columns=["block", "n", "bucket", "hashes", "counts"])
 
     return keyed.select("block", "text").groupBy("block").applyInPandas(asked, "block long, n int, bucket long, hashes binary, counts binary")
 
 
 def _answered(asked: DataFrame) -> DataFrame:
-    """block, n, bucket, totals, all: the corpus counts of what each block asked for; all: n-grams in the bucket's table."""
+    """block, n, bucket, others, all: how often other blocks have what each block asked for; all: n-grams in the bucket's table."""
 
     def answered(pdf: pd.DataFrame) -> pd.DataFrame:
         hashes = [_unpacked(h) for h in pdf["hashes"]]
-        counts = np.concatenate([np.frombuffer(zlib.decompress(c), "<u4") for c in pdf["counts"]]).astype(np.int64)
+        counts = np.concatenate([_from_ints(c) for c in pdf["counts"]])
         _, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
-        totals = np.bincount(inverse, weights=counts).astype(np.int64)[inverse]
+        others = np.bincount(inverse, weights=counts).astype(np.int64)[inverse] - counts
         cuts = np.cumsum([len(h) for h in hashes])[:-1]
-        packed = [zlib.compress(t.astype("<i8").tobytes(), 1) for t in np.split(totals, cuts)]
-        return pdf[["block", "n", "bucket"]].assign(totals=packed, all=int(counts.sum()))
+        packed = [_ints(t) for t in np.split(others, cuts)]
+        return pdf[["block", "n", "bucket"]].assign(others=packed, all=int(counts.sum()))
 
-    return asked.groupBy("n", "bucket").applyInPandas(answered, "block long, n int, bucket long, totals binary, all long")
+    return asked.groupBy("n", "bucket").applyInPandas(answered, "block long, n int, bucket long, others binary, all long")
 
 
 def _own_counts(doc: np.ndarray, gram: np.ndarray, n_grams: int) -> np.ndarray:
@@ -110,16 +140,16 @@ def _own_counts(doc: np.ndarray, gram: np.ndarray, n_grams: int) -> np.ndarray:
     return counts[inverse]
 
 
-def _scores(grams: Grams, totals: list[np.ndarray], all_words: int, alpha: float) -> tuple[np.ndarray, np.ndarray]:
-    """Sum of log scores and number of words that backed off, per document."""
+def _scores(grams: Grams, elsewhere: list[np.ndarray], all_words: int, alpha: float) -> tuple[np.ndarray, np.ndarray]:
+    """Sum of log scores and number of words that backed off, per document; elsewhere: what other blocks have of each order's n-grams."""
     size, order = len(grams.doc), len(grams.hashes)
     others = np.zeros((order + 1, size), np.int64)  # [n, word]: occurrences elsewhere of the n-gram that ends there
     others[0] = all_words - grams.sizes[grams.doc]
     for n in range(1, order + 1):
         ends = grams.ends[n - 1]
         if len(ends):
-            known, gram = np.unique(grams.hashes[n - 1], return_inverse=True)
-            others[n][ends] = totals[n - 1][gram] - _own_counts(grams.doc[ends], gram, len(known))
+            known, gram, counts = np.unique(grams.hashes[n - 1], return_inverse=True, return_counts=True)
+            others[n][ends] = (elsewhere[n - 1] + counts)[gram] - _own_counts(grams.doc[ends], gram, len(known))
     score, open_, backed = np.zeros(size), np.ones(size, bool), np.zeros(size, bool)
     for n in range(order, 0, -1):
         history = others[0] if n == 1 else np.r_[np.int64(0), others[n - 1][:-1]]
@@ -146,20 +176,21 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, bl
     blocks = int(size // block_bytes) + 1
     buckets = max(1, blocks // 2)
     keyed = docs.select(doc_key().alias("_key"), whole_text().alias("text")).withColumn("block", F.pmod(F.xxhash64("_key", F.xxhash64("text")), F.lit(blocks)))
+    keyed = keyed.withColumn("text", _squeezed("text"))
     totals = stored(_answered(_asked(keyed, order, buckets)), "ngram-totals")
     release(docs.sparkSession)
     all_words = int(totals.filter("n = 1").select("bucket", "all").distinct().agg(F.coalesce(F.sum("all"), F.lit(0))).first()[0])
 
     def scored(pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        grams = Grams(pdf["text"].tolist(), order, Codes())
+        grams = Grams(_texts(pdf["text"]), order, Codes())
         answers = answers.sort_values(["n", "bucket"])
         counts = []
         for n in range(1, order + 1):
-            parts = [np.frombuffer(zlib.decompress(t), "<i8") for t in answers.loc[answers["n"] == n, "totals"]]
+            parts = [_from_ints(t) for t in answers.loc[answers["n"] == n, "others"]]
             counts.append(np.concatenate(parts) if parts else np.zeros(0, np.int64))
         total, backed = _scores(grams, counts, all_words, alpha)
         return pd.DataFrame({"_key": pdf["_key"].to_numpy(), "n_words": grams.sizes, "log_score": total, "n_backed_off": backed})
 
-    made = keyed.groupBy("block").cogroup(totals.select("block", "n", "bucket", "totals").groupBy("block")).applyInPandas(scored, "_key long, n_words long, log_score double, n_backed_off long")
+    made = keyed.groupBy("block").cogroup(totals.select("block", "n", "bucket", "others").groupBy("block")).applyInPandas(scored, "_key long, n_words long, log_score double, n_backed_off long")
     mean = F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words"))
     return made.select(id_from(), "n_words", "log_score", mean.alias("mean_log_score"), "n_backed_off")

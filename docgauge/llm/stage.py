@@ -52,8 +52,14 @@ def whole_text() -> Column:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished jobs now rather than at its next periodic collection."""
+    """Lets Spark delete the shuffle files of finished jobs now rather than at its next periodic collection.
+
+    Twice, since the events of the last job may still hold its plan the first time.
+    """
     import gc
+    import time
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
