@@ -131,10 +131,3 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
     return marked.join(classes.hint("shuffle_hash"), "fingerprint").select(
         id_from(), F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), id_from("component").alias("component_id")
     )
-
-
-def one_of_each(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
-    """The documents of docs that are the smallest of their component; the columns stay."""
-    kept = stored(near_duplicates(docs, words).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(doc_key().alias("_key")).distinct(), "kept")
-    own = [c for c in docs.columns if c != "_key"]
-    return docs.select(*own, doc_key().alias("_key")).join(kept.hint("shuffle_hash"), "_key", "left_semi").select(*own)
