@@ -2,8 +2,9 @@
 
 Each text starts a worklist of layers.  A layer is scanned for secrets, then unwrapped:
 percent and Unicode escapes are decoded over the whole layer, base64 segments (also ones
-that hold gzip, zlib, bzip2 or xz data) one by one; each new layer joins the worklist
-until none is new.  A layer that was seen before is not entered again, so cycles end.
+that are wrapped over lines or hold gzip, zlib, bzip2 or xz data) one by one; each new
+layer joins the worklist until none is new.  A layer that equals one around it is not
+entered, so cycles end; one that repeats at another place is.
 Every layer carries a map of its characters to the text, through which its spans are
 reported; a span counts for the layer only if decoding had a part in it.
 """
@@ -13,6 +14,7 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import hashlib
 import lzma
 import re
 import zlib
@@ -33,10 +35,17 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile("AKIA[A-Z0-9]+")
 _HEX = re.compile("[0-9a-f]{24,}")
 
-_PERCENT = re.compile("(?:%[0-9A-Fa-f]{2})+")
+_NEXT = "%[89AB][0-9A-F]"
+#: Runs of whole UTF-8 characters; bytes that are none stay as they stand.
+_PERCENT = re.compile(
+    f"(?:%[0-7][0-9A-F]|%(?:C[2-9A-F]|D[0-9A-F]){_NEXT}|%E0%[AB][0-9A-F]{_NEXT}|%E[1-9A-CEF](?:{_NEXT}){{2}}|%ED%[89][0-9A-F]{_NEXT}"
+    f"|%F0%[9AB][0-9A-F](?:{_NEXT}){{2}}|%F[1-3](?:{_NEXT}){{3}}|%F4%8[0-9A-F](?:{_NEXT}){{2}})+",
+    re.IGNORECASE | re.ASCII,
+)
 _UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2}|&#x[0-9A-Fa-f]{1,6};|&#[0-9]{1,7};)+")
 _ESCAPE = re.compile(r"\\[uU]\{?([0-9A-Fa-f]+)\}?|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]+);|&#([0-9]+);")
 _BASE64 = re.compile("[A-Za-z0-9+/_-]{16,}={0,2}")
+_NEXT_LINE = re.compile(r"[ \t]*\r?\n[ \t]*([A-Za-z0-9+/_-]+={0,2})(?=[ \t]*\r?(?:\n|\Z))")
 #: Bytes that a compressed segment may unfold to; what is longer is left as it is.
 MAX_UNFOLDED = 64 * 2**20
 
@@ -71,19 +80,15 @@ def _replaced(text: str, pattern: re.Pattern, decode) -> tuple[str, np.ndarray,
     return "".join([*out, text[at:]]), np.concatenate([*starts, plain]), np.concatenate([*ends, plain + 1]), np.concatenate([*new, np.zeros(len(plain), bool)])
 
 
-def _percent(run: str) -> str | None:
-    try:
-        return bytes.fromhex(run.replace("%", "")).decode()
-    except UnicodeDecodeError:
-        return None
+def _percent(run: str) -> str:
+    return bytes.fromhex(run.replace("%", "")).decode()
 
 
-def _escapes(run: str) -> str | None:
+def _escapes(run: str) -> str:
+    """Escapes that stand for no character become U+FFFD, the others are decoded."""
     codes = [int(a or b or c, 16) if (a or b or c) else int(d) for a, b, c, d in _ESCAPE.findall(run)]
-    try:
-        return b"".join(c.to_bytes(2, "little") if c < 0x10000 else chr(c).encode("utf-16-le") for c in codes).decode("utf-16-le")
-    except (UnicodeDecodeError, ValueError, OverflowError):
-        return None
+    codes = [c if c < 0x110000 else 0xFFFD for c in codes]
+    return b"".join(c.to_bytes(2, "little") if c < 0x10000 else chr(c).encode("utf-16-le") for c in codes).decode("utf-16-le", errors="replace")
 
 
 def _unfolded(data: bytes) -> bytes | None:
@@ -122,17 +127,44 @@ def _base64(segment: str) -> tuple[str, str] | None:
         made = data.decode()
     except UnicodeDecodeError:
         return None
-    return (name, made) if made and all(c.isprintable() or c in "\t\n\r" for c in made) else None
+    return (name, made) if made else None
+
+
+def _wrapped(layer: str) -> Iterator[tuple[int, int, tuple[str, str]]]:
+    """start, end, decoded of base64 that is wrapped over lines of one width, the last at most as long.
+
+    A word above or below the block may look like a line of it, so both are also tried without.
+    """
+    done = 0
+    for m in _BASE64.finditer(layer):
+        if m.start() < done or m[0].endswith("="):
+            continue
+        chain = [m.span()]
+        while more := _NEXT_LINE.match(layer, chain[-1][1]):
+            width = chain[-1][1] - chain[-1][0]
+            if len(chain) > 2 and more.end(1) - more.start(1) > width:
+                break
+            chain.append(more.span(1))
+            if more[1].endswith("=") or len(chain) > 2 and more.end(1) - more.start(1) < width:
+                break
+        for low, high in ((0, 0), (0, 1), (1, 0), (1, 1)):
+            part = chain[low : len(chain) - high]
+            if len(part) > 1 and (got := _base64("".join(layer[s:e] for s, e in part))):
+                yield part[0][0], part[-1][1], got
+                break
+        if len(chain) > 2:
+            done = chain[-1][0]
 
 
 def all_spans(text: str) -> list[tuple[str, str, int, int]]:
     """kind, layers (empty: open), start, end in code points of text, sorted."""
     found = {(kind, "", s, e) for kind, s, e in base_spans(text)}
-    seen = {text}
-    # layer, names, start and end in text of each character (None: the same), from where decoding had a part
-    work = deque([(text, "", None, None, None)])
+    seen = set()
+    # layer, names, start and end in text of each character (None: the same), from where decoding had a part, the layers around it
+    work = deque([(text, "", None, None, None, ())])
     while work:
-        layer, names, starts, ends, new = work.popleft()
+        layer, names, starts, ends, new, around = work.popleft()
+        around = (*around, layer)
         if names:
             for kind, s, e in base_spans(layer):
                 if new is None or new[s:e].any():
@@ -141,17 +173,18 @@ def all_spans(text: str) -> list[tuple[str, str, int, int]]:
         for mark, name, pattern, decode in (("%", "url", _PERCENT, _percent), ("", "unicode", _UNICODE, _escapes)):
             if (mark in layer if mark else "\\" in layer or "&#" in layer) and (got := _replaced(layer, pattern, decode)):
                 made.append((got[0], name, got[1], got[2], got[3]))
-        for m in _BASE64.finditer(layer):
-            if got := _base64(m[0]):
-                n = len(got[1])
-                made.append((got[1], got[0], np.full(n, m.start()), np.full(n, m.end()), None))
+        segments = [(*m.span(), got) for m in _BASE64.finditer(layer) if (got := _base64(m[0]))]
+        for start, end, got in [*segments, *_wrapped(layer)]:
+            n = len(got[1])
+            made.append((got[1], got[0], np.full(n, start), np.full(n, end), None))
         for inner, name, s, e, fresh in made:
-            if inner not in seen and inner:
-                seen.add(inner)
-                at, to = (s, e) if starts is None else (starts[s], ends[e - 1])
+            at, to = (s, e) if starts is None else (starts[s], ends[e - 1])
+            place = (inner, hashlib.blake2b(at.tobytes() + to.tobytes(), digest_size=16).digest())
+            if inner and inner not in around and place not in seen:
+                seen.add(place)
                 if fresh is not None and new is not None:
                     fresh = fresh | np.maximum.reduceat(np.r_[new, False], s)[: len(s)] if len(s) else fresh
-                work.append((inner, f"{names}>{name}" if names else name, at, to, fresh))
+                work.append((inner, f"{names}>{name}" if names else name, at, to, fresh, around))
     rank = {k: i for i, k in enumerate(KINDS)}
     return sorted(found, key=lambda x: (x[2], x[1] != "", rank[x[0]], x[3], x[1]))
 
