@@ -33,10 +33,12 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 PATTERNS = {
     "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
     "ip": re.compile(rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\d|\.\d)"),
-    "card": re.compile(r"(?<!\d)(?<!\d[ -])\d(?:[ -]?\d){12,18}(?![ -]?\d)"),
+    "card": re.compile(r"(?<!\d)(?:\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19})(?!\d)"),
     "ssn": re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
     "phone": re.compile(r"(?<![\d+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)"),
 }
+#: Cards in groups of another layout, with no number beside them; they yield to those of PATTERNS.
+_LOOSE_CARD = re.compile(r"(?<!\d)(?<!\d[ -])\d(?:[ -]?\d){12,18}(?![ -]?\d)")
 #: Titles that lead a name, by gender (x: either).
 TITLES = {
     "f": ("Mrs", "Ms", "Miss", "Mme", "Madame", "Mlle", "Frau", "Sra", "Señora", "Srta", "г-жа", "госпожа"),
@@ -77,6 +79,8 @@ def mentions(text: str) -> list[tuple[int, int, str, str]]:
             value = m[0].lower() if kind == "email" else m[0] if kind == "ip" else re.sub(r"\D", "", m[0])
             if kind != "phone" or 7 <= len(value) <= 15:
                 found.append((m.start(), rank, m.end(), kind, value))
+    card = TYPES.index("card") + 0.5
+    found += [(m.start(), card, m.end(), "card", re.sub(r"\D", "", m[0])) for m in _LOOSE_CARD.finditer(text)]
     for m in _LED.finditer(text):
         found.append((m.start(2), 5, m.end(2), "person", f"{_TITLE[m[1]]}:{m[2]}"))
     for m in _KNOWN.finditer(text):
