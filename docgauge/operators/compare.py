@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
@@ -18,6 +19,7 @@ FINE_CHARS = 400
 WORDS = 25_000
 COMMON_WORD = 8
 MANY_UNITS = 1000
+ANCHOR_RUNS = (4, 2, 1)
 _TOKENS = re.compile(r"\S+\s*|\s+")
 
 CSV_COLUMNS = (
@@ -35,21 +37,61 @@ def _opcodes(a: list[str], b: list[str], common: int | None):
     return SequenceMatcher(rare, a, b, autojunk=False).get_opcodes()
 
 
-def _level(text: str, other: str) -> tuple[list[str], list[str], int | None]:
-    """Units to align: words with the space behind them, or lines where there are too many words.
+def _anchors(a: list[str], b: list[str], size: int) -> list[tuple[int, int]]:
+    """Places of the runs of size units that stand once in each side, the longest series that rises in both."""
 
-    Where there are many units, those seen often are no anchors.
+    def once(units: list[str]) -> dict:
+        runs = list(zip(*(units[k:] for k in range(size)), strict=False))
+        seen = Counter(runs)
+        return {run: i for i, run in enumerate(runs) if seen[run] == 1}
+
+    there = once(b)
+    both = [(i, there[run]) for run, i in once(a).items() if run in there]
+    ends, last, before = [], [], [-1] * len(both)
+    for n, (_, j) in enumerate(both):
+        at = bisect_left(ends, j)
+        ends[at : at + 1], last[at : at + 1] = [j], [n]
+        before[n] = last[at - 1] if at else -1
+    series, n = [], last[-1] if last else -1
+    while n >= 0:
+        series.append(both[n])
+        n = before[n]
+    return series[::-1]
+
+
+def _aligned(a: list[str], b: list[str], units: int) -> Iterator[tuple[str, int, int, int, int]]:
+    """Opcodes between units.  More than WORDS of them are parted at runs that stand once in each side, and aligned in between.
+
+    Where there are many units (in a stretch, or in both whole texts that are not parted), those seen often are no anchors.
     """
-    a, b = _TOKENS.findall(text), _TOKENS.findall(other)
-    if len(a) + len(b) > WORDS:
-        a, b = text.splitlines(keepends=True), other.splitlines(keepends=True)
-    return a, b, COMMON_WORD if len(a) + len(b) > MANY_UNITS else None
+    work = [(0, len(a), 0, len(b), ANCHOR_RUNS)]
+    while work:
+        i, j, k, m, runs = work.pop()
+        if i == j and k == m:
+            continue
+        if i == j or k == m:
+            yield "replace", i, j, k, m
+        elif j - i + m - k > WORDS and runs:
+            found = [(i + x, k + y) for x, y in _anchors(a[i:j], b[k:m], runs[0])]
+            if not found:
+                work.append((i, j, k, m, runs[1:]))
+                continue
+            parts = []
+            for x, y in found:
+                # An anchor is a stretch of one equal unit.  In a stretch other runs stand once, so the longest are tried again.
+                parts += [(i, x, k, y, ANCHOR_RUNS), (x, x + 1, y, y + 1, ())]
+                i, k = x + 1, y + 1
+            work += reversed([*parts, (i, j, k, m, ANCHOR_RUNS)])
+        else:
+            for kind, p, q, r, s in _opcodes(a[i:j], b[k:m], COMMON_WORD if (units if units <= WORDS else j - i + m - k) > MANY_UNITS else None):
+                yield kind, i + p, i + q, k + r, k + s
 
 
 def diff_parts(base: str, target: str) -> list[tuple[str, str]]:
     """(equal, removed or added, text): equal and removed parts make up base, equal and added ones target.
 
-    Units that both texts share at their ends are set aside, the rest is aligned; small
+    Words (with the space behind them) that both texts share at their ends are set aside, the
+    rest is aligned; small
     replaced stretches are aligned again by character.
     """
     parts: list[list[str]] = []
@@ -61,7 +103,7 @@ def diff_parts(base: str, target: str) -> list[tuple[str, str]]:
             else:
                 parts.append([kind, text])
 
-    a, b, common = _level(base, target)
+    a, b = _TOKENS.findall(base), _TOKENS.findall(target)
     head = 0
     while head < min(len(a), len(b)) and a[head] == b[head]:
         head += 1
@@ -70,7 +112,7 @@ def diff_parts(base: str, target: str) -> list[tuple[str, str]]:
         tail += 1
     add("equal", "".join(a[:head]))
     a_mid, b_mid = a[head : len(a) - tail], b[head : len(b) - tail]
-    for kind, i, j, k, m in _opcodes(a_mid, b_mid, common) if a_mid and b_mid else [("replace", 0, len(a_mid), 0, len(b_mid))]:
+    for kind, i, j, k, m in _aligned(a_mid, b_mid, len(a) + len(b)):
         old, new = "".join(a_mid[i:j]), "".join(b_mid[k:m])
         if kind == "equal":
             add("equal", old)
