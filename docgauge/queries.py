@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docgauge.functions.columns import csv_safe, normalize_space, tidy, tokens
+from docgauge.functions.columns import csv_safe, normalize_space, normalize_text, tidy, tokens
 from docgauge.operators import benchmark, compare, gates, masking, metrics, normalize, operations, repair, retrieval, structure
 
 LETTERS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -112,6 +112,13 @@ def text_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", "text_edit_distance", tidy(F.col("text_cer")).alias("text_cer"), tidy(F.col("text_accuracy")).alias("text_accuracy"), "text_exact_match")
 
 
+def whole_text_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As text_scores, of the whole texts (NFKC, white space as one space); no SQL, since DuckDB's levenshtein counts bytes."""
+    pairs = _turns(spark, sf_dir).select("conv_id", "turn", normalize_text("base").alias("reference"), normalize_text("target").alias("predicted"))
+    rows = metrics.text_metrics(pairs)
+    return rows.select("conv_id", "turn", "text_edit_distance", tidy(F.col("text_cer")).alias("text_cer"), tidy(F.col("text_accuracy")).alias("text_accuracy"), "text_exact_match")
+
+
 def turn_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Differences between successive turns."""
     rows = compare.text_diffs(_turns(spark, sf_dir))
@@ -335,7 +342,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         leaderboard_of_variants, text_blocks, run_summaries, parser_variants, masked_documents, segments_and_chunks, synthesis_batches, overlapping_chunks, bm25_top,
-        corpus_statistics, empty_lines, text_scores, turn_diffs, document_diffs, layout_scores, cell_scores, table_scores, entity_scores, order_scores,
+        corpus_statistics, empty_lines, text_scores, whole_text_scores, turn_diffs, document_diffs, layout_scores, cell_scores, table_scores, entity_scores, order_scores,
         metric_summary, operations_summary, recent_evaluations, experiment_statuses, operations_board, daily_runs, latest_runs, repaired_texts,
         inverse_edits, repair_outcomes, repair_interactions, repair_gate, csv_guard,
     )
