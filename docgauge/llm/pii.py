@@ -66,10 +66,53 @@ _LED = re.compile(rf"\b({'|'.join(sorted(_TITLE, key=len, reverse=True))})\.? ({
 _KNOWN = re.compile(rf"\b((?:{'|'.join(_GENDER)}) {_NAME})\b")
 
 
+def _resolved(names: list[tuple[str, str]]) -> dict[tuple[str, str], str]:
+    """Gender and name as written, with the value of the person in this document: the fullest name, the most specific gender."""
+    told = {(g, n): g if g != "x" or " " not in n else _GENDER.get(n.split()[0], "x") for g, n in names}
+    people = {(g, n) for (_, n), g in told.items()}
+    short = lambda n: {n.split()[-1], f"{n.split()[0]} {n.split()[-1]}"}
+
+    def one(found: list) -> tuple[str, str] | None:
+        return found[0] if len(found) == 1 else None
+
+    into: dict[tuple[str, str], tuple[str, str]] = {}
+    for g, n in sorted(people, key=lambda x: (-len(x[1].split()), x[0] == "x", x)):
+        same = one([p for p in people if p[1] == n and p[0] != "x"]) if g == "x" else None
+        fuller = one([p for p in {into.get(p, p) for p in people} if len(p[1].split()) > len(n.split()) and n in short(p[1]) and (g == "x" or p[0] in (g, "x"))])
+        into[g, n] = into.get(fuller, fuller) or same or (g, n)
+    gender: dict[tuple[str, str], set[str]] = {}
+    for (g, _), person in into.items():
+        gender.setdefault(person, set()).add(g)
+    value = {p: f"{one(sorted(gs - {'x'})) or p[0]}:{p[1]}" for p, gs in gender.items()}
+    return {name: value[into[g, name[1]]] for name, g in told.items()}
+
+
+def _people(text: str, found: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """start, end, value of the persons found, one value for all names of a person, and of their bare names elsewhere in text.
+
+    A bare name that several persons have is the one's who was named last.
+    """
+    values = _resolved([tuple(v.split(":", 1)) for _, _, v in found])
+    named = [(s, e, values[tuple(v.split(":", 1))]) for s, e, v in found]
+    owners: dict[str, list[tuple[int, str]]] = {}
+    for s, _, value in sorted(named):
+        words = value.split(":", 1)[1].split()
+        for name in {" ".join(words), f"{words[0]} {words[-1]}" if len(words) > 1 else words[0], words[0], words[-1]}:
+            for form in {name, name.upper()}:
+                owners.setdefault(form, []).append((s, value))
+    bare = re.compile(rf"(?<![\w-])(?:{'|'.join(map(re.escape, sorted(owners, key=len, reverse=True)))})(?![\w-])")
+    for m in bare.finditer(text):
+        if all(m.end() <= s or m.start() >= e for s, e, _ in named[: len(found)]):
+            before = [v for s, v in owners[m[0]] if s < m.start()]
+            named.append((*m.span(), before[-1] if before else owners[m[0]][0][1]))
+    return named
+
+
 def mentions(text: str) -> list[tuple[int, int, str, str]]:
     """start, end, type, value of all mentions in order; where some overlap, the first of the earlier type.
 
-    The value of a person is the name behind its gender (f, m, or x: untold) and a colon.
+    The value of a person is the fullest name in the text behind its gender (f, m, or x:
+    untold) and a colon; a mention may hold a part of that name.
     """
     found = []
     for rank, kind in enumerate(TYPES[:-1]):
@@ -89,6 +132,10 @@ def mentions(text: str) -> list[tuple[int, int, str, str]]:
     for start, _, end, kind, value in sorted(found, key=lambda x: (x[1], x[0])):
         if all(end <= s or start >= e for s, e, *_ in out):
             out.append((start, end, kind, value))
+    people = [(s, e, v) for s, e, kind, v in out if kind == "person"]
+    if people:
+        out = [x for x in out if x[2] != "person"]
+        out += [(s, e, "person", v) for s, e, v in _people(text, people) if all(e <= x[0] or s >= x[1] for x in out)]
     return sorted(out)
 
 
@@ -144,10 +191,10 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
         gender, name = value.split(":", 1)
         script, words = _script(name), name.split()
         sex = gender if gender != "x" else _GENDER.get(words[0]) or "fm"[_Draws(key, "gender", value).below(2)]
-        family = FAMILY[(script, sex)]
+        family = [x for x in FAMILY[(script, sex)] if x not in words]
         made = [family[draws.below(len(family))]]
         if len(words) > 1:
-            given = GIVEN[(script, sex)]
+            given = [x for x in GIVEN[(script, sex)] if x not in words]
             made.insert(0, given[draws.below(len(given))])
         for _ in words[2:]:
             made.insert(1, family[draws.below(len(family))])
@@ -158,13 +205,16 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
     return _redrawn(value, draws)
 
 
-def _formatted(kind: str, mention: str, value: str) -> str:
-    """The surrogate in the mention's format."""
+def _formatted(kind: str, mention: str, value: str, of: str) -> str:
+    """The surrogate of the value of in the mention's format; of a person, the part that the mention names."""
     if kind == "email":
         return "".join(v.upper() if m.isupper() else v for m, v in zip(mention, value, strict=False)) + value[len(mention) :]
     if kind in ("card", "ssn", "phone"):
         digits = iter(value)
         return "".join(next(digits) if c.isdigit() else c for c in mention)
+    if kind == "person" and len(part := mention.split()) < len(whole := of.split(":", 1)[1].split()):
+        made = value.split()
+        value = f"{made[0]} {made[-1]}" if len(part) > 1 else made[-1] if part[0].lower() == whole[-1].lower() else made[0]
     if kind == "person" and mention.isupper():
         return value.upper()
     return value
@@ -236,7 +286,7 @@ def with_surrogates(docs: DataFrame, key: bytes) -> DataFrame:
             parts, found, at = [], [], 0
             other = {tuple(k.split("\0", 1)): v for k, v in own_moved.items()} if own_moved else known.value if known else {}
             for start, end, kind, value in mentions(t):
-                made = _formatted(kind, t[start:end], other.get((kind, value)) or surrogate(key, kind, value))
+                made = _formatted(kind, t[start:end], other.get((kind, value)) or surrogate(key, kind, value), value)
                 parts += [t[at:start], made]
                 found.append({"type": kind, "start": start, "end": end, "surrogate": made})
                 at = end

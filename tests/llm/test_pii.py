@@ -16,3 +16,16 @@ def test_cards_beside_other_numbers():
     assert [x[3] for x in pii.mentions("12 4465758382889437 3") if x[2] == "card"] == ["4465758382889437"]
     assert [x[3] for x in pii.mentions("no 44657 58382 889 437 x") if x[2] == "card"] == ["4465758382889437"]
     assert not [x for x in pii.mentions("44657583828894371234567") if x[2] == "card"]
+
+
+def test_all_names_of_a_person_are_one_entity(spark):
+    text = "Blix came. Mr Zork Blix met Dr Maria Lopez. Later Zork Blix, BLIX and Maria Lopez left; Mr Blix and Lopez's car stayed, Zork too. Mr Smith knew Mr John Smith; Smith slept. Mrs Smith woke."
+    found = [(text[s:e], v) for s, e, kind, v in pii.mentions(text) if kind == "person"]
+    assert [v for n, v in found if "blix" in n.lower() or n == "Zork"] == ["m:Zork Blix"] * 6
+    assert [v for n, v in found if "Lopez" in n] == ["f:Maria Lopez"] * 3
+    assert [v for n, v in found if "Smith" in n] == ["m:John Smith"] * 3 + ["f:Smith"]
+    row = pii.with_surrogates(spark.createDataFrame([(1, text)], "doc_id long, text string"), b"k").first()
+    made = {text[e["start"] : e["end"]]: e["surrogate"] for e in row["entities"]}
+    assert made["Zork Blix"] == f"{made['Zork']} {made['Blix']}" and made["BLIX"] == made["Blix"].upper()
+    assert made["Maria Lopez"].endswith(made["Lopez"])
+    assert not any(n in row["text"] for n in ("Zork", "Blix", "BLIX", "Maria", "Lopez", "Smith"))
