@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docgauge.llm.stage import doc_key, id_from, stored, whole_text
+from docgauge.llm.stage import doc_key, free_name, id_from, stored, whole_text
 from docgauge.llm.words import window_hashes
 
 WINDOW = 5
@@ -171,7 +171,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, min_
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, min_share: float = MIN_SHARE) -> DataFrame:
-    """The rows of docs that hold no item of benchmark; the columns stay."""
-    found = stored(contaminated(docs, benchmark, size, min_share).select(doc_key().alias("_key")).distinct(), "contaminated")
-    own = [c for c in docs.columns if c != "_key"]
-    return docs.select(*own, doc_key().alias("_key")).join(found.hint("shuffle_hash"), "_key", "left_anti").select(*own)
+    """The rows of docs whose text holds no item of benchmark; the columns stay.
+
+    Rows are judged by their text, whatever their doc_id; null and empty texts stay, repeated
+    rows share their verdict, and columns of any name stay as they are.
+    """
+    key = free_name(docs.columns, "_text_key")
+    texts = docs.select(F.xxhash64(whole_text()).alias("doc_id"), "text")
+    found = stored(contaminated(texts, benchmark, size, min_share).select(F.col("doc_id").alias(key)).distinct(), "contaminated")
+    return docs.withColumn(key, F.xxhash64(whole_text())).join(found.hint("shuffle_hash"), key, "left_anti").select(*[f"`{c}`" for c in docs.columns])

@@ -13,29 +13,44 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Names the folder of everything that this process stores.
+RUN = f"docgauge-{uuid.uuid4().hex}"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Stands for a null doc_id inside the operators; no document may use it.
 NO_ID = -(2**63)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share; where none is set, a temporary one in local mode and an error on a cluster."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="docgauge-"))
-    return context.getCheckpointDir().rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir is not set: executors need a folder that all of them share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="docgauge-"))
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df once and read it back."""
+    """Write df once and read it back; the shuffle files of this step go as soon as it is written."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{shared_folder(spark)}/{RUN}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession, run: str | None = None) -> None:
+    """Deletes what a run (by default this process) has stored; call it when its results have been written elsewhere."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{run or RUN}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def doc_key() -> Column:
     """doc_id as a key that is never null; nulls come first and count as one document."""
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
@@ -51,15 +66,9 @@ def whole_text() -> Column:
     return F.coalesce(F.col("text"), F.lit(""))
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished jobs now rather than at its next periodic collection.
-
-    Twice, since the events of the last job may still hold its plan the first time.
-    """
-    import gc
-    import time
-
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+def free_name(columns: list[str], name: str) -> str:
+    """name, with underscores behind it until no column has it (whatever the case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -3,28 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import xxhash
 
 #: An odd multiplier for rolling hashes (fixed value: the 64-bit golden ratio).
 _BASE = 0x9E3779B97F4A7C15
-_SPACE = b" "
-
-
-class Codes(dict):
-    """Word (bytes) to its unsigned 64-bit code; remembers up to limit words."""
-
-    def __init__(self, limit: int = 500_000):
-        super().__init__()
-        self.limit = limit
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        code = self[word] = xxhash.xxh3_64_intdigest(word)
-        return code
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+#: Texts are coded in stretches of about this many bytes, cut between words.
+STRETCH = 1 << 18
 
 
 def mixed(values: np.ndarray) -> np.ndarray:
@@ -36,6 +19,57 @@ def mixed(values: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class Powers:
+    """Powers of the hash base and of its inverse, as far as needed."""
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            size = 1 << n.bit_length()
+            inverse = pow(_BASE, -1, 2**64)
+            self.up = np.cumprod(np.r_[np.uint64(1), np.full(size, _BASE, np.uint64)], dtype=np.uint64)
+            self.down = np.cumprod(np.r_[np.uint64(1), np.full(size, inverse, np.uint64)], dtype=np.uint64)
+        return self.up, self.down
+
+
+_POWERS = Powers()
+_BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
+_SPACES = np.isin(np.arange(256), np.frombuffer(b" \t\n\v\f\r", np.uint8))
+
+
+def word_places(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """First byte of each word and the byte behind it; words are parted by space and the characters 9 to 13."""
+    word = np.zeros(len(text) + 2, np.int8)
+    word[1:-1] = ~_SPACES[np.frombuffer(text, np.uint8)]
+    turns = np.flatnonzero(np.diff(word))
+    return turns[::2], turns[1::2]
+
+
+def _stretch_codes(text: bytes) -> np.ndarray:
+    start, end = word_places(text)
+    up, down = _POWERS.to(len(text) + 1)
+    sums = np.zeros(len(text) + 1, np.uint64)
+    np.cumsum(_BYTES[np.frombuffer(text, np.uint8)] * up[: len(text)], out=sums[1:])
+    return mixed((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+
+
+def word_codes(text: bytes) -> np.ndarray:
+    """Unsigned 64-bit codes of the words of a text: polynomial hashes of their bytes, scrambled."""
+    parts, at = [], 0
+    while len(text) - at > 2 * STRETCH:
+        cut = max(text.rfind(s, at, at + STRETCH) for s in (b" ", b"\n", b"\t"))
+        if cut <= at:  # a word longer than a stretch
+            found = [p for s in (b" ", b"\t", b"\n", b"\v", b"\f", b"\r") if (p := text.find(s, at + STRETCH)) >= 0]
+            cut = min(found, default=len(text))
+        parts.append(_stretch_codes(text[at:cut]))
+        at = cut
+    if at < len(text):
+        parts.append(_stretch_codes(text[at:]))
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+
+
 def window_hashes(codes: np.ndarray, size: int, base: int = _BASE) -> np.ndarray:
     """A hash of every window of size codes (none if there are fewer); codes may hold several rows."""
     n = codes.shape[-1] - size + 1
