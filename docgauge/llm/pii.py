@@ -4,7 +4,9 @@
    free of its format (an address in lower case, the digits of a number, a name's words),
    so that all mentions of one entity share a value; their different values are gathered.
 2. A surrogate is drawn by a keyed hash of type, value and attempt: nobody can undo it
-   without the key, and an entity has the same surrogate in every document.  Collisions
+   without the key, and an entity has the same surrogate in every document.  Names are put
+   together from syllables, in as many parts as the number of entities calls for, so that
+   at most one draw in ``ROOM`` collides and few rounds are needed.  Collisions
    are checked over the whole corpus: two values of a type with one surrogate, or a
    surrogate that is itself a value found in the corpus, send the later value to its next
    attempt, until all surrogates are distinct.
@@ -15,28 +17,38 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import ipaddress
+import math
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docgauge.llm.stage import doc_key, stored, whole_text
+from docgauge.llm.stage import doc_key, free_name, stored, whole_text
 
-TYPES = ("email", "ip", "card", "ssn", "phone", "person")
+TYPES = ("email", "ip", "iban", "card", "ssn", "phone", "person")
 BROADCAST_VALUES = 100_000
+#: Surrogate names that there are for each entity at least.
+ROOM = 64
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: How the types are written.
 PATTERNS = {
     "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
     "ip": re.compile(rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\d|\.\d)"),
+    "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     "card": re.compile(r"(?<!\d)(?:\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19})(?!\d)"),
     "ssn": re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
-    "phone": re.compile(r"(?<![\d+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)"),
+    "phone": re.compile(r"(?<![\d+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4}|(?<!\d )\d{3} \d{3} \d{4}(?! \d))(?!\d)"),
 }
+_IPV6 = re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{1,4}(?![\w:])")
+#: What a match of ip, card, ssn or phone lies in.
+_NUMERIC = re.compile(r"[+(]?\d[\d() .-]{5,}\d")
 #: Cards in groups of another layout, with no number beside them; they yield to those of PATTERNS.
 _LOOSE_CARD = re.compile(r"(?<!\d)(?<!\d[ -])\d(?:[ -]?\d){12,18}(?![ -]?\d)")
 #: Titles that lead a name, by gender (x: either).
@@ -45,19 +57,30 @@ TITLES = {
     "m": ("Mr", "Monsieur", "Herr", "Sr", "Señor", "г-н", "господин"),
     "x": ("Dr", "Prof", "Professor"),
 }
-#: Surrogate given names and family names by script and gender.
+#: Surrogate given names by script and gender.
 GIVEN = {
     ("latin", "f"): ("Alice", "Anna", "Beatrice", "Clara", "Diana", "Elena", "Eva", "Greta", "Helen", "Ida", "Julia", "Laura", "Maria", "Nina", "Rosa", "Sofia"),
     ("latin", "m"): ("Adam", "Bruno", "Carl", "David", "Emil", "Felix", "George", "Hugo", "Ivan", "Jonas", "Leo", "Martin", "Oscar", "Paul", "Simon", "Victor"),
     ("cyrillic", "f"): ("Анна", "Вера", "Дарья", "Елена", "Ирина", "Мария", "Ольга", "Софья"),
     ("cyrillic", "m"): ("Антон", "Борис", "Виктор", "Иван", "Максим", "Олег", "Павел", "Юрий"),
 }
-FAMILY = {
-    ("latin", "f"): ("Adler", "Baker", "Costa", "Dumas", "Ellis", "Fischer", "Garcia", "Holm", "Jensen", "Keller", "Lopez", "Meyer", "Novak", "Olsen", "Perez", "Rossi", "Silva", "Turner", "Vogel", "Weber"),
-    ("cyrillic", "f"): ("Белова", "Волкова", "Зайцева", "Козлова", "Морозова", "Орлова", "Соколова", "Титова"),
-    ("cyrillic", "m"): ("Белов", "Волков", "Зайцев", "Козлов", "Морозов", "Орлов", "Соколов", "Титов"),
+#: Beginnings, middles and ends of surrogate family names by script.
+SYLLABLES = {
+    "latin": (
+        ("Bar", "Bel", "Cal", "Cor", "Dal", "Dor", "Fal", "Fen", "Gar", "Hal", "Har", "Kel", "Lan", "Mar", "Mer", "Nor", "Pel", "Ram", "Ros", "Sal", "Tor", "Val", "Ver", "Wil"),
+        ("a", "ba", "de", "di", "e", "i", "la", "le", "li", "mo", "ne", "o"),
+        ("bert", "dan", "der", "feld", "gard", "gren", "land", "mann", "mond", "nell", "ner", "quist", "rand", "rell", "rick", "sen", "ser", "stad", "ston", "tano", "ter", "vale", "well", "wick"),
+    ),
+    "cyrillic": (
+        ("Бар", "Бел", "Вар", "Вол", "Гор", "Дар", "Дол", "Жар", "Зим", "Кол", "Кор", "Лар", "Мор", "Пол", "Рад", "Сол", "Тар", "Яр"),
+        ("а", "и", "о", "у", "ам", "ин", "ос", "ут"),
+        ("дов", "ков", "лев", "нин", "пов", "син", "тов", "хин"),
+    ),
 }
-FAMILY[("latin", "m")] = FAMILY[("latin", "f")]
+#: First and last letters of other scripts from which names are drawn letter by letter.
+LETTERS = (
+    ("Α", "Ρ"), ("Σ", "Ω"), ("α", "ρ"), ("σ", "ω"), ("א", "ת"), ("ا", "غ"), ("ف", "ي"), ("अ", "ह"), ("ぁ", "ん"), ("ァ", "ン"), ("一", "龥"), ("가", "힣"), ("Ա", "Ֆ"), ("ա", "ֆ"), ("ა", "ჰ"),
+)
 
 _TITLE = {t: g for g, titles in TITLES.items() for t in titles}
 _GENDER = {name: g for (_, g), names in GIVEN.items() for name in names}
@@ -101,13 +124,31 @@ def _people(text: str, found: list[tuple[int, int, str]]) -> list[tuple[int, int
             for form in {name, name.upper()}:
                 owners.setdefault(form, []).append((s, value))
     bare = re.compile(rf"(?<![\w-])(?:{'|'.join(map(re.escape, sorted(owners, key=len, reverse=True)))})(?![\w-])")
+    places = sorted((s, e) for s, e, _ in named)
     for m in bare.finditer(text):
-        if all(m.end() <= s or m.start() >= e for s, e, _ in named[: len(found)]):
-            before = [v for s, v in owners[m[0]] if s < m.start()]
-            named.append((*m.span(), before[-1] if before else owners[m[0]][0][1]))
+        at = bisect.bisect_left(places, m.span())
+        if (at == 0 or places[at - 1][1] <= m.start()) and (at == len(places) or places[at][0] >= m.end()):
+            own = owners[m[0]]
+            named.append((*m.span(), own[max(bisect.bisect_left(own, (m.start(),)) - 1, 0)][1]))
     return named
 
 
+def _numbers(text: str) -> Iterator[tuple[int, int, str]]:
+    """start, end, type of ip, card, ssn, phone and loosely grouped card matches, looked for only where a long number stands."""
+    for m in _NUMERIC.finditer(text):
+        low, high = m.start(), min(m.end() + 2, len(text))  # what is ahead counts, at most two characters of it
+        for kind in ("ip", "card", "ssn", "phone"):
+            for found in PATTERNS[kind].finditer(text, low, high):
+                yield *found.span(), kind
+        for found in _LOOSE_CARD.finditer(text, low, high):
+            yield *found.span(), "loose"
+
+
+def _iban_rest(value: str) -> int:
+    """1 for valid account numbers."""
+    return int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97
+
+
 def mentions(text: str) -> list[tuple[int, int, str, str]]:
     """start, end, type, value of all mentions in order; where some overlap, the first of the earlier type.
 
@@ -115,27 +156,44 @@ def mentions(text: str) -> list[tuple[int, int, str, str]]:
     untold) and a colon; a mention may hold a part of that name.
     """
     found = []
-    for rank, kind in enumerate(TYPES[:-1]):
-        if kind == "email" and "@" not in text:
-            continue
-        for m in PATTERNS[kind].finditer(text):
-            value = m[0].lower() if kind == "email" else m[0] if kind == "ip" else re.sub(r"\D", "", m[0])
-            if kind != "phone" or 7 <= len(value) <= 15:
-                found.append((m.start(), rank, m.end(), kind, value))
-    card = TYPES.index("card") + 0.5
-    found += [(m.start(), card, m.end(), "card", re.sub(r"\D", "", m[0])) for m in _LOOSE_CARD.finditer(text)]
-    for m in _LED.finditer(text):
-        found.append((m.start(2), 5, m.end(2), "person", f"{_TITLE[m[1]]}:{m[2]}"))
-    for m in _KNOWN.finditer(text):
-        found.append((m.start(1), 6, m.end(1), "person", f"{_GENDER[m[1].split()[0]]}:{m[1]}"))
-    out, at = [], 0
+    rank = {kind: i for i, kind in enumerate(TYPES)}
+    if "@" in text:
+        found += [(m.start(), rank["email"], m.end(), "email", m[0].lower()) for m in PATTERNS["email"].finditer(text)]
+    if text.count(":") > 1:
+        for m in _IPV6.finditer(text):
+            try:
+                found.append((m.start(), rank["ip"], m.end(), "ip", ipaddress.IPv6Address(m[0]).exploded))
+            except ValueError:
+                pass
+    for m in PATTERNS["iban"].finditer(text):
+        value = m[0].replace(" ", "")
+        if 15 <= len(value) <= 34 and _iban_rest(value) == 1:
+            found.append((m.start(), rank["iban"], m.end(), "iban", value))
+    for start, end, kind in _numbers(text):
+        written = text[start:end]
+        value = written if kind == "ip" else re.sub(r"\D", "", written)
+        if kind == "loose":
+            found.append((start, rank["card"] + 0.5, end, "card", value))
+        elif kind != "phone" or 7 <= len(value) <= 15:
+            found.append((start, rank[kind], end, kind, value))
+    if any(t in text for t in _TITLE):
+        found += [(m.start(2), rank["person"], m.end(2), "person", f"{_TITLE[m[1]]}:{m[2]}") for m in _LED.finditer(text)]
+    if any(n in text for n in _GENDER):
+        found += [(m.start(1), rank["person"] + 1, m.end(1), "person", f"{_GENDER[m[1].split()[0]]}:{m[1]}") for m in _KNOWN.finditer(text)]
+    taken, out = [], []
     for start, _, end, kind, value in sorted(found, key=lambda x: (x[1], x[0])):
-        if all(end <= s or start >= e for s, e, *_ in out):
+        at = bisect.bisect_left(taken, (start, end))
+        if (at == 0 or taken[at - 1][1] <= start) and (at == len(taken) or taken[at][0] >= end):
+            taken.insert(at, (start, end))
             out.append((start, end, kind, value))
     people = [(s, e, v) for s, e, kind, v in out if kind == "person"]
     if people:
         out = [x for x in out if x[2] != "person"]
-        out += [(s, e, "person", v) for s, e, v in _people(text, people) if all(e <= x[0] or s >= x[1] for x in out)]
+        others = sorted((s, e) for s, e, *_ in out)
+        for s, e, v in _people(text, people):
+            at = bisect.bisect_left(others, (s, e))
+            if (at == 0 or others[at - 1][1] <= s) and (at == len(others) or others[at][0] >= e):
+                out.append((s, e, "person", v))
     return sorted(out)
 
 
@@ -166,17 +224,44 @@ def _luhn(digits: str) -> int:
 
 
 def _script(name: str) -> str:
-    return "cyrillic" if re.search("[а-яА-Я]", name) else "latin"
+    """latin, cyrillic or other, by the first letter."""
+    first = unicodedata.name(next((c for c in name if c.isalpha()), "a"), "")
+    return "latin" if first.startswith("LATIN") else "cyrillic" if first.startswith("CYRILLIC") else "other"
+
+
+def _family(script: str, sex: str, parts: int, draws: _Draws) -> str:
+    made = ["".join(s[draws.below(len(s))] for s in SYLLABLES[script]) for _ in range(parts)]
+    return "-".join(f"{x}а" if (script, sex) == ("cyrillic", "f") else x for x in made)
 
 
-def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
-    """The replacement of a value, free of format."""
+def name_parts(entities: int) -> int:
+    """Parts that family names need so that there are ``ROOM`` for each entity."""
+    least = min(math.prod(map(len, s)) for s in SYLLABLES.values())
+    parts = 1
+    while least**parts < ROOM * entities:
+        parts += 1
+    return parts
+
+
+def _letters(word: str, draws: _Draws) -> str:
+    """Each letter replaced by one of its script."""
+    out = []
+    for c in word:
+        low, high = next(((a, b) for a, b in LETTERS if a <= c <= b), (c, c))
+        out.append(chr(ord(low) + draws.below(ord(high) - ord(low) + 1)))
+    return "".join(out)
+
+
+def surrogate(key: bytes, kind: str, value: str, attempt: int = 0, parts: int = 1) -> str:
+    """The replacement of a value, free of format; parts: of a family name."""
     draws = _Draws(key, kind, value, str(attempt))
     if kind == "email":
         local, _, domain = value.partition("@")
         *labels, top = domain.split(".")
         home = _Draws(key, "domain", domain)
         return f"{_redrawn(local, draws)}@{'.'.join(_redrawn(x, home) for x in labels)}.{top}"
+    if kind == "ip" and ":" in value:
+        return value[:4] + "".join("0123456789abcdef"[draws.below(16)] if c != ":" else c for c in value[4:])
     if kind == "ip":
         first = int(value.split(".")[0])
         return ".".join([str(first if first in (10, 127) else 1 + draws.below(223))] + [str(draws.below(256)) for _ in range(2)] + [str(1 + draws.below(254))])
@@ -190,18 +275,19 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
     if kind == "person":
         gender, name = value.split(":", 1)
         script, words = _script(name), name.split()
+        if script == "other":
+            return " ".join(_letters(w, draws) for w in words) + "".join(_letters(words[-1][-1], draws) for _ in range(attempt))
         sex = gender if gender != "x" else _GENDER.get(words[0]) or "fm"[_Draws(key, "gender", value).below(2)]
-        family = [x for x in FAMILY[(script, sex)] if x not in words]
-        made = [family[draws.below(len(family))]]
+        made = [_family(script, sex, parts, draws)]
         if len(words) > 1:
             given = [x for x in GIVEN[(script, sex)] if x not in words]
             made.insert(0, given[draws.below(len(given))])
         for _ in words[2:]:
-            made.insert(1, family[draws.below(len(family))])
-        while attempt > 3 * len(family) and len(made) < 2 + attempt // len(family):  # the lists are used up: longer names
-            made[-1] += "-" + family[draws.below(len(family))]
-            attempt -= len(family)
+            made.insert(1, _family(script, sex, 1, draws))
         return " ".join(made)
+    if kind == "iban":
+        body = _redrawn(value[4:], draws)
+        return f"{value[:2]}{98 - _iban_rest(f'{value[:2]}00{body}'):02d}{body}"
     return _redrawn(value, draws)
 
 
@@ -209,6 +295,9 @@ def _formatted(kind: str, mention: str, value: str, of: str) -> str:
     """The surrogate of the value of in the mention's format; of a person, the part that the mention names."""
     if kind == "email":
         return "".join(v.upper() if m.isupper() else v for m, v in zip(mention, value, strict=False)) + value[len(mention) :]
+    if kind == "iban":
+        signs = iter(value)
+        return "".join(c if c == " " else next(signs) for c in mention)
     if kind in ("card", "ssn", "phone"):
         digits = iter(value)
         return "".join(next(digits) if c.isdigit() else c for c in mention)
@@ -234,9 +323,11 @@ def entities(docs: DataFrame) -> DataFrame:
 def attempts(found: DataFrame, key: bytes) -> DataFrame:
     """type, value, attempt, surrogate such that surrogates are distinct and none is a value of found."""
 
+    parts = name_parts(found.filter("type = 'person'").count())
+
     @F.pandas_udf("string")
     def drawn(kind: pd.Series, value: pd.Series, attempt: pd.Series) -> pd.Series:
-        return pd.Series([surrogate(key, *x) for x in zip(kind, value, attempt, strict=True)], dtype=object)
+        return pd.Series([surrogate(key, *x, parts) for x in zip(kind, value, attempt, strict=True)], dtype=object)
 
     surrogates = lambda df: stored(df.withColumn("surrogate", drawn("type", "value", "attempt")), "surrogates")
     current = surrogates(found.withColumn("attempt", F.lit(0)))
@@ -255,17 +346,21 @@ def attempts(found: DataFrame, key: bytes) -> DataFrame:
 def with_surrogates(docs: DataFrame, key: bytes) -> DataFrame:
     """docs with personal data replaced in text; adds entities (array of type, start, end, surrogate; places in the input).
 
-    key: 1 to 64 secret bytes.  Null texts become empty and have no entities.  Rows that
-    repeat are rewritten alike; a null doc_id stays null.  Columns named entities, _key or
-    _moved are replaced.
+    key: 1 to 64 secret bytes.  Null texts become empty; they and empty texts have no
+    entities.  Very long texts are scanned whole.  Of matches that overlap the earlier type
+    wins, then the earlier place.  Rows that repeat are rewritten alike; a null doc_id stays
+    null; an empty table gives no rows.  A column named entities is replaced, others stay.
     """
     spark = docs.sparkSession
-    own = [c for c in docs.columns if c not in ("entities", "_key", "_moved")]
-    moved = attempts(stored(entities(docs), "entities"), key).filter("attempt > 0")
+    own = [c for c in docs.columns if c.lower() != "entities"]
+    moved_name, made_name, key_name = (free_name(docs.columns, c) for c in ("_moved", "_made", "_key"))
+    found = stored(entities(docs), "entities")
+    parts = name_parts(found.filter("type = 'person'").count())
+    moved = attempts(found, key).filter("attempt > 0")
     n_moved = moved.count()
     if n_moved <= BROADCAST_VALUES:
         known = spark.sparkContext.broadcast({(r["type"], r["value"]): r["surrogate"] for r in moved.select("type", "value", "surrogate").collect()})
-        rows = docs.withColumn("_moved", F.lit(None).cast("map<string,string>"))
+        rows = docs.withColumn(moved_name, F.lit(None).cast("map<string,string>"))
     else:
         known = None
 
@@ -276,22 +371,22 @@ def with_surrogates(docs: DataFrame, key: bytes) -> DataFrame:
 
         there = docs.select(doc_key().alias("_key"), whole_text().alias("text")).mapInPandas(places, "_key long, type string, value string")
         name = F.concat_ws("\0", "type", "value")
-        by_doc = there.join(moved.hint("shuffle_hash"), ["type", "value"]).groupBy("_key").agg(F.map_from_entries(F.collect_set(F.struct(name, "surrogate"))).alias("_moved"))
-        rows = docs.select(*own, doc_key().alias("_key")).join(stored(by_doc, "moved").hint("shuffle_hash"), "_key", "left")
+        by_doc = there.join(moved.hint("shuffle_hash"), ["type", "value"]).groupBy(F.col("_key").alias(key_name)).agg(F.map_from_entries(F.collect_set(F.struct(name, "surrogate"))).alias(moved_name))
+        rows = docs.select(*[f"`{c}`" for c in own], doc_key().alias(key_name)).join(stored(by_doc, "moved").hint("shuffle_hash"), key_name, "left")
 
     @F.pandas_udf("text string, entities array<struct<type: string, start: int, `end`: int, surrogate: string>>")
     def rewritten(text: pd.Series, moved_: pd.Series) -> pd.DataFrame:
         out = []
         for t, own_moved in zip(text, moved_, strict=True):
-            parts, found, at = [], [], 0
+            parts_, found_, at = [], [], 0
             other = {tuple(k.split("\0", 1)): v for k, v in own_moved.items()} if own_moved else known.value if known else {}
             for start, end, kind, value in mentions(t):
-                made = _formatted(kind, t[start:end], other.get((kind, value)) or surrogate(key, kind, value), value)
-                parts += [t[at:start], made]
-                found.append({"type": kind, "start": start, "end": end, "surrogate": made})
+                made = _formatted(kind, t[start:end], other.get((kind, value)) or surrogate(key, kind, value, 0, parts), value)
+                parts_ += [t[at:start], made]
+                found_.append({"type": kind, "start": start, "end": end, "surrogate": made})
                 at = end
-            out.append(("".join([*parts, t[at:]]), found))
+            out.append(("".join([*parts_, t[at:]]), found_))
         return pd.DataFrame(out, columns=["text", "entities"])
 
-    made = rows.withColumn("_made", rewritten(whole_text(), F.col("_moved")))
-    return made.select(*[F.col("_made.text").alias("text") if c == "text" else c for c in own], "_made.entities")
+    made = rows.withColumn(made_name, rewritten(whole_text(), F.col(f"`{moved_name}`")))
+    return made.select(*[F.col(f"`{made_name}`.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in own], F.col(f"`{made_name}`.entities").alias("entities"))

@@ -1,5 +1,8 @@
 """Personal data beside its like."""
 
+import random
+import re
+
 import pytest
 
 from docgauge.llm import pii
@@ -29,3 +32,59 @@ def test_all_names_of_a_person_are_one_entity(spark):
     assert made["Zork Blix"] == f"{made['Zork']} {made['Blix']}" and made["BLIX"] == made["Blix"].upper()
     assert made["Maria Lopez"].endswith(made["Lopez"])
     assert not any(n in row["text"] for n in ("Zork", "Blix", "BLIX", "Maria", "Lopez", "Smith"))
+
+
+def brute_mentions(text):
+    """Every pattern over the whole text, overlaps tried one by one."""
+    found = []
+    for rank, kind in enumerate(pii.TYPES[:-1]):
+        for m in pii.PATTERNS[kind].finditer(text):
+            value = m[0].lower() if kind == "email" else m[0] if kind == "ip" else m[0].replace(" ", "") if kind == "iban" else re.sub(r"\D", "", m[0])
+            if kind == "phone" and not 7 <= len(value) <= 15 or kind == "iban" and (not 15 <= len(value) <= 34 or pii._iban_rest(value) != 1):
+                continue
+            found.append((rank, m.start(), m.end(), kind, value))
+    found += [(pii.TYPES.index("card") + 0.5, m.start(), m.end(), "card", re.sub(r"\D", "", m[0])) for m in pii._LOOSE_CARD.finditer(text)]
+    out = []
+    for _, start, end, kind, value in sorted(found):
+        if all(end <= s or start >= e for s, e, *_ in out):
+            out.append((start, end, kind, value))
+    return sorted(out)
+
+
+def test_mentions_equal_brute_force(spark):
+    draw = random.Random(9)
+    bits = ["4465758382889437", "1.2.3.4", "10.0.0.255", "123-45-6789", "+1 (389) 555-5010", "212 555 0199", "(212) 555-0199", "a.b@c.example.org", "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", " ", "  ", "-", ".", ", ", "(", ")", "+", "7", "42", "12345", "x", "at", "\n"]
+    for _ in range(4000):
+        text = "".join(draw.choices(bits, k=draw.randint(1, 9)))
+        assert pii.mentions(text) == brute_mentions(text), repr(text)
+    for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect():
+        assert [x for x in pii.mentions(r["text"] or "") if x[2] != "person"] == brute_mentions(r["text"] or "")
+
+
+def test_surrogates_are_one_to_one_and_can_be_taken_back(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    into = {}
+    for r in pii.with_surrogates(docs, b"k").collect():
+        text, at, back, grown = texts[r["doc_id"]], 0, [], 0
+        values = {(s, e): (kind, value) for s, e, kind, value in pii.mentions(text)}
+        assert {(e["start"], e["end"]) for e in r["entities"]} == set(values)
+        for e in r["entities"]:
+            kind, value = values[e["start"], e["end"]]
+            plain = e["surrogate"].lower() if kind == "email" else e["surrogate"] if kind in ("ip", "person") else re.sub(r"[^\dA-Z]", "", e["surrogate"])
+            assert into.setdefault((kind, value), plain) == plain
+            start = e["start"] + grown
+            back += [r["text"][at:start], text[e["start"] : e["end"]]]
+            at = start + len(e["surrogate"])
+            grown += len(e["surrogate"]) - (e["end"] - e["start"])
+        assert "".join([*back, r["text"][at:]]) == text
+    assert len({(k, s) for (k, _), s in into.items()}) == len(into) and not {(k, s) for (k, _), s in into.items()} & set(into)
+
+
+def test_other_scripts_and_formats(spark):
+    text = "Mr Παπαδόπουλος called 212 555 0199 from 2001:db8::8a2e:370:7334 about DE89 3704 0044 0532 0130 00."
+    row = pii.with_surrogates(spark.createDataFrame([(1, text)], "doc_id long, text string"), b"k").first()
+    found = {e["type"]: e["surrogate"] for e in row["entities"]}
+    assert set(found) == {"person", "phone", "ip", "iban"}
+    assert all("Ͱ" <= c <= "Ͽ" for c in found["person"]) and re.fullmatch(r"\d{3} \d{3} \d{4}", found["phone"])
+    assert pii._iban_rest(found["iban"].replace(" ", "")) == 1 and len(found["iban"]) == 27 and found["ip"].count(":") == 7
