@@ -1,24 +1,23 @@
-"""Removal of word sequences that occur earlier in the corpus.
-
-A window of ``length`` words is repeated if the same words start earlier.  All repeats
-of length or more words are the deep internal nodes of the corpus' suffix tree.  The tree
-is built in prefix groups that fit in memory, and only where it can branch deep enough:
-
-* Of the suffixes, those at anchors are kept: in each window, the ``prefix``-word
-  sequence of least hash (leftmost among equals) is its anchor.  Equal windows have equal
-  anchors at the same place, so no repeat is lost; one suffix in seven remains.  (A row
-  for each suffix is beyond the disk that the budget allows, see the README.)
-* An anchor's edge label is what its windows cover: up to 12 words before it and as many
-  behind.  Suffixes are dealt by their first ``prefix`` words.  Within a group they are
-  sorted by label; equal labels are one node of full depth, of which the earliest suffix
-  stays and all others are repeats.  Each Arrow batch does this for its own suffixes
-  first, so a passage found in a third of all documents sends a row for each batch only.
-* Where a prefix has several labels, their nodes may meet at different depths.  There the
-  prefix is lengthened to the full window: the windows below that prefix, and only they,
-  are compared by their own hash.  A prefix with more than ``MANY_LABELS`` labels in one
-  batch goes that way at once, so that no group grows with the corpus.
-
-Labels are compared by 128 bits of hash: 64 of the prefix, 64 of the label; windows too.
+"""Removal of word sequences that occur earlier in the corpus, by suffix trees in prefix partitions.
+
+A window of ``length`` words is repeated if the same words start earlier.  Such windows are
+the leaves below the internal nodes of depth ``length`` and more of the corpus' suffix tree;
+maximal repeats are the runs of successive leaves of a document.
+
+1. Every suffix of at least ``length`` words has a path: hashes of its first 1, 2, 4, 8 and
+   ``length`` words, one behind the other in 64 bits.  Suffixes in order of their paths lie in
+   order of their prefixes, and the leading bits that neighbours share tell how long a prefix
+   they share.
+2. Prefixes are measured: all suffixes are counted by the leading bits of their paths, and a
+   prefix with more than ``group`` suffixes is lengthened and counted again, until each fits.
+   Successive prefixes share a group up to that size.  So a frequent word is split by what
+   follows it, rare ones are put together, and a task holds one group, whatever the corpus.
+3. Suffixes are dealt to their groups.  A group sorts its paths, which is its suffix array; runs
+   of equal whole paths are its internal nodes of full depth, and their leaves are candidates.
+   Each Arrow batch sends one suffix for each path; what repeats within it is a candidate at
+   once, so a passage found in a third of all documents sends a row for each batch only.  A
+   single path with more rows than a group takes is dealt to several tasks by document.
+4. Candidates are compared by 128 bits of hash over their words; the earliest of each stays.
 """
 
 from __future__ import annotations
@@ -27,188 +26,253 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docgauge.llm.stage import doc_key, release, stored, whole_text
-from docgauge.llm.words import _BASE, Codes, mixed, window_hashes
+from docgauge.llm.stage import doc_key, free_name, stored, whole_text
+from docgauge.llm.words import batch_codes, mixed, window_hashes, word_codes
 
 LENGTH = 20
-PREFIX = 8
-MANY_LABELS = 8
+#: Suffixes that a task holds at once, twice as many at most (24 bytes each, and as much again to sort them).
+GROUP = 1_500_000
+#: Prefix lengths in words before the whole window, and their bits in a path; the window has the rest.
+PREFIXES = ((1, 10), (2, 8), (4, 8), (8, 8))
+FIRST_BITS, MORE_BITS = 16, 12
 _OTHER_BASE = 0xD6E8FEB86659FD93
-_REP, _LOST, _OPEN, _MARK = 0, 1, 2, 3
-
-
-class _Powers:
-    """Powers of the hash base and of its inverse, as far as needed."""
-
-    def __init__(self):
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = 1 << n.bit_length()
-            inverse = pow(_BASE, -1, 2**64)
-            self.up = np.cumprod(np.r_[np.uint64(1), np.full(size, _BASE, np.uint64)], dtype=np.uint64)
-            self.down = np.cumprod(np.r_[np.uint64(1), np.full(size, inverse, np.uint64)], dtype=np.uint64)
-        return self.up, self.down
-
-
-def anchors(codes: np.ndarray, powers: _Powers, length: int, prefix: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """prefix hash, label hash, first window, further windows of every anchor of a document."""
-    n = len(codes)
-    if n < length:
-        none = np.zeros(0, np.uint64)
-        return none, none, np.zeros(0, np.int64), np.zeros(0, np.int64)
-    hashes = window_hashes(codes, prefix)
-    at = np.lib.stride_tricks.sliding_window_view(hashes, length - prefix + 1).argmin(axis=1) + np.arange(n - length + 1)
-    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    more = np.diff(np.r_[first, len(at)]) - 1
-    anchor = at[first]
-    up, down = powers.to(n + 1)
-    sums = np.r_[np.uint64(0), np.cumsum(codes * up[:n], dtype=np.uint64)]
-    label = (sums[first + more + length] - sums[first]) * down[first]
-    label = mixed(label + mixed((more * 64 + (anchor - first)).astype(np.uint64)))
-    return hashes[anchor], label, first, more
-
-
-def _grouped(h: np.ndarray, label: np.ndarray, doc: np.ndarray, first: np.ndarray):
-    """Order by (h, label, doc, first); in that order: is the earliest of its label; is later than it; number of its h."""
-    order = np.lexsort((first, doc, label, h))
-    h, label, doc, first = h[order], label[order], doc[order], first[order]
-    new_h = np.r_[True, h[1:] != h[:-1]][: len(h)]
-    new = new_h | np.r_[True, label[1:] != label[:-1]][: len(h)]
-    leader = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
-    later = (doc != doc[leader]) | (first != first[leader])
-    return order, new, later, np.cumsum(new_h) - 1
-
-
-def _suffixes(docs: DataFrame, length: int, prefix: int) -> DataFrame:
-    """Anchors of all documents, after each batch has compared its own."""
+
+
+def paths(codes: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Path, row and first word of every suffix with length words or more; codes: of the words of all rows, sizes: words of each."""
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    first = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    at = np.flatnonzero(first + length <= sizes[row]) if len(codes) else row
+    path, left = np.zeros(len(at), np.uint64), 64
+    for words, bits in (*((w, b) for w, b in PREFIXES if w < length), (length, 64)):
+        bits = min(bits, left)
+        left -= bits
+        path |= (window_hashes(codes, words)[at] >> np.uint64(64 - bits)) << np.uint64(left)
+    return path, row[at], first[at]
+
+
+def _batch_paths(b: pd.DataFrame, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Path, document and first word of the suffixes of an Arrow batch, by path, document and place."""
+    codes, sizes = batch_codes([t.encode() for t in b["text"]])
+    path, row, first = paths(codes, sizes, length)
+    doc = b["_key"].to_numpy()[row]
+    order = np.lexsort((first, doc, path)) if (np.diff(b["_key"].to_numpy()) <= 0).any() else np.argsort(path, kind="stable")
+    return path[order], doc[order], first[order]
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(doc_key().alias("_key"), whole_text().alias("text"))
+
+
+def _measured(docs: DataFrame, length: int, bits: int, open_: np.ndarray | None, before: int) -> DataFrame:
+    """prefix (leading bits of paths), n: rows that it will have; below the prefixes open_ (of before bits) only, if given."""
+    known = docs.sparkSession.sparkContext.broadcast(open_)
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codes, powers = Codes(), _Powers()
+        parents, held = known.value, []
         for b in batches:
-            keys = b["_key"].to_numpy()
-            parts = [anchors(codes.of(t.encode().split()), powers, length, prefix) for t in b["text"]]
-            if not parts:
+            path = _batch_paths(b, length)[0]
+            path = path[np.r_[True, path[1:] != path[:-1]]] if len(path) else path
+            if parents is not None:
+                path = path[np.isin(path >> np.uint64(64 - before), parents)]
+            value, n = np.unique(path >> np.uint64(64 - bits), return_counts=True)
+            held.append(pd.DataFrame({"prefix": value.view(np.int64), "n": n}))
+            if sum(map(len, held)) > 1 << 20:
+                yield pd.concat(held)
+                held = []
+        yield from held
+
+    return _keyed(docs).mapInPandas(made, "prefix long, n long").groupBy("prefix").agg(F.sum("n").alias("n"))
+
+
+def group_bounds(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -> list[tuple[int, int]]:
+    """Groups of suffixes as (least path, task), by path; a task has less than twice group rows.
+
+    Task -1: a single path with more rows than that, which need not be compared.  What the
+    driver holds is about one entry for every group rows.
+    """
+    found: list[tuple[int, int, bool]] = []  # least path, rows, known to be repeated
+    open_, bits, before = None, FIRST_BITS, 0
+    while True:
+        counts = stored(_measured(docs, length, bits, open_, before), "prefixes")
+        # Runs of successive prefixes are put together below their common beginning; they end at prefixes that are too large.
+        parent = F.shiftrightunsigned("prefix", 8 if open_ is None else bits - before)
+        earlier = Window.partitionBy("parent").orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)
+        numbered = counts.withColumn("parent", parent).withColumn("run", F.floor(F.coalesce(F.sum(F.least("n", F.lit(group))).over(earlier), F.lit(0)) / group))
+        runs = numbered.filter(F.col("n") <= group).groupBy("parent", "run").agg(F.min("prefix").alias("prefix"), F.sum("n").alias("n"))
+        least = lambda prefix, bits=bits: (prefix % 2**64) << (64 - bits)
+        found += [(least(r["prefix"]), r["n"], False) for r in runs.collect()]
+        over = counts.filter(F.col("n") > group).collect()
+        if bits == 64:  # single paths with more rows than a task takes; they are repeated
+            found += [x for r in over for x in ((least(r["prefix"]), r["n"], True), (least(r["prefix"]) + 1, 0, False))]
+        if bits == 64 or not over:
+            break
+        open_, before, bits = np.array([r["prefix"] for r in over], np.int64).view(np.uint64), bits, min(bits + MORE_BITS, 64)
+    bounds: list[tuple[int, int]] = []
+    task, rows, full = -1, 0, True
+    for path, n, repeated in sorted(x for x in found if x[0] < 2**64):
+        if repeated:
+            bounds.append((path, -1))
+        elif full or rows + n > group:
+            task, rows = task + 1, 0
+            bounds.append((path, task))
+        rows += n
+        full = repeated
+    return bounds
+
+
+def _tasks(bounds: list[tuple[int, int]]) -> int:
+    return max(1, *(t + 1 for _, t in bounds))
+
+
+def _suffixes(docs: DataFrame, length: int, bounds: list[tuple[int, int]]) -> DataFrame:
+    """task, path, doc, first, more: suffixes (more: -1), and as runs of windows what each batch knows to be repeated."""
+    known = docs.sparkSession.sparkContext.broadcast((np.array([p for p, _ in bounds], np.uint64), np.array([t for _, t in bounds], np.int64)))
+    n_tasks = _tasks(bounds)
+
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        least, tasks = known.value
+        for b in batches:
+            path, doc, first = _batch_paths(b, length)
+            if not len(path):
                 continue
-            h, label, first, more = (np.concatenate(x) for x in zip(*parts, strict=True))
-            doc = np.repeat(keys, [len(p[0]) for p in parts])
-            order, new, later, group = _grouped(h, label, doc, first)
-            many = np.bincount(group, weights=new)[group] > MANY_LABELS if len(h) else new
-            kind = np.where(later, _LOST, np.where(many, _OPEN, _REP))
-            keep = later | new
-            h, label, doc, first, more = (x[order] for x in (h, label, doc, first, more))
-            # Finished rows only pass through; they are dealt by their place, so that none of them crowd.
-            deal = np.where(kind == _REP, h, mixed(label ^ mixed(doc.view(np.uint64) * np.uint64(_OTHER_BASE) + first.view(np.uint64))))
-            out = pd.DataFrame({"deal": deal.view(np.int64), "label": label.view(np.int64), "doc": doc, "place": first << 8 | more << 2 | kind})[keep]
-            marked = np.unique(h[many & new])
-            zero = np.zeros(len(marked), np.int64)
-            yield pd.concat([out, pd.DataFrame({"deal": marked.view(np.int64), "label": zero, "doc": zero, "place": zero + _MARK})])
-
-    return docs.select(doc_key().alias("_key"), whole_text().alias("text")).mapInPandas(made, "deal long, label long, doc long, place long")
-
-
-def _compared(suffixes: DataFrame) -> DataFrame:
-    """doc, first, more, kind: windows that are repeats (_LOST) or to be compared on their own (_OPEN)."""
+            new = np.r_[True, path[1:] != path[:-1]]
+            task = tasks[np.searchsorted(least, path, "right") - 1]
+            shared = ~new | ~np.r_[new[1:], True] | (task < 0)
+            send = new & (task >= 0)
+            yield pd.DataFrame({"task": task[send], "path": path[send].view(np.int64), "doc": doc[send], "first": first[send], "more": -1})
+            doc, first, more = windows_as_runs(doc[shared], first[shared])
+            task = (mixed(mixed(doc.view(np.uint64)) + first.astype(np.uint64)) % np.uint64(n_tasks)).astype(np.int64)
+            yield pd.DataFrame({"task": task, "path": 0, "doc": doc, "first": first, "more": more})
+
+    return _keyed(docs).mapInPandas(made, "task int, path long, doc long, first int, more int")
+
+
+def windows_as_runs(doc: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """doc, first, more (further windows) of the runs of successive windows, each window once."""
+    order = np.lexsort((first, doc))
+    doc, first = doc[order], first[order]
+    once = np.r_[True, (doc[1:] != doc[:-1]) | (first[1:] != first[:-1])][: len(doc)]
+    doc, first = doc[once], first[once]
+    start = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (first[1:] != first[:-1] + 1)][: len(doc)])
+    return doc[start], first[start], np.diff(np.r_[start, len(doc)]) - 1
+
+
+def deep_leaves(path: np.ndarray) -> np.ndarray:
+    """Which suffixes lie below an internal node of full depth: whose whole path stands twice."""
+    order = np.argsort(path, kind="stable")
+    same = path[order][1:] == path[order][:-1]
+    leaf = np.zeros(len(path), bool)
+    leaf[order[1:][same]] = True
+    leaf[order[:-1][same]] = True
+    return leaf
+
+
+def candidates(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:
+    """doc, first, more: runs of windows below deep nodes."""
+    bounds = group_bounds(docs, length, group)
+    schema = "doc long, first int, more int"
+    if not bounds:
+        return docs.sparkSession.createDataFrame([], schema)
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[list[np.ndarray]] = []
+        held = []
         for b in batches:
-            kind = b["place"].to_numpy() & 3
-            done = (kind == _LOST) | (kind == _OPEN)
-            place = b["place"].to_numpy()[done]
-            yield pd.DataFrame({"doc": b["doc"].to_numpy()[done], "first": place >> 8, "more": place >> 2 & 63, "kind": kind[done]})
-            held.append([b[c].to_numpy()[~done] for c in ("deal", "label", "doc", "place")])
-        if not held:
-            return
-        h, label, doc, place = (np.concatenate(x) for x in zip(*held, strict=True))
-        held.clear()
-        mark = (place & 3) == _MARK
-        marked = np.unique(h[mark])
-        h, label, doc, place = h[~mark], label[~mark], doc[~mark], place[~mark]
-        order, new, later, group = _grouped(h, label, doc, place >> 8)
-        h, doc, place = h[order], doc[order], place[order]
-        open_ = new & ((np.bincount(group, weights=new)[group] > 1) | np.isin(h, marked)) if len(h) else new
-        some = later | open_
-        yield pd.DataFrame({"doc": doc[some], "first": place[some] >> 8, "more": place[some] >> 2 & 63, "kind": np.where(later, _LOST, _OPEN)[some]})
-
-    n = int(suffixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return suffixes.repartition(n, "deal").mapInPandas(made, "doc long, first long, more long, kind long")
-
-
-def _windows(docs: DataFrame, open_: DataFrame, length: int) -> DataFrame:
-    """w1, w2 (hashes), doc, first of the windows that open_ names."""
-    places = stored(open_.groupBy(F.col("doc").alias("_key")).agg(F.collect_list(F.struct("first", "more")).alias("places")), "open-places")
-    joined = docs.select(doc_key().alias("_key"), whole_text().alias("text")).join(places.hint("shuffle_hash"), "_key")
+            done = b["more"].to_numpy() >= 0
+            yield b.loc[done, ["doc", "first", "more"]]
+            held.append([b[c].to_numpy()[~done] for c in ("path", "doc", "first")])
+        if held:
+            path, doc, first = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            leaf = deep_leaves(path)
+            yield pd.DataFrame(dict(zip(("doc", "first", "more"), windows_as_runs(doc[leaf], first[leaf]), strict=True)))
+
+    dealt = _suffixes(docs, length, bounds).repartitionById(_tasks(bounds), "task").drop("task")
+    return dealt.mapInPandas(made, schema)
+
+
+def _windows(docs: DataFrame, runs: DataFrame, length: int) -> DataFrame:
+    """w1, w2 (hashes), doc, first of the windows that runs name."""
+    places = stored(runs.groupBy(F.col("doc").alias("_key")).agg(F.collect_set(F.struct("first", "more")).alias("places")), "places")
+    joined = _keyed(docs).join(places.hint("shuffle_hash"), "_key")
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codes = Codes()
         for b in batches:
             rows = []
             for key, text, places_ in zip(b["_key"].tolist(), b["text"], b["places"], strict=True):
-                words = codes.of(text.encode().split())
-                at = np.unique(np.concatenate([np.arange(p["first"], p["first"] + p["more"] + 1) for p in places_]))
-                at = at[at + length <= len(words)]  # rows that share a doc_id may differ in text
+                codes = word_codes(text.encode())
+                begin = np.array([p["first"] for p in places_])
+                edge = np.zeros(max(len(codes), int(begin.max())) + 2, np.int64)
+                np.add.at(edge, begin, 1)
+                np.add.at(edge, np.minimum(begin + np.array([p["more"] for p in places_]) + 1, len(edge) - 1), -1)
+                n = max(len(codes) - length + 1, 0)  # rows that share a doc_id may differ in text
+                at = np.flatnonzero(np.cumsum(edge)[:n])
                 if len(at):
-                    view = np.lib.stride_tricks.sliding_window_view(words, length)[at]
-                    rows.append((window_hashes(view, length)[:, 0], window_hashes(view, length, _OTHER_BASE)[:, 0], np.full(len(at), key, np.int64), at))
+                    rows.append((window_hashes(codes, length)[at], window_hashes(codes, length, _OTHER_BASE)[at], np.full(len(at), key, np.int64), at))
             if rows:
                 w1, w2, doc, first = (np.concatenate(x) for x in zip(*rows, strict=True))
                 yield pd.DataFrame({"w1": w1.view(np.int64), "w2": w2.view(np.int64), "doc": doc, "first": first})
 
-    return joined.mapInPandas(made, "w1 long, w2 long, doc long, first long")
+    return joined.mapInPandas(made, "w1 long, w2 long, doc long, first int")
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, prefix: int = PREFIX) -> DataFrame:
-    """doc, first, more: windows (first ... first + more) whose words start earlier too."""
-    spark = docs.sparkSession
-    compared = stored(_compared(_suffixes(docs, length, prefix)), "suffixes")
-    release(spark)
-    windows = stored(_windows(docs, compared.filter(F.col("kind") == _OPEN), length), "windows")
-    release(spark)
+def repeats(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:
+    """doc, first: windows whose words start earlier too."""
+    windows = stored(_windows(docs, stored(candidates(docs, length, group), "leaves"), length), "windows")
     place = F.struct("doc", "first")
     earliest = stored(windows.groupBy("w1", "w2").agg(F.min(place).alias("earliest"), F.max(place).alias("latest")).filter("earliest <> latest").drop("latest"), "earliest")
-    later = windows.join(earliest.hint("shuffle_hash"), ["w1", "w2"]).filter(place != F.col("earliest"))
-    lost = compared.filter(F.col("kind") == _LOST).select("doc", "first", "more")
-    return lost.union(later.select("doc", "first", F.lit(0).cast("long").alias("more")))
+    return windows.join(earliest.hint("shuffle_hash"), ["w1", "w2"]).filter(place != F.col("earliest")).select("doc", "first")
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, prefix: int = PREFIX) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:
     """docs without words covered by a window of length words that also starts earlier.
 
     Earlier: in a document of smaller doc_id, or before in the same one; windows are judged
     on the input.  Words are separated by space and the characters 9 to 13.  Returns the columns of
     docs (text: the kept words, joined by one space), n_words, n_removed and removed
-    (array of from, to: word positions, to exclusive).  Null texts have no words.  A null
-    doc_id counts as one document before all others; rows that share a doc_id count as one
-    document, of which every row is returned (where such rows differ in text, their marks
-    are pooled).  Columns named _key, n_words, n_removed or removed are replaced.
+    (array of from, to: word positions, to exclusive).  Null and empty texts have no words;
+    very long texts are taken whole.  A null doc_id counts as one document before all
+    others; rows that share a doc_id count as one document, of which every row is returned
+    (where such rows differ in text, their marks are pooled).  An empty table gives no rows.
+    Columns named n_words, n_removed or removed are replaced, others stay.
     """
-    own = [c for c in docs.columns if c not in ("_key", "n_words", "n_removed", "removed")]
-    marks = stored(repeats(docs, length, prefix).groupBy(F.col("doc").alias("_key")).agg(F.collect_list(F.struct("first", "more")).alias("marks")), "marks")
-    release(docs.sparkSession)
-    joined = docs.select(*own, doc_key().alias("_key")).join(marks.hint("shuffle_hash"), "_key", "left").drop("_key")
+    own = [c for c in docs.columns if c.lower() not in ("n_words", "n_removed", "removed")]
+    key, marked, made_name = (free_name(docs.columns, c) for c in ("_key", "_marks", "_made"))
+
+    @F.pandas_udf("array<int>")
+    def runs(first: pd.Series) -> pd.Series:
+        """first and last window of each run, one behind the other."""
+
+        def one(at: np.ndarray) -> np.ndarray:
+            _, low, more = windows_as_runs(np.zeros(len(at), np.int64), np.asarray(at, np.int64))
+            return np.stack([low, low + more], 1).ravel().astype("int32")
+
+        return first.map(one)
+
+    marks = repeats(docs, length, group).groupBy(F.col("doc").alias(key)).agg(F.collect_list("first").alias("first"))
+    marks = stored(marks.select(key, runs("first").alias(marked)), "marks")
+    joined = docs.select(*[f"`{c}`" for c in own], doc_key().alias(key)).join(marks.hint("shuffle_hash"), key, "left")
 
     @F.pandas_udf("text string, n_words long, n_removed long, removed array<struct<`from`: long, `to`: long>>")
     def kept(text: pd.Series, marks_: pd.Series) -> pd.DataFrame:
         rows = []
-        for t, places in zip(text, marks_, strict=True):
+        for t, ends in zip(text, marks_, strict=True):
             words = t.encode().split()
             n, spans = len(words), []
-            if places is not None and n:
+            if ends is not None and n:
                 edge = np.zeros(n + 1, np.int64)
-                first = np.array([p["first"] for p in places])
-                np.add.at(edge, np.minimum(first, n), 1)
-                np.add.at(edge, np.minimum(first + np.array([p["more"] for p in places]) + length, n), -1)
+                np.add.at(edge, np.minimum(ends[::2], n), 1)
+                np.add.at(edge, np.minimum(ends[1::2] + length, n), -1)
                 gone = np.r_[False, np.cumsum(edge)[:n] > 0, False]
                 turns = np.flatnonzero(gone[1:] != gone[:-1]).tolist()
                 spans = [{"from": a, "to": b} for a, b in zip(turns[::2], turns[1::2], strict=True)]
-                words = [w for w, g in zip(words, gone[1:-1].tolist(), strict=True) if not g]
+                keep = [0, *turns, n]
+                words = [w for a, b in zip(keep[::2], keep[1::2], strict=True) for w in words[a:b]]
             rows.append((b" ".join(words).decode(), n, n - len(words), spans))
         return pd.DataFrame(rows, columns=["text", "n_words", "n_removed", "removed"])
 
-    made = joined.withColumn("_kept", kept(whole_text(), F.col("marks")))
-    return made.select(*[F.col("_kept.text").alias("text") if c == "text" else c for c in own], "_kept.n_words", "_kept.n_removed", "_kept.removed")
+    made = joined.withColumn(made_name, kept(whole_text(), F.col(f"`{marked}`")))
+    return made.select(*[F.col(f"`{made_name}`.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in own], *[F.col(f"`{made_name}`.{c}").alias(c) for c in ("n_words", "n_removed", "removed")])

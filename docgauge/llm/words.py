@@ -47,27 +47,41 @@ def word_places(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return turns[::2], turns[1::2]
 
 
-def _stretch_codes(text: bytes) -> np.ndarray:
+def _stretch_codes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     start, end = word_places(text)
     up, down = _POWERS.to(len(text) + 1)
     sums = np.zeros(len(text) + 1, np.uint64)
     np.cumsum(_BYTES[np.frombuffer(text, np.uint8)] * up[: len(text)], out=sums[1:])
-    return mixed((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+    return mixed((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64)), start
+
+
+def placed_codes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Unsigned 64-bit codes of the words of a text (polynomial hashes of their bytes, scrambled), and where each begins."""
+    parts, places, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    while at < len(text):
+        cut = len(text)
+        if cut - at > 2 * STRETCH:
+            cut = max(text.rfind(s, at, at + STRETCH) for s in (b" ", b"\n", b"\t"))
+            if cut <= at:  # a word longer than a stretch
+                found = [p for s in (b" ", b"\t", b"\n", b"\v", b"\f", b"\r") if (p := text.find(s, at + STRETCH)) >= 0]
+                cut = min(found, default=len(text))
+        codes, start = _stretch_codes(text[at:cut])
+        parts.append(codes)
+        places.append(start + at)
+        at = cut
+    return np.concatenate(parts), np.concatenate(places)
 
 
 def word_codes(text: bytes) -> np.ndarray:
-    """Unsigned 64-bit codes of the words of a text: polynomial hashes of their bytes, scrambled."""
-    parts, at = [], 0
-    while len(text) - at > 2 * STRETCH:
-        cut = max(text.rfind(s, at, at + STRETCH) for s in (b" ", b"\n", b"\t"))
-        if cut <= at:  # a word longer than a stretch
-            found = [p for s in (b" ", b"\t", b"\n", b"\v", b"\f", b"\r") if (p := text.find(s, at + STRETCH)) >= 0]
-            cut = min(found, default=len(text))
-        parts.append(_stretch_codes(text[at:cut]))
-        at = cut
-    if at < len(text):
-        parts.append(_stretch_codes(text[at:]))
-    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+    """Unsigned 64-bit codes of the words of a text."""
+    return placed_codes(text)[0]
+
+
+def batch_codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the words of all texts in a row, and how many words each text has."""
+    codes, places = placed_codes(b"\n".join(texts))
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+    return codes, np.diff(np.searchsorted(places, np.r_[0, ends]))
 
 
 def window_hashes(codes: np.ndarray, size: int, base: int = _BASE) -> np.ndarray:
