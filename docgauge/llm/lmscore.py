@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Iterator
 from math import log
 
 import numpy as np
@@ -32,8 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from docgauge.llm.stage import doc_key, id_from, release, stored, whole_text
-from docgauge.llm.words import Codes, window_hashes
+from docgauge.llm.stage import doc_key, id_from, stored, whole_text
+from docgauge.llm.words import batch_codes, window_hashes
 
 ORDER = 3
 ALPHA = 0.4
@@ -78,19 +79,17 @@ def _squeezed(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: zlib.compress(t.encode(), 1))
 
 
-def _texts(squeezed: pd.Series) -> list[str]:
-    return [zlib.decompress(t).decode() for t in squeezed]
+def _texts(squeezed: pd.Series) -> list[bytes]:
+    return [zlib.decompress(t) for t in squeezed]
 
 
 class Grams:
     """The n-grams of some documents, order by order."""
 
-    def __init__(self, texts: list[str], order: int, codes: Codes):
-        rows = [codes.of(t.encode().lower().split()) for t in texts]
-        self.sizes = np.array([len(r) for r in rows], np.int64)
-        self.doc = np.repeat(np.arange(len(rows)), self.sizes)
+    def __init__(self, texts: list[bytes], order: int):
+        flat, self.sizes = batch_codes([t.lower() for t in texts])
+        self.doc = np.repeat(np.arange(len(texts)), self.sizes)
         self.place = np.arange(len(self.doc)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
-        flat = np.concatenate(rows) if rows else np.zeros(0, np.uint64)
         self.hashes, self.ends = [], []  # ends: the words with which the n-grams end
         for n in range(1, order + 1):
             ends = np.flatnonzero(self.place >= n - 1)
@@ -107,16 +106,17 @@ def _asked(keyed: DataFrame, order: int, buckets: int) -> DataFrame:
     """block, n, bucket, hashes, counts: the different n-grams of each block."""
 
     def asked(pdf: pd.DataFrame) -> pd.DataFrame:
-        grams, rows, block = Grams(_texts(pdf["text"]), order, Codes()), [], int(pdf["block"].iloc[0])
+        grams, rows, block = Grams(_texts(pdf["text"]), order), [], int(pdf["block"].iloc[0])
+        copies = pdf["copies"].to_numpy()
         for n, all_ in enumerate(grams.hashes, 1):
-            hashes, counts = np.unique(all_, return_counts=True)
+            hashes, counts = _counted(all_, copies[grams.doc[grams.ends[n - 1]]])
             if len(hashes):
                 bucket = _bucket(hashes, buckets)
                 cuts = np.r_[0, np.flatnonzero(np.diff(bucket)) + 1, len(hashes)]
                 rows += [(block, n, int(bucket[a]), _packed(hashes[a:b]), _ints(counts[a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         return pd.DataFrame(rows, columns=["block", "n", "bucket", "hashes", "counts"])
 
-    return keyed.select("block", "text").groupBy("block").applyInPandas(asked, "block long, n int, bucket long, hashes binary, counts binary")
+    return keyed.select("block", "text", "copies").groupBy("block").applyInPandas(asked, "block long, n int, bucket long, hashes binary, counts binary")
 
 
 def _answered(asked: DataFrame) -> DataFrame:
@@ -134,13 +134,21 @@ def _answered(asked: DataFrame) -> DataFrame:
     return asked.groupBy("n", "bucket").applyInPandas(answered, "block long, n int, bucket long, others binary, all long")
 
 
+def _counted(grams: np.ndarray, copies: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different n-grams, rising, and how often each occurs, a document counting once for each of its copies."""
+    if (copies == 1).all():
+        return np.unique(grams, return_counts=True)
+    hashes, inverse = np.unique(grams, return_inverse=True)
+    return hashes, np.bincount(inverse, weights=copies, minlength=len(hashes)).astype(np.int64)
+
+
 def _own_counts(doc: np.ndarray, gram: np.ndarray, n_grams: int) -> np.ndarray:
     """How often each occurrence's n-gram occurs in its own document."""
     _, inverse, counts = np.unique(doc * n_grams + gram, return_inverse=True, return_counts=True)
     return counts[inverse]
 
 
-def _scores(grams: Grams, elsewhere: list[np.ndarray], all_words: int, alpha: float) -> tuple[np.ndarray, np.ndarray]:
+def _scores(grams: Grams, copies: np.ndarray, elsewhere: list[np.ndarray], all_words: int, alpha: float) -> tuple[np.ndarray, np.ndarray]:
     """Sum of log scores and number of words that backed off, per document; elsewhere: what other blocks have of each order's n-grams."""
     size, order = len(grams.doc), len(grams.hashes)
     others = np.zeros((order + 1, size), np.int64)  # [n, word]: occurrences elsewhere of the n-gram that ends there
@@ -148,7 +156,8 @@ def _scores(grams: Grams, elsewhere: list[np.ndarray], all_words: int, alpha: fl
     for n in range(1, order + 1):
         ends = grams.ends[n - 1]
         if len(ends):
-            known, gram, counts = np.unique(grams.hashes[n - 1], return_inverse=True, return_counts=True)
+            known, gram = np.unique(grams.hashes[n - 1], return_inverse=True)
+            counts = np.bincount(gram, weights=copies[grams.doc[ends]], minlength=len(known)).astype(np.int64)
             others[n][ends] = (elsewhere[n - 1] + counts)[gram] - _own_counts(grams.doc[ends], gram, len(known))
     score, open_, backed = np.zeros(size), np.ones(size, bool), np.zeros(size, bool)
     for n in range(order, 0, -1):
@@ -168,29 +177,51 @@ def _scores(grams: Grams, elsewhere: list[np.ndarray], all_words: int, alpha: fl
 def backoff_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, log_score (sum over its words), mean_log_score (null without words), n_backed_off.
 
-    Words are separated by space and the characters 9 to 13, A-Z lower-cased.  Null texts
-    have no words and log_score 0.  A null doc_id stays null; rows that share a doc_id are
-    documents of their own, one row each; other columns are ignored.
+    Words are separated by space and the characters 9 to 13, A-Z lower-cased.  Null and empty
+    texts have no words and log_score 0; very long texts are scored whole.  A null doc_id stays
+    null; rows that share a doc_id are documents of their own, one row each.  Rows that repeat
+    are counted first and travel as one row with its number of copies; each copy has the others
+    as other documents.  An empty table gives no rows; other columns are ignored.
     """
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = int(size // block_bytes) + 1
     buckets = max(1, blocks // 2)
-    keyed = docs.select(doc_key().alias("_key"), whole_text().alias("text")).withColumn("block", F.pmod(F.xxhash64("_key", F.xxhash64("text")), F.lit(blocks)))
-    keyed = keyed.withColumn("text", _squeezed("text"))
+    text_hash = F.xxhash64(whole_text()).alias("text_hash")
+    keyed = docs.select(doc_key().alias("_key"), text_hash, whole_text().alias("text"))
+    same = ["_key", "text_hash"]
+    repeated = stored(docs.select(doc_key().alias("_key"), text_hash).groupBy(*same).agg(F.count("*").alias("copies")).filter("copies > 1"), "repeated-rows")
+    some = not repeated.isEmpty()
+    if some:
+        keyed = keyed.join(repeated.hint("shuffle_hash"), same, "left").dropDuplicates(same).withColumn("copies", F.coalesce("copies", F.lit(1).cast("long")))
+    else:
+        keyed = keyed.withColumn("copies", F.lit(1).cast("long"))
+    keyed = keyed.withColumns({"block": F.pmod(F.xxhash64(*same), F.lit(blocks)), "text": _squeezed("text")}).drop("text_hash")
     totals = stored(_answered(_asked(keyed, order, buckets)), "ngram-totals")
-    release(docs.sparkSession)
     all_words = int(totals.filter("n = 1").select("bucket", "all").distinct().agg(F.coalesce(F.sum("all"), F.lit(0))).first()[0])
 
     def scored(pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        grams = Grams(_texts(pdf["text"]), order, Codes())
+        grams = Grams(_texts(pdf["text"]), order)
         answers = answers.sort_values(["n", "bucket"])
         counts = []
         for n in range(1, order + 1):
             parts = [_from_ints(t) for t in answers.loc[answers["n"] == n, "others"]]
             counts.append(np.concatenate(parts) if parts else np.zeros(0, np.int64))
-        total, backed = _scores(grams, counts, all_words, alpha)
-        return pd.DataFrame({"_key": pdf["_key"].to_numpy(), "n_words": grams.sizes, "log_score": total, "n_backed_off": backed})
-
-    made = keyed.groupBy("block").cogroup(totals.select("block", "n", "bucket", "others").groupBy("block")).applyInPandas(scored, "_key long, n_words long, log_score double, n_backed_off long")
+        total, backed = _scores(grams, pdf["copies"].to_numpy(), counts, all_words, alpha)
+        return pd.DataFrame({"_key": pdf["_key"].to_numpy(), "n_words": grams.sizes, "log_score": total, "n_backed_off": backed, "copies": pdf["copies"].to_numpy()})
+
+    def copied(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at in range(len(b)):
+                left = int(b["copies"].iloc[at])
+                while left:
+                    n = min(left, 100_000)
+                    yield b.iloc[np.full(n, at)]
+                    left -= n
+
+    made = keyed.groupBy("block").cogroup(totals.select("block", "n", "bucket", "others").groupBy("block"))
+    made = made.applyInPandas(scored, "_key long, n_words long, log_score double, n_backed_off long, copies long")
+    if some:
+        made = stored(made, "scores")
+        made = made.filter("copies = 1").union(made.filter("copies > 1").mapInPandas(copied, made.schema))
     mean = F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words"))
     return made.select(id_from(), "n_words", "log_score", mean.alias("mean_log_score"), "n_backed_off")
