@@ -14,8 +14,8 @@ maximal repeats are the runs of successive leaves of a document.
    follows it, rare ones are put together, and a task holds one group, whatever the corpus.
 3. Suffixes are dealt to their groups.  A group sorts its paths, which is its suffix array; runs
    of equal whole paths are its internal nodes of full depth, and their leaves are candidates.
-   Each Arrow batch sends one suffix for each path; what repeats within it is a candidate at
-   once, so a passage found in a third of all documents sends a row for each batch only.  A
+   Each slice of the input sends one suffix for each path; what repeats within it is a candidate
+   at once, so a passage found in a third of all documents is sent once by each slice only.  A
    single path with more rows than a group takes is dealt to several tasks by document.
 4. Candidates are compared by 128 bits of hash over their words; the earliest of each stays.
 """
@@ -38,6 +38,8 @@ GROUP = 1_500_000
 #: Prefix lengths in words before the whole window, and their bits in a path; the window has the rest.
 PREFIXES = ((1, 10), (2, 8), (4, 8), (8, 8))
 FIRST_BITS, MORE_BITS = 16, 12
+#: Texts that a task turns into suffixes at once.
+SLICE_BYTES = 6_000_000
 _OTHER_BASE = 0xD6E8FEB86659FD93
 
 
@@ -54,12 +56,22 @@ def paths(codes: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np.ndarray
     return path, row[at], first[at]
 
 
-def _batch_paths(b: pd.DataFrame, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Path, document and first word of the suffixes of an Arrow batch, by path, document and place."""
-    codes, sizes = batch_codes([t.encode() for t in b["text"]])
-    path, row, first = paths(codes, sizes, length)
-    doc = b["_key"].to_numpy()[row]
-    order = np.lexsort((first, doc, path)) if (np.diff(b["_key"].to_numpy()) <= 0).any() else np.argsort(path, kind="stable")
+def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+    """Keys and texts of an input in slices of about SLICE_BYTES, whatever the size of Arrow batches."""
+    for b in batches:
+        keys, texts, low, size = b["_key"].to_numpy(), [t.encode() for t in b["text"]], 0, 0
+        for i, t in enumerate(texts):
+            size += len(t)
+            if size > SLICE_BYTES or i + 1 == len(texts):
+                yield keys[low : i + 1], texts[low : i + 1]
+                low, size = i + 1, 0
+
+
+def _slice_paths(keys: np.ndarray, texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Path, document and first word of the suffixes of a slice, by path, document and place."""
+    path, row, first = paths(*batch_codes(texts), length)
+    doc = keys[row]
+    order = np.lexsort((first, doc, path)) if (np.diff(keys) <= 0).any() else np.argsort(path, kind="stable")
     return path[order], doc[order], first[order]
 
 
@@ -73,8 +85,8 @@ def _measured(docs: DataFrame, length: int, bits: int, open_: np.ndarray | None,
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parents, held = known.value, []
-        for b in batches:
-            path = _batch_paths(b, length)[0]
+        for keys, texts in _slices(batches):
+            path = _slice_paths(keys, texts, length)[0]
             path = path[np.r_[True, path[1:] != path[:-1]]] if len(path) else path
             if parents is not None:
                 path = path[np.isin(path >> np.uint64(64 - before), parents)]
@@ -128,27 +140,53 @@ def _tasks(bounds: list[tuple[int, int]]) -> int:
     return max(1, *(t + 1 for _, t in bounds))
 
 
+def _packed(doc: np.ndarray, first: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """Places by document: documents with their numbers of places, and first words as low and high halves."""
+    start = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]][: len(doc)])
+    docs = np.stack([doc[start], np.diff(np.r_[start, len(doc)])]).astype("<i8")
+    return docs.tobytes(), (first & 0xFFFF).astype("<u2").tobytes(), (first >> 16).astype("<u2").tobytes()
+
+
+def _unpacked(docs: bytes, low: bytes, high: bytes) -> tuple[np.ndarray, np.ndarray]:
+    doc, n = np.frombuffer(docs, "<i8").reshape(2, -1)
+    return np.repeat(doc, n), np.frombuffer(low, "<u2").astype(np.int64) | np.frombuffer(high, "<u2").astype(np.int64) << 16
+
+
+_DEALT = "task int, path binary, more binary, docs binary, low binary, high binary"
+
+
 def _suffixes(docs: DataFrame, length: int, bounds: list[tuple[int, int]]) -> DataFrame:
-    """task, path, doc, first, more: suffixes (more: -1), and as runs of windows what each batch knows to be repeated."""
+    """task, and packed places: of suffixes with their paths, and of what each slice knows to be repeated as runs of windows.
+
+    A slice gives a row for each task for which it has suffixes, so rows never outnumber suffixes.
+    """
     known = docs.sparkSession.sparkContext.broadcast((np.array([p for p, _ in bounds], np.uint64), np.array([t for _, t in bounds], np.int64)))
     n_tasks = _tasks(bounds)
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         least, tasks = known.value
-        for b in batches:
-            path, doc, first = _batch_paths(b, length)
+        for keys, texts in _slices(batches):
+            path, doc, first = _slice_paths(keys, texts, length)
             if not len(path):
                 continue
             new = np.r_[True, path[1:] != path[:-1]]
             task = tasks[np.searchsorted(least, path, "right") - 1]
             shared = ~new | ~np.r_[new[1:], True] | (task < 0)
-            send = new & (task >= 0)
-            yield pd.DataFrame({"task": task[send], "path": path[send].view(np.int64), "doc": doc[send], "first": first[send], "more": -1})
-            doc, first, more = windows_as_runs(doc[shared], first[shared])
-            task = (mixed(mixed(doc.view(np.uint64)) + first.astype(np.uint64)) % np.uint64(n_tasks)).astype(np.int64)
-            yield pd.DataFrame({"task": task, "path": 0, "doc": doc, "first": first, "more": more})
+            send = np.flatnonzero(new & (task >= 0))
+            cuts = np.r_[0, np.flatnonzero(np.diff(task[send])) + 1, len(send)]  # tasks rise with paths
+            rows = []
+            for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+                some = send[low:high]
+                if len(some):
+                    some = some[np.lexsort((first[some], doc[some]))]
+                    rows.append((task[some[0]], path[some].astype("<u8").tobytes(), b"", *_packed(doc[some], first[some])))
+            run_doc, run_first, more = windows_as_runs(doc[shared], first[shared])
+            if len(run_doc):
+                at = int(mixed(run_doc[:1].view(np.uint64))[0] % np.uint64(n_tasks))
+                rows.append((at, b"", more.astype("<i4").tobytes(), *_packed(run_doc, run_first)))
+            yield pd.DataFrame(rows, columns=["task", "path", "more", "docs", "low", "high"])
 
-    return _keyed(docs).mapInPandas(made, "task int, path long, doc long, first int, more int")
+    return _keyed(docs).mapInPandas(made, _DEALT)
 
 
 def windows_as_runs(doc: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -181,9 +219,12 @@ def candidates(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -> Dat
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = []
         for b in batches:
-            done = b["more"].to_numpy() >= 0
-            yield b.loc[done, ["doc", "first", "more"]]
-            held.append([b[c].to_numpy()[~done] for c in ("path", "doc", "first")])
+            for path, more, *places in zip(*(b[c] for c in ("path", "more", "docs", "low", "high")), strict=True):
+                doc, first = _unpacked(*places)
+                if path:
+                    held.append((np.frombuffer(path, "<u8"), doc, first))
+                else:
+                    yield pd.DataFrame({"doc": doc, "first": first, "more": np.frombuffer(more, "<i4")})
         if held:
             path, doc, first = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
