@@ -5,7 +5,7 @@ the leaves below the internal nodes of depth ``length`` and more of the corpus'
 maximal repeats are the runs of successive leaves of a document.
 
 1. Every suffix of at least ``length`` words has a path: hashes of its first 1, 2, 4, 8 and
-   ``length`` words, one behind the other in 64 bits.  Suffixes in order of their paths lie in
+   ``length`` words, one behind the other in 96 bits.  Suffixes in order of their paths lie in
    order of their prefixes, and the leading bits that neighbours share tell how long a prefix
    they share.
 2. Prefixes are measured: all suffixes are counted by the leading bits of their paths, and a
@@ -13,11 +13,14 @@ maximal repeats are the runs of successive leaves of a document.
    Successive prefixes share a group up to that size.  So a frequent word is split by what
    follows it, rare ones are put together, and a task holds one group, whatever the corpus.
 3. Suffixes are dealt to their groups.  A group sorts its paths, which is its suffix array; runs
-   of equal whole paths are its internal nodes of full depth, and their leaves are candidates.
-   Each slice of the input sends one suffix for each path; what repeats within it is a candidate
-   at once, so a passage found in a third of all documents is sent once by each slice only.  A
-   single path with more rows than a group takes is dealt to several tasks by document.
-4. Candidates are compared by 128 bits of hash over their words; the earliest of each stays.
+   of equal whole paths are its internal nodes of full depth.  The earliest leaf of a node
+   stays, all others are repeats.  Each slice of the input (``SLICE_BYTES``) does this for
+   itself first and sends one suffix for each path, so a passage found in a third of all
+   documents is sent once by each slice only (17 million times for 100 TB, 24 bytes each).
+4. Repeats are dealt back to their documents and put together to runs.
+
+Places travel packed: a slice gives one row for each group for which it has suffixes, so rows
+never outnumber suffixes (they come near them from some hundred TB on).
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docgauge.llm.stage import doc_key, free_name, stored, whole_text
-from docgauge.llm.words import batch_codes, mixed, window_hashes, word_codes
+from docgauge.llm.words import batch_codes, mixed, window_hashes
 
 LENGTH = 20
 #: Suffixes that a task holds at once, twice as many at most (24 bytes each, and as much again to sort them).
@@ -40,20 +43,21 @@ PREFIXES = ((1, 10), (2, 8), (4, 8), (8, 8))
 FIRST_BITS, MORE_BITS = 16, 12
 #: Texts that a task turns into suffixes at once.
 SLICE_BYTES = 6_000_000
-_OTHER_BASE = 0xD6E8FEB86659FD93
 
 
-def paths(codes: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Path, row and first word of every suffix with length words or more; codes: of the words of all rows, sizes: words of each."""
+def paths(codes: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Path (64 bits and 32 more), row and first word of every suffix with length words or more; codes: of the words of all rows, sizes: words of each."""
     row = np.repeat(np.arange(len(sizes)), sizes)
     first = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     at = np.flatnonzero(first + length <= sizes[row]) if len(codes) else row
     path, left = np.zeros(len(at), np.uint64), 64
-    for words, bits in (*((w, b) for w, b in PREFIXES if w < length), (length, 64)):
-        bits = min(bits, left)
-        left -= bits
-        path |= (window_hashes(codes, words)[at] >> np.uint64(64 - bits)) << np.uint64(left)
-    return path, row[at], first[at]
+    for words, bits in PREFIXES:
+        if words < length:
+            left -= bits
+            path |= (window_hashes(codes, words)[at] >> np.uint64(64 - bits)) << np.uint64(left)
+    window = window_hashes(codes, length)[at]
+    path |= window >> np.uint64(64 - left)
+    return path, (mixed(window) >> np.uint64(32)).astype(np.uint32), row[at], first[at]
 
 
 def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, list[bytes]]]:
@@ -67,12 +71,23 @@ def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, list[
                 low, size = i + 1, 0
 
 
-def _slice_paths(keys: np.ndarray, texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Path, document and first word of the suffixes of a slice, by path, document and place."""
-    path, row, first = paths(*batch_codes(texts), length)
+def _slice_paths(keys: np.ndarray, texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Path and its tail, document and first word of the suffixes of a slice in order of all these, and which is the first of its path."""
+    path, tail, row, first = paths(*batch_codes(texts), length)
     doc = keys[row]
-    order = np.lexsort((first, doc, path)) if (np.diff(keys) <= 0).any() else np.argsort(path, kind="stable")
-    return path[order], doc[order], first[order]
+    order = _ordered(path, tail, doc, first)
+    path, tail, doc, first = path[order], tail[order], doc[order], first[order]
+    return path, tail, doc, first, np.r_[True, (path[1:] != path[:-1]) | (tail[1:] != tail[:-1])][: len(path)]
+
+
+def _ordered(path: np.ndarray, tail: np.ndarray, doc: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The order by all four; only where paths repeat is more than the path looked at."""
+    order = np.argsort(path)
+    same = path[order][1:] == path[order][:-1]
+    some = np.flatnonzero(np.r_[same, False] | np.r_[False, same])
+    at = order[some]
+    order[some] = at[np.lexsort((first[at], doc[at], tail[at], path[at]))]
+    return order
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -86,8 +101,8 @@ def _measured(docs: DataFrame, length: int, bits: int, open_: np.ndarray | None,
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parents, held = known.value, []
         for keys, texts in _slices(batches):
-            path = _slice_paths(keys, texts, length)[0]
-            path = path[np.r_[True, path[1:] != path[:-1]]] if len(path) else path
+            path, *_, new = _slice_paths(keys, texts, length)
+            path = path[new]
             if parents is not None:
                 path = path[np.isin(path >> np.uint64(64 - before), parents)]
             value, n = np.unique(path >> np.uint64(64 - bits), return_counts=True)
@@ -100,13 +115,13 @@ def _measured(docs: DataFrame, length: int, bits: int, open_: np.ndarray | None,
     return _keyed(docs).mapInPandas(made, "prefix long, n long").groupBy("prefix").agg(F.sum("n").alias("n"))
 
 
-def group_bounds(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -> list[tuple[int, int]]:
-    """Groups of suffixes as (least path, task), by path; a task has less than twice group rows.
+def group_bounds(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -> list[int]:
+    """The least path of each group of suffixes, rising.
 
-    Task -1: a single path with more rows than that, which need not be compared.  What the
+    A group has less than twice group rows, but for a single path that has more.  What the
     driver holds is about one entry for every group rows.
     """
-    found: list[tuple[int, int, bool]] = []  # least path, rows, known to be repeated
+    found: list[tuple[int, int]] = []  # least path, rows
     open_, bits, before = None, FIRST_BITS, 0
     while True:
         counts = stored(_measured(docs, length, bits, open_, before), "prefixes")
@@ -116,30 +131,23 @@ def group_bounds(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -> l
         numbered = counts.withColumn("parent", parent).withColumn("run", F.floor(F.coalesce(F.sum(F.least("n", F.lit(group))).over(earlier), F.lit(0)) / group))
         runs = numbered.filter(F.col("n") <= group).groupBy("parent", "run").agg(F.min("prefix").alias("prefix"), F.sum("n").alias("n"))
         least = lambda prefix, bits=bits: (prefix % 2**64) << (64 - bits)
-        found += [(least(r["prefix"]), r["n"], False) for r in runs.collect()]
+        found += [(least(r["prefix"]), r["n"]) for r in runs.collect()]
         over = counts.filter(F.col("n") > group).collect()
-        if bits == 64:  # single paths with more rows than a task takes; they are repeated
-            found += [x for r in over for x in ((least(r["prefix"]), r["n"], True), (least(r["prefix"]) + 1, 0, False))]
+        if bits == 64:  # single paths, one suffix for each slice
+            found += [(least(r["prefix"]), r["n"]) for r in over]
         if bits == 64 or not over:
             break
         open_, before, bits = np.array([r["prefix"] for r in over], np.int64).view(np.uint64), bits, min(bits + MORE_BITS, 64)
-    bounds: list[tuple[int, int]] = []
-    task, rows, full = -1, 0, True
-    for path, n, repeated in sorted(x for x in found if x[0] < 2**64):
-        if repeated:
-            bounds.append((path, -1))
-        elif full or rows + n > group:
-            task, rows = task + 1, 0
-            bounds.append((path, task))
+    bounds: list[int] = []
+    rows = group
+    for path, n in sorted(found):
+        if rows + n > group:
+            bounds.append(path)
+            rows = 0
         rows += n
-        full = repeated
     return bounds
 
 
-def _tasks(bounds: list[tuple[int, int]]) -> int:
-    return max(1, *(t + 1 for _, t in bounds))
-
-
 def _packed(doc: np.ndarray, first: np.ndarray) -> tuple[bytes, bytes, bytes]:
     """Places by document: documents with their numbers of places, and first words as low and high halves."""
     start = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]][: len(doc)])
@@ -152,39 +160,42 @@ def _unpacked(docs: bytes, low: bytes, high: bytes) -> tuple[np.ndarray, np.ndar
     return np.repeat(doc, n), np.frombuffer(low, "<u2").astype(np.int64) | np.frombuffer(high, "<u2").astype(np.int64) << 16
 
 
-_DEALT = "task int, path binary, more binary, docs binary, low binary, high binary"
+#: task: a group's, or that of the documents that rows of repeats are dealt back to (path empty).
+_DEALT = "task int, path binary, tail binary, docs binary, low binary, high binary, more binary"
 
 
-def _suffixes(docs: DataFrame, length: int, bounds: list[tuple[int, int]]) -> DataFrame:
-    """task, and packed places: of suffixes with their paths, and of what each slice knows to be repeated as runs of windows.
+def _returned(doc: np.ndarray, first: np.ndarray, tasks: int) -> list[tuple]:
+    """Rows of repeated windows, by the tasks of their documents."""
+    doc, first, more = windows_as_runs(doc, first)
+    task = (mixed(doc.view(np.uint64)) % np.uint64(tasks)).astype(np.int64)
+    order = np.argsort(task, kind="stable")
+    task, doc, first, more = task[order], doc[order], first[order], more[order]
+    cuts = np.flatnonzero(np.r_[True, task[1:] != task[:-1], True]) if len(task) else []
+    return [(int(task[a]), b"", b"", *_packed(doc[a:b], first[a:b]), more[a:b].astype("<i4").tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
-    A slice gives a row for each task for which it has suffixes, so rows never outnumber suffixes.
-    """
-    known = docs.sparkSession.sparkContext.broadcast((np.array([p for p, _ in bounds], np.uint64), np.array([t for _, t in bounds], np.int64)))
-    n_tasks = _tasks(bounds)
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["task", "path", "tail", "docs", "low", "high", "more"])
+
+
+def _suffixes(docs: DataFrame, length: int, bounds: list[int]) -> DataFrame:
+    """Suffixes for their groups, and what each slice has found to be repeats."""
+    known = docs.sparkSession.sparkContext.broadcast(np.array(bounds, np.uint64))
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        least, tasks = known.value
+        least = known.value
         for keys, texts in _slices(batches):
-            path, doc, first = _slice_paths(keys, texts, length)
-            if not len(path):
-                continue
-            new = np.r_[True, path[1:] != path[:-1]]
-            task = tasks[np.searchsorted(least, path, "right") - 1]
-            shared = ~new | ~np.r_[new[1:], True] | (task < 0)
-            send = np.flatnonzero(new & (task >= 0))
-            cuts = np.r_[0, np.flatnonzero(np.diff(task[send])) + 1, len(send)]  # tasks rise with paths
-            rows = []
+            path, tail, doc, first, new = _slice_paths(keys, texts, length)
+            head = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+            later = ~new & ((doc != doc[head]) | (first != first[head]))  # rows that repeat are one document
+            rows = _returned(doc[later], first[later], len(least))
+            path, tail, doc, first = path[new], tail[new], doc[new], first[new]
+            task = np.searchsorted(least, path, "right") - 1  # rises with paths
+            cuts = np.flatnonzero(np.r_[True, task[1:] != task[:-1], True]) if len(task) else []
             for low, high in zip(cuts[:-1], cuts[1:], strict=True):
-                some = send[low:high]
-                if len(some):
-                    some = some[np.lexsort((first[some], doc[some]))]
-                    rows.append((task[some[0]], path[some].astype("<u8").tobytes(), b"", *_packed(doc[some], first[some])))
-            run_doc, run_first, more = windows_as_runs(doc[shared], first[shared])
-            if len(run_doc):
-                at = int(mixed(run_doc[:1].view(np.uint64))[0] % np.uint64(n_tasks))
-                rows.append((at, b"", more.astype("<i4").tobytes(), *_packed(run_doc, run_first)))
-            yield pd.DataFrame(rows, columns=["task", "path", "more", "docs", "low", "high"])
+                some = low + np.lexsort((first[low:high], doc[low:high]))
+                rows.append((int(task[low]), path[some].astype("<u8").tobytes(), tail[some].astype("<u4").tobytes(), *_packed(doc[some], first[some]), b""))
+            yield _frame(rows)
 
     return _keyed(docs).mapInPandas(made, _DEALT)
 
@@ -199,73 +210,55 @@ def windows_as_runs(doc: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.
     return doc[start], first[start], np.diff(np.r_[start, len(doc)]) - 1
 
 
-def deep_leaves(path: np.ndarray) -> np.ndarray:
-    """Which suffixes lie below an internal node of full depth: whose whole path stands twice."""
-    order = np.argsort(path, kind="stable")
-    same = path[order][1:] == path[order][:-1]
-    leaf = np.zeros(len(path), bool)
-    leaf[order[1:][same]] = True
-    leaf[order[:-1][same]] = True
-    return leaf
+def later_leaves(path: np.ndarray, tail: np.ndarray, doc: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The suffixes below internal nodes of full depth (whose whole path stands twice), but for the earliest of each node."""
+    order = _ordered(path, tail, doc, first)
+    same = (path[order][1:] == path[order][:-1]) & (tail[order][1:] == tail[order][:-1])
+    head = np.maximum.accumulate(np.where(np.r_[True, ~same][: len(order)], np.arange(len(order)), 0))
+    leaf, head = order, order[head]
+    return leaf[(doc[leaf] != doc[head]) | (first[leaf] != first[head])]
 
 
-def candidates(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:
-    """doc, first, more: runs of windows below deep nodes."""
+def repeats(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:
+    """doc, ends: first and last window (one behind the other) of each run of windows whose words start earlier too."""
     bounds = group_bounds(docs, length, group)
-    schema = "doc long, first int, more int"
+    schema = "doc long, ends array<int>"
     if not bounds:
         return docs.sparkSession.createDataFrame([], schema)
+    tasks = len(bounds)
 
-    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = []
         for b in batches:
-            for path, more, *places in zip(*(b[c] for c in ("path", "more", "docs", "low", "high")), strict=True):
-                doc, first = _unpacked(*places)
-                if path:
-                    held.append((np.frombuffer(path, "<u8"), doc, first))
-                else:
-                    yield pd.DataFrame({"doc": doc, "first": first, "more": np.frombuffer(more, "<i4")})
+            done = (b["path"].str.len() == 0).to_numpy()
+            yield b[done]
+            for path, tail, *places in zip(*(b.loc[~done, c] for c in ("path", "tail", "docs", "low", "high")), strict=True):
+                held.append((np.frombuffer(path, "<u8"), np.frombuffer(tail, "<u4"), *_unpacked(*places)))
         if held:
-            path, doc, first = (np.concatenate(x) for x in zip(*held, strict=True))
+            path, tail, doc, first = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            leaf = deep_leaves(path)
-            yield pd.DataFrame(dict(zip(("doc", "first", "more"), windows_as_runs(doc[leaf], first[leaf]), strict=True)))
+            later = later_leaves(path, tail, doc, first)
+            yield _frame(_returned(doc[later], first[later], tasks))
 
-    dealt = _suffixes(docs, length, bounds).repartitionById(_tasks(bounds), "task").drop("task")
-    return dealt.mapInPandas(made, schema)
-
-
-def _windows(docs: DataFrame, runs: DataFrame, length: int) -> DataFrame:
-    """w1, w2 (hashes), doc, first of the windows that runs name."""
-    places = stored(runs.groupBy(F.col("doc").alias("_key")).agg(F.collect_set(F.struct("first", "more")).alias("places")), "places")
-    joined = _keyed(docs).join(places.hint("shuffle_hash"), "_key")
-
-    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def gathered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = []
         for b in batches:
-            rows = []
-            for key, text, places_ in zip(b["_key"].tolist(), b["text"], b["places"], strict=True):
-                codes = word_codes(text.encode())
-                begin = np.array([p["first"] for p in places_])
-                edge = np.zeros(max(len(codes), int(begin.max())) + 2, np.int64)
-                np.add.at(edge, begin, 1)
-                np.add.at(edge, np.minimum(begin + np.array([p["more"] for p in places_]) + 1, len(edge) - 1), -1)
-                n = max(len(codes) - length + 1, 0)  # rows that share a doc_id may differ in text
-                at = np.flatnonzero(np.cumsum(edge)[:n])
-                if len(at):
-                    rows.append((window_hashes(codes, length)[at], window_hashes(codes, length, _OTHER_BASE)[at], np.full(len(at), key, np.int64), at))
-            if rows:
-                w1, w2, doc, first = (np.concatenate(x) for x in zip(*rows, strict=True))
-                yield pd.DataFrame({"w1": w1.view(np.int64), "w2": w2.view(np.int64), "doc": doc, "first": first})
-
-    return joined.mapInPandas(made, "w1 long, w2 long, doc long, first int")
-
-
-def repeats(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:
-    """doc, first: windows whose words start earlier too."""
-    windows = stored(_windows(docs, stored(candidates(docs, length, group), "leaves"), length), "windows")
-    place = F.struct("doc", "first")
-    earliest = stored(windows.groupBy("w1", "w2").agg(F.min(place).alias("earliest"), F.max(place).alias("latest")).filter("earliest <> latest").drop("latest"), "earliest")
-    return windows.join(earliest.hint("shuffle_hash"), ["w1", "w2"]).filter(place != F.col("earliest")).select("doc", "first")
+            for more, *places in zip(*(b[c] for c in ("more", "docs", "low", "high")), strict=True):
+                held.append((*_unpacked(*places), np.frombuffer(more, "<i4").astype(np.int64)))
+        if not held:
+            return
+        doc, first, more = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        order = np.lexsort((first, doc))
+        doc, first, last = doc[order], first[order], (first + more)[order]
+        ends = np.stack([first, last], 1).astype(np.int32).ravel()
+        cuts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1], True])
+        for at in range(0, len(cuts) - 1, 1000):
+            some = cuts[at : at + 1001].tolist()
+            yield pd.DataFrame({"doc": doc[some[:-1]], "ends": [ends[2 * a : 2 * b] for a, b in zip(some[:-1], some[1:], strict=True)]})
+
+    dealt = _suffixes(docs, length, bounds).repartitionById(tasks, "task")
+    return dealt.mapInPandas(compared, _DEALT).repartitionById(tasks, "task").mapInPandas(gathered, schema)
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:
@@ -283,18 +276,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, group: int = GROUP) -
     own = [c for c in docs.columns if c.lower() not in ("n_words", "n_removed", "removed")]
     key, marked, made_name = (free_name(docs.columns, c) for c in ("_key", "_marks", "_made"))
 
-    @F.pandas_udf("array<int>")
-    def runs(first: pd.Series) -> pd.Series:
-        """first and last window of each run, one behind the other."""
-
-        def one(at: np.ndarray) -> np.ndarray:
-            _, low, more = windows_as_runs(np.zeros(len(at), np.int64), np.asarray(at, np.int64))
-            return np.stack([low, low + more], 1).ravel().astype("int32")
-
-        return first.map(one)
-
-    marks = repeats(docs, length, group).groupBy(F.col("doc").alias(key)).agg(F.collect_list("first").alias("first"))
-    marks = stored(marks.select(key, runs("first").alias(marked)), "marks")
+    marks = stored(repeats(docs, length, group).select(F.col("doc").alias(key), F.col("ends").alias(marked)), "marks")
     joined = docs.select(*[f"`{c}`" for c in own], doc_key().alias(key)).join(marks.hint("shuffle_hash"), key, "left")
 
     @F.pandas_udf("text string, n_words long, n_removed long, removed array<struct<`from`: long, `to`: long>>")

@@ -146,6 +146,8 @@ def test_repeats_equal_brute_force(spark):
     for group in (10**6, 150, 20):
         found = {r["doc_id"]: r["text"] for r in substrings.without_repeats(docs, 20, group).collect()}
         assert found == expected
+    twice = substrings.without_repeats(docs.union(docs), 20, 150).collect()
+    assert len(twice) == 2 * len(expected) and all(r["text"] == expected[r["doc_id"]] for r in twice)
 
 
 def test_groups_are_small_and_cover_all_paths(spark):
@@ -155,7 +157,7 @@ def test_groups_are_small_and_cover_all_paths(spark):
     bounds = substrings.group_bounds(docs, 20, 300)
     dealt = substrings._suffixes(docs, 20, bounds).groupBy("task").agg((F.sum(F.length("path")) / 8).alias("n")).collect()
     assert bounds == sorted(bounds) and len(bounds) > 10
-    assert {r["task"] for r in dealt} <= set(range(substrings._tasks(bounds))) and max(r["n"] for r in dealt) < 600
+    assert {r["task"] for r in dealt} <= set(range(len(bounds))) and max(r["n"] for r in dealt) < 600
 
 
 def test_window_hashes_match_equal_windows_only():
