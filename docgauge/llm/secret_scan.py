@@ -2,8 +2,11 @@
 
 Each text starts a worklist of layers.  A layer is scanned for secrets, then unwrapped:
 percent and Unicode escapes are decoded over the whole layer, base64 segments (also ones
-that are wrapped over lines or hold gzip, zlib, bzip2 or xz data) one by one; each new
-layer joins the worklist until none is new.  A layer that equals one around it is not
+that are wrapped over lines, stand in a path, or hold gzip, zlib, bzip2 or xz data) one by
+one; each new layer joins the worklist until none is new.  An escape mark that is itself
+escaped many times over (%25252541) is peeled to its last escape in one step, so depth costs
+no layers.  Compressed data is unfolded as a stream and enters in parts that overlap, so its
+size has no bound and memory does.  A layer that equals one around it is not
 entered, so cycles end; one that repeats at another place is.
 Every layer carries a map of its characters to the text, through which its spans are
 reported; a span counts for the layer only if decoding had a part in it.
@@ -14,11 +17,11 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import codecs
 import hashlib
 import lzma
 import re
 import zlib
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,18 +39,22 @@ _ACCESS = re.compile("AKIA[A-Z0-9]+")
 _HEX = re.compile("[0-9a-f]{24,}")
 
 _NEXT = "%[89AB][0-9A-F]"
-#: Runs of whole UTF-8 characters; bytes that are none stay as they stand.
+#: Runs of whole UTF-8 characters (bytes that are none stay as they stand), or a percent sign escaped so often that it stays escaped.
 _PERCENT = re.compile(
-    f"(?:%[0-7][0-9A-F]|%(?:C[2-9A-F]|D[0-9A-F]){_NEXT}|%E0%[AB][0-9A-F]{_NEXT}|%E[1-9A-CEF](?:{_NEXT}){{2}}|%ED%[89][0-9A-F]{_NEXT}"
+    f"%(?:25)+(?=25[0-9A-F]{{2}})|(?:%(?!2525[0-9A-F]{{2}})[0-7][0-9A-F]|%(?:C[2-9A-F]|D[0-9A-F]){_NEXT}|%E0%[AB][0-9A-F]{_NEXT}|%E[1-9A-CEF](?:{_NEXT}){{2}}|%ED%[89][0-9A-F]{_NEXT}"
     f"|%F0%[9AB][0-9A-F](?:{_NEXT}){{2}}|%F[1-3](?:{_NEXT}){{3}}|%F4%8[0-9A-F](?:{_NEXT}){{2}})+",
     re.IGNORECASE | re.ASCII,
 )
-_UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2}|&#x[0-9A-Fa-f]{1,6};|&#[0-9]{1,7};)+")
+_SLASH, _AMP = r"(?:u005c|U0000005c|u\{0*5c\}|x5c)", r"(?:#0*38;|#x0*26;)"
+_SLASHES, _AMPS = (re.compile(x, re.IGNORECASE | re.ASCII) for x in (rf"\\{_SLASH}+", f"&{_AMP}+"))
+#: Runs of escapes, or a mark escaped so often that it stays escaped.
+_UNICODE = re.compile(rf"\\(?i:{_SLASH})+(?=(?i:{_SLASH})[uUx])|&(?i:{_AMP})+(?=(?i:{_AMP})#)|" r"(?:\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2}|&#x[0-9A-Fa-f]{1,6};|&#[0-9]{1,7};)+")
 _ESCAPE = re.compile(r"\\[uU]\{?([0-9A-Fa-f]+)\}?|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]+);|&#([0-9]+);")
 _BASE64 = re.compile("[A-Za-z0-9+/_-]{16,}={0,2}")
 _NEXT_LINE = re.compile(r"[ \t]*\r?\n[ \t]*([A-Za-z0-9+/_-]+={0,2})(?=[ \t]*\r?(?:\n|\Z))")
-#: Bytes that a compressed segment may unfold to; what is longer is left as it is.
-MAX_UNFOLDED = 64 * 2**20
+_PATH_MARK = re.compile("[/_-]")
+#: Bytes of unfolded data that make a part, and how far parts overlap (in characters).
+PART_BYTES, OVERLAP = 4 * 2**20, 2**16
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -81,38 +88,80 @@ def _replaced(text: str, pattern: re.Pattern, decode) -> tuple[str, np.ndarray,
 
 
 def _percent(run: str) -> str:
+    if run.count("%") == 1 and len(run) > 3:
+        return "%"
     return bytes.fromhex(run.replace("%", "")).decode()
 
 
 def _escapes(run: str) -> str:
-    """Escapes that stand for no character become U+FFFD, the others are decoded."""
+    """Escapes that stand for no character become U+FFFD, the others are decoded; a mark that is escaped many times is peeled."""
+    if _SLASHES.fullmatch(run) or _AMPS.fullmatch(run):
+        return run[0]
     codes = [int(a or b or c, 16) if (a or b or c) else int(d) for a, b, c, d in _ESCAPE.findall(run)]
     codes = [c if c < 0x110000 else 0xFFFD for c in codes]
     return b"".join(c.to_bytes(2, "little") if c < 0x10000 else chr(c).encode("utf-16-le") for c in codes).decode("utf-16-le", errors="replace")
 
 
-def _unfolded(data: bytes) -> bytes | None:
-    """What compressed data holds."""
+def _machine(data: bytes):
+    """A decompressor for what data begins like, and how to feed it at most so many bytes out."""
     if data[:2] == b"\x1f\x8b":
-        maker = lambda: zlib.decompressobj(31)
-    elif len(data) > 2 and data[0] == 0x78 and (data[0] * 256 + data[1]) % 31 == 0:
-        maker = zlib.decompressobj
-    elif data[:3] == b"BZh":
-        maker = bz2.BZ2Decompressor
-    elif data[:6] == b"\xfd7zXZ\x00":
-        maker = lzma.LZMADecompressor
-    else:
-        return None
+        return zlib.decompressobj(31)
+    if len(data) > 2 and data[0] == 0x78 and (data[0] * 256 + data[1]) % 31 == 0:
+        return zlib.decompressobj()
+    if data[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if data[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor()
+    return None
+
+
+def _unfolded(data: bytes) -> Iterator[bytes]:
+    """What compressed data holds, in parts; raises where it is broken."""
+    machine, left = _machine(data), data
+    while not machine.eof:
+        made = machine.decompress(left, PART_BYTES)
+        left = getattr(machine, "unconsumed_tail", b"")
+        if made:
+            yield made
+        elif not left and not machine.eof and getattr(machine, "needs_input", True):
+            raise EOFError
+
+
+def _texts(data: bytes) -> Iterator[tuple[str, str]] | None:
+    """Layer names behind base64, and texts, of data that holds text, plain or compressed (also several times); None where it holds none."""
+    if _machine(data) is None:
+        try:
+            made = data.decode()
+        except UnicodeDecodeError:
+            return None
+        return iter([("", made)]) if made else None
     try:
-        machine = maker()
-        made = machine.decompress(data, MAX_UNFOLDED)
-        return made if machine.eof else None
+        for _ in _decoded(_unfolded(data)):  # a first pass tells whether all of it is whole text
+            pass
     except (zlib.error, OSError, EOFError, lzma.LZMAError):
         return None
+    except UnicodeDecodeError:
+        # Data in data is small in memory only if it is taken whole; its own parts are streamed again.
+        try:
+            inner = _texts(b"".join(_unfolded(data))) if _machine(next(_unfolded(data))) else None
+        except StopIteration:
+            return None
+        return ((f">compressed{name}", t) for name, t in inner) if inner else None
+    return ((">compressed", t) for t in _decoded(_unfolded(data)))
+
+
+def _decoded(parts: Iterator[bytes]) -> Iterator[str]:
+    """Texts of a stream of bytes, each led by the end of the one before."""
+    machine, last = codecs.getincrementaldecoder("utf-8")(), ""
+    for part in parts:
+        if made := machine.decode(part):
+            yield last + made
+            last = (last + made)[-OVERLAP:]
+    machine.decode(b"", True)
 
 
-def _base64(segment: str) -> tuple[str, str] | None:
-    """Layer names and text of a base64 segment that holds text, plain or compressed."""
+def _base64(segment: str) -> Iterator[tuple[str, str]] | None:
+    """Layer names and texts of a base64 segment that holds text, plain or compressed."""
     bare = segment.rstrip("=")
     if len(bare) % 4 == 1:
         return None
@@ -120,17 +169,24 @@ def _base64(segment: str) -> tuple[str, str] | None:
         data = base64.b64decode(bare.translate({45: "+", 95: "/"}) + "=" * (-len(bare) % 4), validate=True)
     except binascii.Error:
         return None
-    name = "base64"
-    while (inner := _unfolded(data)) is not None:
-        data, name = inner, name + ">compressed"
-    try:
-        made = data.decode()
-    except UnicodeDecodeError:
-        return None
-    return (name, made) if made else None
+    made = _texts(data)
+    return ((f"base64{name}", t) for name, t in made) if made else None
+
+
+def _segments(layer: str) -> Iterator[tuple[int, int, Iterator[tuple[str, str]]]]:
+    """start, end, texts of base64 segments; one that is none as a whole is tried part by part, as in a path."""
+    for m in _BASE64.finditer(layer):
+        if got := _base64(m[0]):
+            yield *m.span(), got
+            continue
+        at = m.start()
+        for part in _PATH_MARK.split(m[0]):
+            if len(part) >= 16 and len(part) < len(m[0]) and (got := _base64(part)):
+                yield at, at + len(part), got
+            at += len(part) + 1
 
 
-def _wrapped(layer: str) -> Iterator[tuple[int, int, tuple[str, str]]]:
+def _wrapped(layer: str) -> Iterator[tuple[int, int, Iterator[tuple[str, str]]]]:
     """start, end, decoded of base64 that is wrapped over lines of one width, the last at most as long.
 
     A word above or below the block may look like a line of it, so both are also tried without.
@@ -156,35 +212,44 @@ def _wrapped(layer: str) -> Iterator[tuple[int, int, tuple[str, str]]]:
             done = chain[-1][0]
 
 
+def _inner(layer: str) -> Iterator[tuple[str, str, np.ndarray, np.ndarray, np.ndarray | None]]:
+    """Text, name, and per character start and end in layer, and whether decoding had a part (None: in all), of the layers in a layer."""
+    for mark, name, pattern, decode in (("%", "url", _PERCENT, _percent), ("", "unicode", _UNICODE, _escapes)):
+        if (mark in layer if mark else "\\" in layer or "&#" in layer) and (got := _replaced(layer, pattern, decode)):
+            yield got[0], name, *got[1:]
+    for start, end, texts in (*_segments(layer), *_wrapped(layer)):
+        for name, made in texts:
+            yield made, name, np.full(len(made), start), np.full(len(made), end), None
+
+
 def all_spans(text: str) -> list[tuple[str, str, int, int]]:
     """kind, layers (empty: open), start, end in code points of text, sorted."""
     found = {(kind, "", s, e) for kind, s, e in base_spans(text)}
     seen = set()
-    # layer, names, start and end in text of each character (None: the same), from where decoding had a part, the layers around it
-    work = deque([(text, "", None, None, None, ())])
+    # The worklist: a layer's names, start and end in text of each character (None: the same), from where decoding had a part,
+    # the layers around it and itself, and those in it that are left.
+    work = [("", None, None, None, (text,), _inner(text))]
     while work:
-        layer, names, starts, ends, new, around = work.popleft()
-        around = (*around, layer)
-        if names:
-            for kind, s, e in base_spans(layer):
-                if new is None or new[s:e].any():
-                    found.add((kind, names, int(starts[s]), int(ends[e - 1])))
-        made = []
-        for mark, name, pattern, decode in (("%", "url", _PERCENT, _percent), ("", "unicode", _UNICODE, _escapes)):
-            if (mark in layer if mark else "\\" in layer or "&#" in layer) and (got := _replaced(layer, pattern, decode)):
-                made.append((got[0], name, got[1], got[2], got[3]))
-        segments = [(*m.span(), got) for m in _BASE64.finditer(layer) if (got := _base64(m[0]))]
-        for start, end, got in [*segments, *_wrapped(layer)]:
-            n = len(got[1])
-            made.append((got[1], got[0], np.full(n, start), np.full(n, end), None))
-        for inner, name, s, e, fresh in made:
-            at, to = (s, e) if starts is None else (starts[s], ends[e - 1])
-            place = (inner, hashlib.blake2b(at.tobytes() + to.tobytes(), digest_size=16).digest())
-            if inner and inner not in around and place not in seen:
-                seen.add(place)
-                if fresh is not None and new is not None:
-                    fresh = fresh | np.maximum.reduceat(np.r_[new, False], s)[: len(s)] if len(s) else fresh
-                work.append((inner, f"{names}>{name}" if names else name, at, to, fresh, around))
+        names, starts, ends, new, around, left = work[-1]
+        step = next(left, None)
+        if step is None:
+            work.pop()
+            continue
+        inner, name, s, e, fresh = step
+        if not inner or inner in around:
+            continue
+        at, to = (s, e) if starts is None else (starts[s], ends[e - 1])
+        place = hashlib.blake2b(inner.encode(errors="surrogatepass") + b"\0" + at.tobytes() + to.tobytes(), digest_size=16).digest()
+        if place in seen:
+            continue
+        seen.add(place)
+        name = f"{names}>{name}" if names else name
+        if fresh is not None and new is not None and len(s):
+            fresh = fresh | np.maximum.reduceat(np.r_[new, False], s)[: len(s)]
+        for kind, a, b in base_spans(inner):
+            if fresh is None or fresh[a:b].any():
+                found.add((kind, name, int(at[a]), int(to[b - 1])))
+        work.append((name, at, to, fresh, (*around, inner), _inner(inner)))
     rank = {k: i for i, k in enumerate(KINDS)}
     return sorted(found, key=lambda x: (x[2], x[1] != "", rank[x[0]], x[3], x[1]))
 
@@ -193,8 +258,10 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     """doc_id and spans (array of kind, layers, start, end, in order of start) for every row of docs.
 
     layers is empty for secrets that stand openly and names the decodings otherwise, outermost
-    first, as in ``base64>url``.  A null or empty text has no spans; a null doc_id stays
-    null; repeated rows give a row each; other columns are ignored.
+    first, as in ``base64>url``.  A null or empty text has no spans; very long texts are
+    scanned whole; of spans with one start open ones come first, then kinds in their order.  A
+    null doc_id stays null; repeated rows give a row each; an empty table gives no rows; other
+    columns are ignored.
     """
 
     @F.pandas_udf("array<struct<kind: string, layers: string, start: int, end: int>>")

@@ -38,3 +38,55 @@ def test_wrapped_base64_is_joined():
         for text in (block, f"see\n{block}\nend of it", f"Internationalization{end}{block}{end}word"):
             at = text.index(block)
             assert ("assign", "base64>compressed", at, at + len(block)) in all_spans(text)
+
+
+def test_deep_escapes_and_long_layers_are_quick():
+    import time
+
+    began = time.time()
+    for text, layers in (
+        ("pass%" + "25" * 330_000 + "77ord=hunter2secret", "url>url>url"),
+        ("pass\\u005c" + "u005c" * 150_000 + "u0077ord=hunter2secret", "unicode>unicode>unicode"),
+        ("pass&#38;" + "#38;" * 200_000 + "#119;ord=hunter2secret", "unicode>unicode>unicode"),
+    ):
+        assert ("assign", layers, 0, len(text)) in all_spans(text)
+    segment = _b64(zlib.compress(b"x y " * 20_000_000 + b" password = hunter2secret " + b"z z " * 100))
+    assert ("assign", "base64>compressed", 4, 4 + len(segment)) in all_spans(f"see {segment} end")
+    assert time.time() - began < 60
+
+
+def test_base64_in_a_path():
+    segment = _b64(b"password = hunter2secret").rstrip("=")
+    text = f"https://h.example.org/a/{segment}/b"
+    at = text.index(segment)
+    assert all_spans(text) == [("assign", "base64", at, at + len(segment))]
+    inner = _b64(zlib.compress(zlib.compress(b"password = hunter2secret")))
+    assert all_spans(inner) == [("assign", "base64>compressed>compressed", 0, len(inner))]
+
+
+def test_layers_equal_a_plain_worklist():
+    """Random nestings of the encodings against a worklist that decodes whole texts only and knows no places."""
+    import random
+    import urllib.parse
+
+    draw = random.Random(3)
+    wrap = {
+        "url": lambda t: "".join(f"%{c:02x}" for c in t.encode()),
+        "unicode": lambda t: "".join(f"\\u{ord(c):04x}" for c in t),
+        "base64": lambda t: _b64(t.encode()),
+        "base64>compressed": lambda t: _b64(zlib.compress(t.encode())),
+    }
+    back = {"url": urllib.parse.unquote, "unicode": lambda t: t.encode().decode("unicode_escape")}
+    for _ in range(60):
+        text, names = "password=hunter2secret", []
+        for _ in range(draw.randint(1, 4)):
+            kind = draw.choice(list(wrap))
+            text, names = wrap[kind](text), [kind, *names]
+        plain, layers = text, list(names)
+        while layers:  # the plain worklist
+            kind = layers.pop(0)
+            data = back[kind](plain) if kind in back else __import__("base64").b64decode(plain)
+            plain = zlib.decompress(data).decode() if kind.endswith("compressed") else data.decode() if isinstance(data, bytes) else data
+        assert plain == "password=hunter2secret"
+        found = {x for x in all_spans(f"a {text} b") if x[0] == "assign"}
+        assert ("assign", ">".join(names), 2, 2 + len(text)) in found
