@@ -1,26 +1,29 @@
 """Near-duplicate documents by SimHash, found over a byte-position inverted index.
 
-Fingerprints have eight bytes.  Two fingerprints that differ in at most two bits agree
-in at least six of the eight positional bytes.  Postings are kept for every choice of two
-of the four positional byte pairs (six postings a fingerprint): a linked pair shares at
-least one posting, which already tallies four positional bytes.  Within a posting the
-tally is completed, pairs below six shared bytes are dropped (count filter), and the rest
-is verified bit by bit.  A posting for a single byte would hold 1/256 of all fingerprints
-and its pairs would grow with the square of the corpus; four bytes keep chance pairs
-below one in 4e9.
-
-Copies are collapsed first, so a posting holds different fingerprints only.  A posting of
-more than ``SMALL_POSTING`` of them is not expanded into pairs: its members are dealt to
-their midpoints instead (the fingerprint itself and it with one of the 32 bits outside
-the posting flipped).  Fingerprints differ in at most two of those bits exactly if they
-share a midpoint, so linking the members of a midpoint with its first member loses no
-link, and the work is 33 rows a member whatever the size of the posting.
+Fingerprints have eight bytes.  Two fingerprints that differ in at most two bits agree in at
+least six of the eight positional bytes: the guaranteed minimum of matches.
+
+1. Lists: the inverted index on single positional bytes would have lists of 1/256 of all
+   fingerprints, whose pairs grow with the square of the corpus.  So a list is keyed by four
+   positional bytes at once (every choice of two of the four byte pairs, six lists a
+   fingerprint).  Two fingerprints with six equal bytes share at least one list, which counts
+   for four matches.
+2. Tally: within a list, fingerprints are posted once more under each positional byte outside
+   its key.  Pairs that meet there are tallied by groupBy; those with two meetings and more, so
+   six matches and more in all, are kept (count filter), and then verified bit by bit.
+3. A list of more than ``SMALL_LIST`` fingerprints is split by two further positional bytes
+   (six lists for each), whose members share six bytes.  Small ones are verified pair by pair.
+   A list that is large even then (members that differ in two bytes only) isn't expanded into
+   pairs: each member is posted at itself and at its 16 neighbours in these two bytes.
+   Members differ in at most two bits exactly if they share such a point, so links to the
+   first member at each point lose no link, with 17 rows a member.
+
+Copies are collapsed first, so lists hold different fingerprints only.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -34,7 +37,7 @@ from docgauge.llm.stage import doc_key, id_from, stored, whole_text
 
 SHINGLE_WORDS = 3
 MAX_BITS = 2
-SMALL_POSTING = 32
+SMALL_LIST = 32
 _SEED = 42
 
 
@@ -73,56 +76,86 @@ def _bits(number: Column, first: int, n: int) -> Column:
     return F.shiftrightunsigned(number, first).bitwiseAND(F.lit((1 << n) - 1))
 
 
-def shared_bytes(a: Column, b: Column) -> Column:
-    """In how many of the eight positions two fingerprints have the same byte."""
-    other = a.bitwiseXOR(b)
-    return reduce(lambda x, y: x + y, [F.when(_bits(other, 8 * i, 8) == 0, 1).otherwise(0) for i in range(8)])
+def _byte(fp: Column, at: int) -> Column:
+    return _bits(fp, 8 * at, 8)
 
 
-def _postings(distinct: DataFrame) -> DataFrame:
-    """posting (choice of byte pairs, their values), fingerprint, first."""
-    fp = F.col("fingerprint")
-    keys = [F.shiftleft(F.lit(n).cast("long"), 32).bitwiseOR(F.shiftleft(_bits(fp, 16 * i, 16), 16)).bitwiseOR(_bits(fp, 16 * j, 16)) for n, (i, j) in enumerate(combinations(range(4), 2))]
-    return distinct.select("fingerprint", "first", F.explode(F.array(*keys)).alias("posting"))
+def _mask(positions: tuple[int, ...]) -> int:
+    """A long with all bits of these bytes set."""
+    mask = sum(0xFF << 8 * p for p in positions)
+    return mask - 2**64 if mask >= 2**63 else mask
 
 
-def _midpoints(posting: Column, fp: Column) -> Column:
-    """fp, and fp with one bit flipped that its posting doesn't fix."""
-    choice = F.shiftrightunsigned(posting, 32)
-    cases = None
-    for n, pairs in enumerate(combinations(range(4), 2)):
-        free = [1 << (16 * p + bit) for p in range(4) if p not in pairs for bit in range(16)]
-        masks = F.array(*[F.lit(m - 2**64 if m >= 2**63 else m).cast("long") for m in (0, *free)])
-        cases = F.when(choice == n, masks) if cases is None else cases.when(choice == n, masks)
-    return F.transform(cases, lambda mask: fp.bitwiseXOR(mask))
+#: Positional bytes of the lists' keys: every choice of two byte pairs; and for each, what lies outside.
+KEYS = [tuple(b for pair in choice for b in (2 * pair, 2 * pair + 1)) for choice in combinations(range(4), 2)]
+REST = [tuple(b for b in range(8) if b not in key) for key in KEYS]
 
 
-def links(distinct: DataFrame, small: int = SMALL_POSTING) -> DataFrame:
+def _lists(distinct: DataFrame) -> DataFrame:
+    """choice, bytes (the key's, others 0), fingerprint, first."""
+    keys = [F.struct(F.lit(n).alias("choice"), F.col("fingerprint").bitwiseAND(F.lit(_mask(key)).cast("long")).alias("bytes")) for n, key in enumerate(KEYS)]
+    return distinct.select("fingerprint", "first", F.explode(F.array(*keys)).alias("k")).select("k.*", "fingerprint", "first")
+
+
+def _by_choice(of) -> Column:
+    """A column that depends on the choice: of(n) for each."""
+    cases = F.when(F.col("choice") == 0, of(0))
+    for n in range(1, len(KEYS)):
+        cases = cases.when(F.col("choice") == n, of(n))
+    return cases
+
+
+def _pairs(lists: DataFrame, keys: list[str]) -> DataFrame:
+    """x, y: the pairs of members of each list (a bounded number of them), by fingerprint."""
+    member = F.struct("fingerprint", "first")
+    grouped = lists.groupBy(*keys).agg(F.array_sort(F.collect_list(member)).alias("members")).filter(F.size("members") > 1)
+    each = grouped.select(*keys, "members", F.posexplode("members").alias("at", "x"))
+    return each.select(*keys, "x", F.explode(F.slice("members", F.col("at") + 2, F.size("members"))).alias("y"))
+
+
+def _near(pairs: DataFrame) -> DataFrame:
+    """a, b of the pairs that differ in at most MAX_BITS bits."""
+    return pairs.filter(F.bit_count(F.col("x.fingerprint").bitwiseXOR(F.col("y.fingerprint"))) <= MAX_BITS).select(F.col("x.first").alias("a"), F.col("y.first").alias("b"))
+
+
+def tallied(lists: DataFrame) -> DataFrame:
+    """x, y, matches: pairs of members of small lists with the positional bytes that they share, at least the guaranteed minimum."""
+    postings = _by_choice(lambda n: F.array(*[F.struct(F.lit(p).alias("position"), _byte(F.col("fingerprint"), p).alias("byte")) for p in REST[n]]))
+    posted = lists.select("choice", "bytes", "fingerprint", "first", F.explode(postings).alias("p")).select("choice", "bytes", "p.*", "fingerprint", "first")
+    met = _pairs(posted, ["choice", "bytes", "position", "byte"])
+    tally = met.groupBy("choice", "bytes", "x", "y").agg((F.count("*") + 4).alias("matches"))
+    return tally.filter(F.col("matches") >= 8 - MAX_BITS).select("x", "y", "matches")
+
+
+def links(distinct: DataFrame, small: int = SMALL_LIST) -> DataFrame:
     """a, b: first documents of fingerprints that differ in at most two bits, enough of them to connect all such fingerprints."""
-    postings = stored(_postings(distinct), "postings")
-    sizes = stored(postings.groupBy("posting").agg(F.count("*").alias("n")).filter("n > 1"), "posting-sizes")
-    shared = postings.join(sizes.hint("shuffle_hash"), "posting")
-    few = shared.filter(F.col("n") <= small).groupBy("posting").agg(F.collect_list(F.struct("fingerprint", "first")).alias("members"))
-    a, b = F.col("x.fingerprint"), F.col("y.fingerprint")
-    near = (
-        few.select("members", F.explode("members").alias("x"))
-        .select("x", F.explode(F.filter("members", lambda y: (y["first"] > F.col("x.first")) & (shared_bytes(y["fingerprint"], a) >= 8 - MAX_BITS))).alias("y"))
-        .filter(F.bit_count(a.bitwiseXOR(b)) <= MAX_BITS)
-        .select(F.col("x.first").alias("a"), F.col("y.first").alias("b"))
-    )
-    members = shared.filter(F.col("n") > small).select("posting", "first", F.explode(_midpoints(F.col("posting"), F.col("fingerprint"))).alias("midpoint"))
-    centres = members.groupBy("posting", "midpoint").agg(F.min("first").alias("centre"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    stars = members.join(centres.hint("shuffle_hash"), ["posting", "midpoint"]).filter("first <> centre").select(F.col("first").alias("a"), F.col("centre").alias("b"))
-    return near.union(stars).distinct()
+    lists = stored(_lists(distinct), "lists")
+    sizes = stored(lists.groupBy("choice", "bytes").agg(F.count("*").alias("n")).filter("n > 1"), "list-sizes")
+    shared = stored(lists.join(sizes.hint("shuffle_hash"), ["choice", "bytes"]), "lists-shared")
+    near = _near(tallied(shared.filter(F.col("n") <= small).drop("n")))
+    # Large lists, by two further bytes; free: the two that are left.
+    splits = _by_choice(lambda n: F.array(*[F.struct(F.lit(_mask(KEYS[n] + more)).cast("long").alias("mask")) for more in combinations(REST[n], 2)]))
+    split = shared.filter(F.col("n") > small).select("fingerprint", "first", F.explode(splits).alias("k")).select(F.col("k.mask").alias("choice"), F.col("fingerprint").bitwiseAND(F.col("k.mask")).alias("bytes"), "fingerprint", "first").distinct()
+    split = stored(split, "lists-split")
+    split_sizes = stored(split.groupBy("choice", "bytes").agg(F.count("*").alias("n")).filter("n > 1"), "split-sizes")
+    split_shared = stored(split.join(split_sizes.hint("shuffle_hash"), ["choice", "bytes"]), "split-shared")
+    verified = _near(_pairs(split_shared.filter(F.col("n") <= small), ["choice", "bytes"]))
+    bit = lambda i: F.lit((1 << i) - 2**64 if i == 63 else 1 << i).cast("long")
+    free = F.filter(F.array(F.lit(0).cast("long"), *[bit(i) for i in range(64)]), lambda m: m.bitwiseAND(F.col("choice")) == 0)
+    points = split_shared.filter(F.col("n") > small).select("choice", "first", F.explode(F.transform(free, lambda m: F.col("fingerprint").bitwiseXOR(m))).alias("point"))
+    centres = points.groupBy("choice", "point").agg(F.min("first").alias("centre"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    stars = points.join(centres.hint("shuffle_hash"), ["choice", "point"]).filter("first <> centre").select(F.col("first").alias("a"), F.col("centre").alias("b"))
+    return near.union(verified).union(stars).distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id for every row of docs.
 
-    component_id is the smallest doc_id reachable over links, itself included.  Texts
-    without words (also null ones) have fingerprint 0 and are linked like others.  A null
-    doc_id counts as one document before all others (its component_id is null); rows that
-    share a doc_id give one row each.  Other columns are ignored.
+    component_id is the smallest doc_id reachable over links, itself included.  Null and empty
+    texts and texts without words have fingerprint 0 and are linked like others; very long
+    texts are taken whole.  A bit that half the shingles set (a tie) is 0.  A null doc_id counts
+    as one document before all others (its component_id is null); rows that repeat or share a
+    doc_id give one row each; an empty table gives no rows.  Other columns are ignored.
     """
     marked = stored(fingerprints(docs, words), "fingerprints")
     distinct = stored(marked.groupBy("fingerprint").agg(F.min("_key").alias("first")), "distinct")
