@@ -3,10 +3,18 @@
 Texts become templates: words in lower case without punctuation at their ends, where
 numbers, names (capitalised words that don't open a sentence) and units (after a number)
 are replaced by typed placeholders.  Windows of five template words are hashed and
-hash-joined with those of the benchmark.  A match counts only if its slots are filled
-consistently: on one alignment of document and item, equal values of the item must have
-become equal values of the document.  A document is contaminated by an item if it holds
-at least 0.8 of the item's different windows.
+hash-joined with those of the benchmark.  Windows of which fewer than ``MIN_PLAIN`` words are
+plain say too little and are left out.
+
+Beside its template every item has a literal form, the same words without placeholders, whose
+windows are all used; an item of fewer than five words is one literal window as a whole.  So
+items that are mostly numbers and names, and copies in other case, are found word for word.
+
+A document holds an item if, in one form, windows on nearby alignments (places in the document
+less places in the item, within a fifth of the item) make up 0.8 of the item's different
+windows.  Windows count only if their slots are filled consistently over these alignments:
+each value of the item goes with the value of the document that it meets most often, and
+windows that say otherwise are dropped.
 
 Only windows that occur in the benchmark leave the document scan: while the benchmark
 has at most ``BROADCAST_WINDOWS`` windows (8 bytes each) their hashes are broadcast as a
@@ -16,6 +24,7 @@ filter; a larger benchmark is joined without it, by the same shuffled join.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docgauge.llm.stage import doc_key, free_name, id_from, stored, whole_text
-from docgauge.llm.words import window_hashes
+from docgauge.llm.words import mixed, window_hashes
 
 WINDOW = 5
 MIN_SHARE = 0.8
@@ -44,68 +53,78 @@ UNITS = frozenset(
 _NUMBER = re.compile(r"[+\-]?[$€£]?\d[\d.,:/]*(?:%|[a-zA-Z°]{1,4})?")
 _EDGES = re.compile(r"^[^\w$€£+\-]+|[^\w%°]+$")
 _ENDS = re.compile(r"[.!?:;][\"'”’)\]]*$")
-_WORDS_KEPT = 400_000
+_WORDS_KEPT = 600_000
 PLAIN, SLOT, CAPITAL, UNIT, OPENS, EMPTY = 0, 1, 2, 4, 8, 16
 _NUM, _NAME, _UNIT = (xxhash.xxh3_64_intdigest(x) for x in (b"\0num", b"\0name", b"\0unit"))
 
 
-class Templates:
-    """Template words of texts; each written word is analysed once."""
+class Templates(dict):
+    """Template words of texts; each written word is analysed once and numbered."""
 
     def __init__(self):
-        self.known: dict[str, tuple[int, int]] = {}
+        super().__init__()
+        self.codes, self.literals, self.flags = (np.zeros(_WORDS_KEPT, t) for t in (np.uint64, np.uint64, np.uint8))
 
-    def _analysed(self, word: str) -> tuple[int, int]:
-        """Code and flags of a written word."""
+    def __missing__(self, word: str) -> int:
         flags = OPENS if _ENDS.search(word) else 0
         core = _EDGES.sub("", word)
+        low = core.lower()
+        literal = code = xxhash.xxh3_64_intdigest(low.encode())
         if not core:
-            found = (0, flags | EMPTY)
+            flags |= EMPTY
         elif _NUMBER.fullmatch(core):
-            found = (_NUM, flags | SLOT)
+            code, flags = _NUM, flags | SLOT
         else:
-            low = core.lower()
             name = len(core) > 1 and core[0].isupper() and core[1:] != core[1:].upper()
-            found = (xxhash.xxh3_64_intdigest(low.encode()), flags | (CAPITAL if name else 0) | (UNIT if low in UNITS else 0))
-        if len(self.known) >= _WORDS_KEPT:
-            self.known.clear()
-        self.known[word] = found
-        return found
-
-    def of(self, text: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
-        """Codes, whether each is a placeholder, and the written words."""
+            flags |= (CAPITAL if name else 0) | (UNIT if low in UNITS else 0)
+        n = len(self)
+        self.codes[n], self.literals[n], self.flags[n] = code, literal, flags
+        self[word] = n
+        return n
+
+    def of(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+        """Codes, whether each is a placeholder, literal codes, and the written words."""
         words = text.split()
-        known, analysed = self.known, self._analysed
-        made = [known.get(w) or analysed(w) for w in words]
-        flags = np.fromiter((f for _, f in made), np.uint8, len(made))
-        codes = np.fromiter((c for c, _ in made), np.uint64, len(made))
-        opens = np.r_[True, (flags[:-1] & OPENS) > 0] if len(flags) else np.zeros(0, bool)
-        if (flags & EMPTY).any():
-            keep = np.flatnonzero((flags & EMPTY) == 0)
-            gone = np.maximum.accumulate(np.where((flags & EMPTY) > 0, np.arange(len(flags)), -1)) if len(flags) else keep
+        if len(self) + len(words) > _WORDS_KEPT:
+            self.clear()
+            if len(words) > len(self.codes):
+                self.codes, self.literals, self.flags = (np.zeros(len(words), x.dtype) for x in (self.codes, self.literals, self.flags))
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        codes, literals, flags = self.codes[at], self.literals[at], self.flags[at]
+        opens = np.r_[True, (flags[:-1] & OPENS) > 0][: len(flags)]
+        empty = (flags & EMPTY) > 0
+        if empty.any():
+            keep = np.flatnonzero(~empty)
+            gone = np.maximum.accumulate(np.where(empty, np.arange(len(flags)), -1))
             # a sentence end that stands alone opens a sentence too
             opens = opens | ((gone == np.arange(len(flags)) - 1) & np.r_[False, (flags[:-1] & OPENS) > 0])
-            codes, flags, opens, words = codes[keep], flags[keep], opens[keep], [words[i] for i in keep]
+            codes, literals, flags, opens, words = codes[keep], literals[keep], flags[keep], opens[keep], [words[i] for i in keep]
         slots = (flags & SLOT) > 0
         names = ((flags & CAPITAL) > 0) & ~opens
         units = ((flags & UNIT) > 0) & np.r_[False, slots[:-1]][: len(slots)]
         codes = np.where(names, np.uint64(_NAME), codes)
         codes = np.where(units, np.uint64(_UNIT), codes)
-        return codes, slots | names | units, words
+        return codes, slots | names | units, literals, words
+
+    def windows(self, text: str, size: int, sizes: list[int] | None = None, wanted: Wanted | None = None) -> list[tuple[int, int, int, list[str]]]:
+        """Hash (signed), position, form (0: template, else size of a literal window), and slot values of the windows of a text, of those wanted.
 
-    def windows(self, text: str, size: int, wanted: Wanted | None = None) -> list[tuple[int, int, list[str]]]:
-        """Hash (signed), position and slot values of the windows with enough plain words, of those wanted."""
-        codes, slots, words = self.of(text)
+        sizes: of literal windows; by default the text's own, size or all of a shorter text.
+        """
+        codes, slots, literals, words = self.of(text)
+        found = []
         hashes = window_hashes(codes, size)
-        if not len(hashes):
-            return []
         some = wanted.among(hashes) if wanted else np.arange(len(hashes))
-        if not len(some):
-            return []
-        before = np.r_[0, np.cumsum(slots)]
-        some = some[before[some + size] - before[some] <= size - MIN_PLAIN]
-        value = lambda i: _EDGES.sub("", words[i]).lower()
-        return [(int(h), int(at), [value(i) for i in range(at, at + size) if slots[i]]) for h, at in zip(hashes.view(np.int64)[some], some, strict=True)]
+        if len(some):
+            before = np.r_[0, np.cumsum(slots)]
+            some = some[before[some + size] - before[some] <= size - MIN_PLAIN]
+            value = lambda i: _EDGES.sub("", words[i]).lower()
+            found = [(int(h), int(at), 0, [value(i) for i in range(at, at + size) if slots[i]]) for h, at in zip(hashes.view(np.int64)[some], some, strict=True)]
+        for n in sizes if sizes is not None else [min(size, len(words))] if words else []:
+            hashes = mixed(window_hashes(literals, n) + np.uint64(n))
+            some = wanted.among(hashes) if wanted else np.arange(len(hashes))
+            found += [(int(h), int(at), n, []) for h, at in zip(hashes.view(np.int64)[some], some, strict=True)]
+        return found
 
 
 class Wanted:
@@ -126,48 +145,77 @@ class Wanted:
         return some[self.hashes[at] == hashes[some]]
 
 
-def template_windows(texts: DataFrame, key: str, size: int = WINDOW, wanted=None) -> DataFrame:
-    """key, hash, position, slots (values of its placeholders in order) for the windows of texts (columns key, text)."""
+def template_windows(texts: DataFrame, key: str, size: int = WINDOW, sizes: list[int] | None = None, wanted=None) -> DataFrame:
+    """key, hash, position, form, slots (values of its placeholders in order) for the windows of texts (columns key, text)."""
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         templates, filter_ = Templates(), wanted.value if wanted else None
         for b in batches:
-            rows = [(k, *w) for k, t in zip(b[key].tolist(), b["text"], strict=True) for w in templates.windows(t, size, filter_)]
-            yield pd.DataFrame(rows, columns=[key, "hash", "position", "slots"])
+            rows = [(k, *w) for k, t in zip(b[key].tolist(), b["text"], strict=True) for w in templates.windows(t, size, sizes, filter_)]
+            yield pd.DataFrame(rows, columns=[key, "hash", "position", "form", "slots"])
+
+    return texts.mapInPandas(made, f"{key} long, hash long, position int, form int, slots array<string>")
+
 
-    return texts.mapInPandas(made, f"{key} long, hash long, position int, slots array<string>")
+def best_alignment(matches: list, n_windows: int, min_share: float = MIN_SHARE) -> tuple[int, int]:
+    """Most windows that match consistently on alignments within a fifth of the item, and slot values there.
+
+    matches: (shift, hash, [(item value, document value)]) of one document and item.
+    """
+    drift, least = max(1, n_windows // 5), min_share * n_windows
+    matches = sorted(matches)
+    best, low = (0, 0), 0
+    for high, (shift, *_) in enumerate(matches):
+        while matches[low][0] < shift - drift:
+            low += 1
+        last = high + 1 == len(matches) or matches[high + 1][0] > matches[low][0] + drift
+        near = matches[low : high + 1]
+        if not last or len({h for _, h, _ in near}) < least:
+            continue
+        met = Counter(pair for _, _, pairs in near for pair in pairs)
+        into: dict[str, str] = {}
+        for (mine, other), _ in sorted(met.items(), key=lambda x: (-x[1], x[0])):
+            into.setdefault(mine, other)
+        whole = {h for _, h, pairs in near if all(into[a] == b for a, b in pairs)}
+        best = max(best, (len(whole), len(into)))
+    return best
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, min_share: float = MIN_SHARE) -> DataFrame:
     """doc_id, item_id, n_windows (of the item), n_matched, share, n_slots for each document and item that it holds.
 
-    Null texts have no windows; neither have texts under size words, which are never
-    found.  Rows of benchmark that share an item_id are pooled, null item_ids too (as
-    null); a null doc_id counts as one document.  Other columns are ignored.
+    The form (template, else literal) with the larger share is told.  Null and empty texts
+    have no windows and hold nothing; an item without words is never found.  Very long texts
+    are taken whole.  Rows of benchmark that share an item_id are pooled, null item_ids too (as
+    null); documents that share a doc_id are pooled, null doc_ids too.  Repeated rows change
+    nothing; an empty table on either side gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     item = F.coalesce(F.col("item_id").cast("long"), F.lit(-(2**63))).alias("item")
-    items = stored(template_windows(benchmark.select(item, whole_text().alias("text")), "item", size), "benchmark-windows")
+    texts = benchmark.select(item, whole_text().alias("text"))
+    items = stored(template_windows(texts, "item", size), "benchmark-windows")
     wanted = None
     if items.count() <= BROADCAST_WINDOWS:
         wanted = spark.sparkContext.broadcast(Wanted(np.array([r["hash"] for r in items.select("hash").distinct().collect()], np.int64)))
-    found = template_windows(docs.select(doc_key().alias("_key"), whole_text().alias("text")), "_key", size, wanted)
-    sizes = items.groupBy("item").agg(F.countDistinct("hash").alias("n_windows"))
-    there = items.select("hash", "item", F.col("position").alias("item_position"), F.col("slots").alias("item_slots"))
-    pairs = F.transform("item_slots", lambda v, i: F.struct(v.alias("item_value"), F.get("slots", i).alias("doc_value")))
-    aligned = (
-        found.join(there.hint("shuffle_hash"), "hash")
-        .select("_key", "item", (F.col("position") - F.col("item_position")).alias("shift"), "hash", pairs.alias("pairs"))
-        .groupBy("_key", "item", "shift")
-        .agg(F.collect_set("hash").alias("hashes"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-    )
-    consistent = aligned.filter(F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["item_value"]))))
-    matched = consistent.groupBy("_key", "item").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("hashes")))).cast("long").alias("n_matched"), F.max(F.size("pairs")).cast("long").alias("n_slots")
-    )
-    share = F.col("n_matched") / F.col("n_windows")
-    whole = matched.join(sizes.hint("shuffle_hash"), "item").withColumn("share", share).filter(F.col("share") >= min_share)
-    return whole.select(id_from(), F.when(F.col("item") != -(2**63), F.col("item")).alias("item_id"), "n_windows", "n_matched", "share", "n_slots")
+    sizes = [r["form"] for r in items.filter("form > 0").select("form").distinct().collect()]  # size of them at most
+    found = template_windows(docs.select(doc_key().alias("_key"), whole_text().alias("text")), "_key", size, sizes, wanted)
+    n_windows = items.groupBy("item", "form").agg(F.countDistinct("hash").alias("n_windows"))
+    there = items.select("hash", "item", "form", F.col("position").alias("item_position"), F.col("slots").alias("item_slots"))
+    pairs = F.transform("item_slots", lambda v, i: F.struct(v.alias("item"), F.get("slots", i).alias("doc")))
+    match = F.struct((F.col("position") - F.col("item_position")).alias("shift"), "hash", pairs.alias("pairs"))
+    grouped = found.join(there.hint("shuffle_hash"), ["hash", "form"]).groupBy("_key", "item", "form").agg(F.collect_set(match).alias("matches"))
+
+    @F.pandas_udf("n_matched long, n_slots long")
+    def aligned(matches: pd.Series, n: pd.Series) -> pd.DataFrame:
+        rows = [best_alignment([(m["shift"], m["hash"], [(p["item"], p["doc"]) for p in m["pairs"]]) for m in ms], k, min_share) for ms, k in zip(matches, n, strict=True)]
+        return pd.DataFrame(rows, columns=["n_matched", "n_slots"])
+
+    enough = F.size("matches") >= min_share * F.col("n_windows")
+    judged = grouped.join(n_windows.hint("shuffle_hash"), ["item", "form"]).filter(enough).select("_key", "item", "form", "n_windows", aligned("matches", "n_windows").alias("m"))
+    share = F.col("m.n_matched") / F.col("n_windows")
+    whole = judged.select("_key", "item", F.struct(share.alias("share"), (F.col("form") == 0).alias("template"), "n_windows", "m.n_matched", "m.n_slots").alias("b")).filter(F.col("b.share") >= min_share)
+    best = whole.groupBy("_key", "item").agg(F.max("b").alias("b"))
+    return best.select(id_from(), F.when(F.col("item") != -(2**63), F.col("item")).alias("item_id"), "b.n_windows", "b.n_matched", "b.share", "b.n_slots")
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, min_share: float = MIN_SHARE) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docgauge.llm.stage import doc_key, id_from, stored, whole_text
+from docgauge.llm.stage import doc_key, free_name, stored, whole_text
 
 MIN_CHARS = 10
 _STRIPPED = b" \t\n\v\f\r"
@@ -117,14 +117,16 @@ def without_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataF
     Returns the columns of docs (text: what is kept) and n_lines, n_dropped, keep.  Lines
     are split at \\n; a line's key is the line without white space at its ends and with
     A-Z lower-cased; keys under min_chars characters always stay.  A null or empty text is
-    one empty line and gives an empty text.  A null doc_id counts as one document before
+    one empty line and gives an empty text; very long texts are taken whole; an empty table
+    gives no rows.  A null doc_id counts as one document before
     all others; rows that share a doc_id count as one document, of which every row keeps
     what it is the first to hold (where such rows differ in text, their marks are pooled).
-    Other columns stay, except that _key, n_lines, n_dropped and keep are replaced.
+    Columns named n_lines, n_dropped or keep are replaced, others stay.
     """
-    own = [c for c in docs.columns if c not in ("_key", "n_lines", "n_dropped", "keep")]
-    bitmaps = keep_bitmaps(repeated_lines(stored(line_hashes(docs, min_chars), "lines")))
-    joined = docs.select(*own, doc_key().alias("_key")).join(bitmaps.hint("shuffle_hash"), "_key", "left").drop("_key")
+    own = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped", "keep")]
+    key, bits_name, made_name = (free_name(docs.columns, c) for c in ("_key", "_keep", "_made"))
+    bitmaps = keep_bitmaps(repeated_lines(stored(line_hashes(docs, min_chars), "lines"))).withColumnsRenamed({"_key": key, "keep": bits_name})
+    joined = docs.select(*[f"`{c}`" for c in own], doc_key().alias(key)).join(bitmaps.hint("shuffle_hash"), key, "left")
 
     @F.pandas_udf("text string, n_lines long, n_dropped long")
     def kept(text: pd.Series, keep: pd.Series) -> pd.DataFrame:
@@ -138,5 +140,5 @@ def without_repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataF
             rows.append(("\n".join(lines), n, n - len(lines)))
         return pd.DataFrame(rows, columns=["text", "n_lines", "n_dropped"])
 
-    made = joined.withColumn("_kept", kept(whole_text(), F.col("keep")))
-    return made.select(*[F.col("_kept.text").alias("text") if c == "text" else c for c in own], "_kept.n_lines", "_kept.n_dropped", "keep")
+    made = joined.withColumn(made_name, kept(whole_text(), F.col(bits_name)))
+    return made.select(*[F.col(f"{made_name}.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in own], *[F.col(f"{made_name}.{c}").alias(c) for c in ("n_lines", "n_dropped")], F.col(bits_name).alias("keep"))

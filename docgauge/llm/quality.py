@@ -1,12 +1,14 @@
 """Document quality by weak supervision; DataFrame functions only.
 
-Rules look at one property each and vote good (1), bad (-1) or abstain (0).  No rule
-decides alone.  Expectation-maximisation over the vote patterns of all documents
-estimates, without labels, the share of good documents and for every rule how often it
-votes bad on good and on bad documents; the posterior probability of good given a
-document's votes replaces all-must-pass filtering.  There are at most 3 ** rules vote
-patterns, so an iteration reads a table whose size doesn't depend on the corpus; the
-driver holds the 2 * rules + 1 estimates only.
+Rules look at one property each and vote good (1), bad (-1) or abstain (0).  Each property has
+a strict rule and a loose one, so that rules overlap and loose ones are often wrong.
+Expectation-maximisation over the vote patterns of all documents estimates, without labels,
+the share of good documents and for every rule how often it votes bad on good and on bad
+documents; the posterior probability of good given a document's votes replaces
+all-must-pass filtering.  What is believed beforehand (``BELIEFS``) counts like a few votes, so
+the corpus overrules it.  An iteration reads the table of vote patterns, whose size depends on
+the rules and hardly on the corpus (some hundred); the driver holds the 2 * rules + 1
+estimates only.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docgauge.llm.stage import stored, whole_text
+from docgauge.llm.stage import free_name, stored, whole_text
 
 #: Fixed values of the base counts.
 SPACES = " \t\n\x0b\x0c\r"
@@ -54,10 +56,11 @@ def _repeat_words(words: Column, n: Column) -> Column:
     return F.when(n >= 4, _let(windows, covered)).otherwise(0).cast("long")
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """doc_id and the counts that the rules use, of every whole text."""
+def features(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, more (columns of docs) and the counts that the rules use, of every whole text."""
     text = F.col("text")
-    rows = docs.select("doc_id", whole_text().alias("text"))
+    rows = docs.select("doc_id", whole_text().alias("text"), *more)
+    own = [c for c in rows.columns if c != "text"]
     with_word = F.filter(F.split(text, "\n", -1), lambda line: F.length(F.btrim(line, F.lit(SPACES))) > 0)
 
     def counts(words: Column) -> Column:
@@ -76,7 +79,7 @@ def features(docs: DataFrame) -> DataFrame:
         )
 
     made = rows.select(
-        "doc_id",
+        *own,
         _let(F.filter(F.split(text, SPLIT_AT), lambda w: w != ""), counts).alias("w"),
         _let(with_word, lines).alias("l"),
         (F.length(text).cast("long") - _removed(text, SPACES)).alias("word_chars"),
@@ -86,7 +89,7 @@ def features(docs: DataFrame) -> DataFrame:
         F.length(F.regexp_replace(text, r"[^\p{Lu}]+", "")).cast("long").alias("n_upper"),
         F.length(F.regexp_replace(text, r"[^\p{Ll}]+", "")).cast("long").alias("n_lower"),
     )
-    return made.select("doc_id", "w.*", "l.*", "word_chars", "n_symbols", "n_bangs", "n_letters_digits", "n_upper", "n_lower").select("doc_id", *FEATURES)
+    return made.select(*own, "w.*", "l.*", "word_chars", "n_symbols", "n_bangs", "n_letters_digits", "n_upper", "n_lower").select(*own, *FEATURES)
 
 
 def _vote(bad: Column, good: Column, known: Column) -> Column:
@@ -102,14 +105,23 @@ def rules() -> dict[str, Column]:
     distinct, length, letters = share("n_distinct_words", words), share("word_chars", words), share("n_letters_digits", F.col("word_chars"))
     return {
         "symbols": _vote(symbols > 0.1, symbols < 0.02, words > 0),
+        "any_symbols": _vote(symbols > 0.02, symbols <= 0.005, words > 0),
         "letters_digits": _vote(letters < 0.88, letters > 0.93, words > 0),
+        "few_letters_digits": _vote(letters < 0.92, letters > 0.95, words > 0),
         "upper_case": _vote(upper > 0.4, upper < 0.15, cased >= 20),
+        "some_upper_case": _vote(upper > 0.2, upper < 0.1, cased >= 20),
         "shouting": _vote(bangs > 0.25, bangs < 0.05, words > 0),
+        "some_shouting": _vote(bangs > 0.1, bangs < 0.02, words > 0),
         "repetition": _vote(repeated > 0.3, repeated < 0.15, words >= 20),
+        "some_repetition": _vote(repeated > 0.1, repeated < 0.05, words >= 20),
         "copied_lines": _vote(copied > 0.5, copied == 0, lines >= 3),
+        "some_copied_lines": _vote(copied > 0.1, copied == 0, lines >= 3),
         "word_length": _vote((length < 2.5) | (length > 10), length.between(3.5, 7.5), words >= 20),
+        "odd_word_length": _vote((length < 4) | (length > 8), length.between(4.5, 7), words >= 20),
         "line_ends": _vote(ended < 0.1, ended > 0.7, lines >= 3),
+        "few_line_ends": _vote(ended < 0.5, ended > 0.9, lines >= 2),
         "vocabulary": _vote(distinct < 0.15, distinct > 0.3, words.between(50, 2000)),
+        "small_vocabulary": _vote(distinct < 0.3, distinct > 0.5, words.between(50, 2000)),
     }
 
 
@@ -128,16 +140,18 @@ class Accuracies:
         return 1 / (1 + F.exp(reduce(lambda a, b: a + b, terms, F.lit(log((1 - self.share) / self.share)))))
 
 
-def fit(patterns: DataFrame, names: list[str], iterations: int = 20, tolerance: float = 1e-4) -> Accuracies:
+#: What is believed before a vote is counted, as (for, against): of good documents, of bad votes on good ones, of bad votes on bad ones.
+BELIEFS = {"share": (7.0, 3.0), "on_good": (0.2, 9.8), "on_bad": (3.0, 7.0)}
+
+
+def fit(patterns: DataFrame, names: list[str], iterations: int = 200, tolerance: float = 1e-5) -> Accuracies:
     """Expectation-maximisation over vote patterns (columns names, and n: documents with that pattern).
 
-    Starts from rules that seldom fire, and then mostly on bad documents.  A rule is held to vote bad more
-    often on bad documents than on good ones, on which it may be wrong in one case of
-    fifty at most (a rule that fires alone is otherwise taken for noise) and in one of 500 at
-    least (no rule is above doubt); two documents' worth of the starting belief is kept for rules that
-    hardly vote.
+    Estimates are what is believed beforehand and the votes together; no estimate is bounded.
     """
-    now = Accuracies(0.7, dict.fromkeys(names, 0.01), dict.fromkeys(names, 0.3))
+    rate = lambda found, of, belief: (found + belief[0]) / (of + sum(belief))
+    believed = {k: rate(0, 0, v) for k, v in BELIEFS.items()}
+    now = Accuracies(believed["share"], dict.fromkeys(names, believed["on_good"]), dict.fromkeys(names, believed["on_bad"]))
     for _ in range(iterations):
         scored = patterns.withColumn("good", F.col("n") * now.posterior())
         sums = [F.sum("n").alias("n"), F.sum("good").alias("good")]
@@ -148,37 +162,51 @@ def fit(patterns: DataFrame, names: list[str], iterations: int = 20, tolerance:
         s = scored.agg(*sums).first()
         if not s["n"]:
             return now
-        on_good = {v: min(max((s[f"{v}_good_bad"] + 0.1) / (s[f"{v}_good_votes"] + 2), 0.002), 0.02) for v in names}
-        on_bad = {v: min(max((s[f"{v}_all_bad"] - s[f"{v}_good_bad"] + 1) / (s[f"{v}_all_votes"] - s[f"{v}_good_votes"] + 2), on_good[v] + 0.02), 0.999) for v in names}
-        new = Accuracies(min(max(s["good"] / s["n"], 0.02), 0.98), on_good, on_bad)
-        change = max(abs(new.share - now.share), *(abs(new.on_bad[v] - now.on_bad[v]) for v in names))
+        on_good = {v: rate(s[f"{v}_good_bad"], s[f"{v}_good_votes"], BELIEFS["on_good"]) for v in names}
+        # never below nothing, whatever rounding did to the difference
+        on_bad = {v: rate(max(s[f"{v}_all_bad"] - s[f"{v}_good_bad"], 0), max(s[f"{v}_all_votes"] - s[f"{v}_good_votes"], 0), BELIEFS["on_bad"]) for v in names}
+        new = Accuracies(rate(s["good"], s["n"], BELIEFS["share"]), on_good, on_bad)
+        change = max(abs(new.share - now.share), *(abs(new.on_bad[v] - now.on_bad[v]) for v in names), *(abs(new.on_good[v] - now.on_good[v]) for v in names))
         now = new
         if change < tolerance:
             break
     return now
 
 
+def _voted(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, more, the counts and votes of every row."""
+    votes = {f"vote_{name}": vote for name, vote in rules().items()}
+    return features(docs, *more).select("*", *[v.cast("int").alias(k) for k, v in votes.items()])
+
+
+def _judged(voted: DataFrame, threshold: float) -> DataFrame:
+    votes = [f"vote_{name}" for name in rules()]
+    patterns = stored(voted.groupBy(*votes).agg(F.count("*").alias("n")), "vote-patterns")
+    learned = fit(patterns, votes)
+    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+    scored = voted.withColumns({"base_failed": failed, "p_good": learned.posterior()})
+    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold))
+
+
 def quality(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """doc_id, the counts, a vote column (vote_...) for each rule, base_failed, p_good and kept for every row of docs.
 
     base_failed: under 50 words, or more than half of them in repeated 3-word windows.
-    kept: not base_failed, and p_good of threshold or more.  A null or empty text has no
-    words, all rules abstain, and it fails the base.  A null doc_id stays null; repeated
-    rows give a row each; other columns are ignored; an empty table gives no rows.
+    kept: not base_failed, and p_good of threshold or more (a tie is kept).  A null or empty
+    text has no words, all rules abstain, and it fails the base; very long texts are counted
+    whole.  A null doc_id stays null; repeated rows give a row each; other columns are ignored;
+    an empty table gives no rows.
     """
-    votes = {f"vote_{name}": vote for name, vote in rules().items()}
-    judged = stored(features(docs).select("doc_id", *FEATURES, *[v.cast("int").alias(k) for k, v in votes.items()]), "quality")
-    patterns = stored(judged.groupBy(*votes).agg(F.count("*").alias("n")), "vote-patterns")
-    learned = fit(patterns, list(votes))
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    scored = judged.withColumns({"base_failed": failed, "p_good": learned.posterior()})
-    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold))
+    return _judged(stored(_voted(docs), "quality"), threshold)
 
 
 def good_documents(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs that quality() keeps, all their columns unchanged (rows that share a doc_id: kept if one of them is)."""
-    from docgauge.llm.stage import doc_key
+    """The rows of docs whose text quality() keeps, all their columns unchanged.
 
-    kept = stored(quality(docs, threshold).filter("kept").select(doc_key().alias("_key")).distinct(), "good")
-    own = [c for c in docs.columns if c != "_key"]
-    return docs.select(*own, doc_key().alias("_key")).join(kept.hint("shuffle_hash"), "_key", "left_semi").select(*own)
+    Rows are judged by their text, whatever their doc_id, so rows that repeat stay or go
+    together; null and empty texts go; columns of any name stay as they are.
+    """
+    key = free_name(docs.columns, "_text_key")
+    voted = stored(_voted(docs, F.xxhash64(whole_text()).alias(key)), "quality")
+    kept = stored(_judged(voted, threshold).filter("kept").select(key).distinct(), "good")
+    return docs.withColumn(key, F.xxhash64(whole_text())).join(kept.hint("shuffle_hash"), key, "left_semi").select(*[f"`{c}`" for c in docs.columns])

@@ -34,7 +34,7 @@ def clashing(odd):
     """The odd rows with columns whose names the operators use themselves."""
     from pyspark.sql import functions as F
 
-    names = ["_key", "row", "n", "at", "hash", "position", "keep", "n_lines", "n_dropped", "fingerprint", "component", "block", "label", "words", "part", "length", "piece", "spans", "entities", "kept", "item", "removed"]
+    names = ["_key", "row", "n", "at", "hash", "position", "keep", "n_lines", "n_dropped", "fingerprint", "component", "block", "label", "words", "part", "length", "piece", "spans", "entities", "kept", "item", "removed", "marks", "_marks", "_kept", "_made", "_moved", "_keep", "_row", "_text_key", "first", "path", "task", "text_hash", "copies", "node", "key", "choice", "bytes", "form"]
     return odd.select("*", *[F.lit("clash").alias(c) for c in names])
 
 

@@ -354,6 +354,58 @@ def test_inconsistent_slots_do_not_match(spark):
     assert [(r["doc_id"], r["item_id"]) for r in decontam.contaminated(docs, benchmark).collect()] == [(1, 7)]
 
 
+def test_items_of_slots_or_few_words_are_found(spark):
+    items = [(1, "12 + 7 - 3 = 16 and 4 + 5 = 9"), (2, "short five word item"), (3, "Anna Berg und Hans Weber wohnen in Bonn"), (4, "..."), (5, "")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    docs = [(i, f"Before it, {t} and after.") for i, t in items] + [(11, items[0][1]), (12, items[1][1]), (13, "13 + 7 - 3 = 17 and 4 + 5 = 9"), (14, items[2][1].lower()), (15, "a short five letter item"), (16, None)]
+    found = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), benchmark).collect()}
+    assert found == {(1, 1), (2, 2), (3, 3), (11, 1), (12, 2), (14, 3)}
+
+
+def test_scattered_windows_are_no_match(spark):
+    item = "when the long train had left the old station the two brothers walked home along the dark river and spoke no word"
+    row = item.split()
+    scattered = " ".join(" ".join(row[i : i + 6]) + " " + " ".join(f"x{i}y{k}" for k in range(30)) for i in range(0, len(row), 2))
+    near = " ".join([*row[:11], "then", "slowly", *row[11:]])
+    odd = item.replace("two", "3")
+    docs = spark.createDataFrame([(1, scattered), (2, near), (3, item), (4, odd)], "doc_id long, text string")
+    found = [r["doc_id"] for r in decontam.contaminated(docs, spark.createDataFrame([(7, item)], "item_id long, text string"), min_share=0.7).collect()]
+    assert sorted(found) == [2, 3, 4] and len(decontam.contaminated(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()) >= 1
+
+
+def brute_contaminated(texts, items):
+    """All alignments of all documents and items, window by window."""
+    templates, out = decontam.Templates(), set()
+    forms = lambda t: {kind: [(h, at, v) for h, at, form, v in templates.windows(t, 5) if (form > 0) == kind] for kind in (False, True)}
+    for item, t in items.items():
+        mine = forms(t)
+        for doc, d in texts.items():
+            other = forms(d)
+            for kind in (False, True):
+                windows = {h for h, *_ in mine[kind]}
+                matches = {(p - q, h, tuple(zip(v, w))) for h, q, v in mine[kind] for g, p, w in other[kind] if g == h}
+                drift = max(1, len(windows) // 5)
+                for shift in {s for s, *_ in matches}:
+                    near = [m for m in matches if shift <= m[0] <= shift + drift]
+                    met = Counter(p for *_, pairs in near for p in pairs)
+                    into = {a: min(b for (x, b), n in met.items() if x == a and n == max(k for (y, _), k in met.items() if y == a)) for (a, _) in met}
+                    if windows and len({h for _, h, pairs in near if all(into[a] == b for a, b in pairs)}) >= 0.8 * len(windows):
+                        out.add((doc, item))
+    return out
+
+
+def test_decontamination_equals_brute_force(spark, some_documents, texts):
+    items = {r["item_id"]: r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").limit(40).collect()}
+    some = dict(list(texts.items())[:120])
+    for n, t in enumerate(list(items.values())[:20]):
+        row = t.split()
+        some[10_000 + n] = " ".join([*row[: n % 7], *(["extra"] * (n % 3)), *row[n % 7 :]])
+    docs = spark.createDataFrame(list(some.items()), "doc_id long, text string")
+    benchmark = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(docs, benchmark).collect()}
+    assert found and found == brute_contaminated(some, items)
+
+
 def test_decontamination_paths_agree(spark, some_documents, monkeypatch):
     benchmark = spark.read.parquet(f"{SF}/benchmark.parquet")
     few = sorted(map(tuple, decontam.contaminated(some_documents, benchmark).collect()))
