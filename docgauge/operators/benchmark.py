@@ -13,7 +13,7 @@ GROUP = ["parser_name", "parser_version", "config_hash"]
 def evaluations(runs: DataFrame, truth: DataFrame, results: DataFrame, scores: DataFrame) -> DataFrame:
     """Scores of succeeded runs with their run, dataset and result columns and config_hash."""
     done = runs.filter("parse_status = 'SUCCEEDED'").withColumn("config_hash", config_hash(F.col("config")))
-    return scores.join(done, "run_id").join(truth.select("document_id", "dataset_name", "dataset_version"), "document_id").join(results.select("run_id", "page_count"), "run_id")
+    return scores.join(done.hint("merge"), "run_id").join(truth.select("document_id", "dataset_name", "dataset_version").hint("merge"), "document_id").join(results.select("run_id", "page_count").hint("merge"), "run_id")
 
 
 def metric_intervals(evaluated: DataFrame, metrics: list[str], unbounded: tuple[str, ...] = ("text_cer",), keys: list[str] = GROUP) -> DataFrame:
@@ -56,7 +56,7 @@ def recent(evaluated: DataFrame, n: int = 50) -> DataFrame:
 
 def recompute_report(runs: DataFrame, scores: DataFrame, keys: list[str]) -> DataFrame:
     """Evaluated and skipped succeeded runs of each group."""
-    done = runs.filter("parse_status = 'SUCCEEDED'").join(scores.select("run_id", F.lit(True).alias("scored")), "run_id", "left")
+    done = runs.filter("parse_status = 'SUCCEEDED'").join(scores.select("run_id", F.lit(True).alias("scored")).hint("merge"), "run_id", "left")
     return done.groupBy(*keys).agg(F.count("scored").alias("evaluated"), F.count_if(F.col("scored").isNull()).alias("skipped"))
 
 

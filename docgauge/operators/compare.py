@@ -22,6 +22,7 @@ MANY_UNITS = 1000
 ANCHOR_RUNS = (4, 2, 1)
 _TOKENS = re.compile(r"\S+\s*|\s+")
 
+#: The columns of the CSV export.
 CSV_COLUMNS = (
     "run_id", "parser_name", "parser_version", "parse_status", "deidentification_status", "latency_ms", "page_count", "text_length",
     "block_count", "table_count", "image_count", "result_size_bytes", "detected_entity_count", "masked_entity_count", "text_score",

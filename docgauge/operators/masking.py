@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
@@ -88,14 +89,51 @@ def masking_input(input_type: Column) -> Column:
     return F.when(F.trim(chosen) != "", chosen)
 
 
+#: Names of counts, lists and texts in vendors' results; texts in order of preference.
+DETECTED = ("detected_entity_count", "detectedEntityCount", "detectedCount", "detectCount", "totalCount")
+MASKED = ("masked_entity_count", "maskedEntityCount", "maskedCount", "maskingCount")
+FOUND_LISTS = ("detections", "entities", "items")
+MASKED_TEXTS = ("deidentified_text", "deidentifiedText", "masked_text", "maskedText", "output", "text", "content")
+
+
+def _objects_of(tree) -> Iterator[dict]:
+    """All objects of a JSON value, each before those inside it."""
+    work = [tree]
+    while work:
+        node = work.pop()
+        if isinstance(node, dict):
+            yield node
+            work += reversed(list(node.values()))
+        elif isinstance(node, list):
+            work += reversed(node)
+
+
 def vendor_summary(raw: Column) -> Column:
-    """detected, masked, text of a vendor's JSON result, from the paths that vendors use; masked defaults to detected."""
-    v = F.try_parse_json(raw)
-    get = lambda kind, *paths: F.coalesce(*[F.try_variant_get(v, p, kind) for p in paths])
-    lists = F.coalesce(*[F.size(F.try_variant_get(v, f"$.{at}{name}", "array<variant>")) for at in ("", "result.") for name in ("entities", "detections", "items")])
-    detected = F.coalesce(get("int", "$.detected_count", "$.result.detected_count", "$.total_count", "$.result.total_count"), lists)
-    return F.struct(
-        detected.alias("detected"),
-        F.coalesce(get("int", "$.masked_count", "$.result.masked_count"), detected).alias("masked"),
-        get("string", "$.deidentified_text", "$.result.deidentified_text", "$.masked_text", "$.result.text", "$.text").alias("text"),
-    )
+    """detected, masked, text of a vendor's JSON result, wherever they stand in it; masked defaults to detected, text to an empty one.
+
+    What is no JSON object or list gives null.
+    """
+    number = lambda x: isinstance(x, int | float) and not isinstance(x, bool)
+
+    def one(text: str | None) -> dict | None:
+        try:
+            tree = json.loads(text) if text else None
+        except ValueError:
+            return None
+        if not isinstance(tree, dict | list):
+            return None
+        objects = list(_objects_of(tree))
+        count = lambda names: next((int(x) for o in objects for k, x in o.items() if k in names and number(x)), None)
+        detected = count(DETECTED)
+        if detected is None:
+            detected = next((len(x) for o in objects for k, x in o.items() if k in FOUND_LISTS and isinstance(x, list)), None)
+        masked_ = count(MASKED)
+        shown = next((o[k] for o in objects for k in MASKED_TEXTS if isinstance(o.get(k), str)), "")
+        return {"detected": detected, "masked": detected if masked_ is None else masked_, "text": shown}
+
+    @F.pandas_udf("detected int, masked int, text string")
+    def summary(texts: pd.Series) -> pd.DataFrame:
+        rows = [one(t) or {"detected": None, "masked": None, "text": None} for t in texts]
+        return pd.DataFrame({"detected": pd.array([r["detected"] for r in rows], "Int32"), "masked": pd.array([r["masked"] for r in rows], "Int32"), "text": [r["text"] for r in rows]})
+
+    return summary(raw)

@@ -81,6 +81,15 @@ def blind_sheet(records: DataFrame, gold: DataFrame) -> DataFrame:
     return records.withColumn("judgment_id", id_).join(gold.select("question_id", "reference_answer").hint("merge"), "question_id").select("judgment_id", "question_id", "answer", "reference_answer").orderBy("judgment_id")
 
 
+def judged(records: DataFrame, judgments: DataFrame) -> DataFrame:
+    """Records (case_id, repeat_id, condition, execution_id, question_id) with the verdict of their judgment (judgment_id, correct).
+
+    Records without a judgment are left out; gates.judgment_violations tells them.
+    """
+    keyed = records.withColumn("judgment_id", stable_id(F.col("execution_id"), F.col("question_id")))
+    return keyed.join(judgments.select("judgment_id", "correct").hint("shuffle_hash"), "judgment_id").select("case_id", "repeat_id", "condition", "question_id", "correct")
+
+
 def outcomes(judged: DataFrame) -> DataFrame:
     """Per case, repeat and condition: correct answers, accuracy, recovered and regressed questions, net recovery.
 

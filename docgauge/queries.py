@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docgauge.functions.columns import csv_safe, normalize_space, normalize_text, tidy, tokens
+from docgauge.functions.columns import csv_safe, f1_scores, normalize_space, normalize_text, tidy, tokens
 from docgauge.operators import benchmark, compare, gates, masking, metrics, normalize, operations, repair, retrieval, structure
 
 LETTERS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -85,8 +85,11 @@ def bm25_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def corpus_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens, and how many documents hold them."""
-    rows = _documents(spark, sf_dir).select("doc_id", F.explode(tokens(F.col("full_text"))).alias("token"))
-    return rows.groupBy("token").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("df"))
+    rows = _documents(spark, sf_dir).select(tokens(F.col("full_text")).alias("tokens"))
+    each = F.transform("tokens", lambda t: F.struct(t.alias("token"), F.lit(1).alias("n"), F.lit(0).alias("df")))
+    once = F.transform(F.array_distinct("tokens"), lambda t: F.struct(t.alias("token"), F.lit(0).alias("n"), F.lit(1).alias("df")))
+    # Both counts add up before the shuffle; no pair of token and document is sent.
+    return rows.select(F.explode(F.concat(each, once)).alias("c")).groupBy("c.token").agg(F.sum("c.n").alias("n"), F.sum("c.df").alias("df"))
 
 
 def empty_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -322,17 +325,12 @@ def leaderboard_of_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     A paragraph counts as recovered where the parse has it word for word.
     """
-    docs = _documents(spark, sf_dir)
-    truth = structure.blocks_of(docs, ["doc_id"]).select("doc_id", normalize_space(F.col("text")).alias("text")).distinct()
-    parsed = normalize.variants(docs, "full_text").withColumn("pages", structure.text_pages(F.col("parsed_text"), separator="\n"))
-    found = structure.blocks_of(parsed, ["doc_id", "parser_name"]).select("doc_id", "parser_name", normalize_space(F.col("text")).alias("text")).distinct()
-    names = F.explode(F.array(*map(F.lit, ("standard", "uppercase", "line_numbered")))).alias("parser_name")
-    expected = truth.select("doc_id", "text", names)
-    both = expected.withColumn("g", F.lit(1)).join(found.withColumn("p", F.lit(1)).hint("merge"), ["doc_id", "parser_name", "text"], "full_outer")
-    per_run = both.groupBy("doc_id", "parser_name").agg(F.count("g").alias("g"), F.count("p").alias("p"), F.count_if(F.col("g").isNotNull() & F.col("p").isNotNull()).alias("tp"))
+    rows = normalize.variants(_documents(spark, sf_dir), "full_text")
+    paragraphs = lambda c: F.array_distinct(F.filter(F.transform(structure.paragraphs(F.col(c), separator="\n"), lambda p: normalize_space(p["text"])), lambda t: t != ""))
+    # All paragraphs of a run stand in one row, so nothing is shuffled before the summary.
+    both = rows.select("parser_name", paragraphs("full_text").alias("g"), paragraphs("parsed_text").alias("p"))
+    per_run = both.select("parser_name", F.size("g").alias("g"), F.size("p").alias("p"), F.size(F.array_intersect("g", "p")).alias("tp")).filter("g + p > 0")
     tp = F.col("tp")
-    from docgauge.functions.columns import f1_scores
-
     _, recall, f1 = f1_scores(tp, F.col("p") - tp, F.col("g") - tp)
     summary = benchmark.metric_intervals(per_run.select("parser_name", recall.alias("recall"), f1.alias("f1")), ["recall", "f1"], keys=["parser_name"])
     return summary.select("parser_name", "metric", "n", *[F.round(c, 6).alias(c) for c in ("mean", "ci_low", "ci_high")])

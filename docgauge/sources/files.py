@@ -109,7 +109,7 @@ def prepare_questions(raw: DataFrame, pages: DataFrame) -> tuple[DataFrame, Data
     from 0, evidence_text).  pages: document_id, page_number from 1.
     """
     counts = pages.groupBy(F.col("document_id").alias("doc_name")).agg(F.max("page_number").alias("n_pages"))
-    rows = raw.join(counts, "doc_name", "left")
+    rows = raw.join(counts.hint("merge"), "doc_name", "left")
     place = lambda e: F.struct(
         F.concat(F.col("doc_name"), F.lit(":p"), (e["evidence_page_num"] + 1).cast("string")).alias("block_id"), (e["evidence_page_num"] + 1).alias("page_number"), e["evidence_text"].alias("evidence_text")
     )

@@ -33,5 +33,5 @@ def current_scores(scores: DataFrame) -> DataFrame:
 
 def rescored(predictions: DataFrame, truth: DataFrame, changed: DataFrame) -> DataFrame:
     """Scores of the runs whose document's ground truth changed (changed: document_id)."""
-    runs = predictions.join(changed.select("document_id").distinct(), "document_id", "left_semi")
+    runs = predictions.join(changed.select("document_id").distinct().hint("merge"), "document_id", "left_semi")
     return evaluate(runs, truth)
