@@ -108,7 +108,7 @@ def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each turn of a conversation scored against the next: CER, accuracy, exact match (ASCII texts)."""
+    """Each turn of a conversation scored against the next: CER, accuracy, exact match, of their ASCII characters; whole_text_scores takes whole texts."""
     ascii_only = lambda c: normalize_space(F.regexp_replace(c, r"[^\x20-\x7e]+", " "))
     pairs = _turns(spark, sf_dir).select("conv_id", "turn", ascii_only("base").alias("reference"), ascii_only("target").alias("predicted"))
     rows = metrics.text_metrics(pairs)
@@ -116,7 +116,7 @@ def text_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def whole_text_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As text_scores, of the whole texts (NFKC, white space as one space); no SQL, since DuckDB's levenshtein counts bytes."""
+    """As text_scores, of the whole texts (NFKC, white space as one space)."""
     pairs = _turns(spark, sf_dir).select("conv_id", "turn", normalize_text("base").alias("reference"), normalize_text("target").alias("predicted"))
     rows = metrics.text_metrics(pairs)
     return rows.select("conv_id", "turn", "text_edit_distance", tidy(F.col("text_cer")).alias("text_cer"), tidy(F.col("text_accuracy")).alias("text_accuracy"), "text_exact_match")
