@@ -95,6 +95,26 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", "n_words", "n_backed_off", F.round("log_score", 5).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docgauge.llm.whitening import whitened
+
+    made = whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), components=4)
+    return made.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docgauge.llm.resample import resampled
+
+    return resampled(_documents(spark, sf_dir), _benchmark(spark, sf_dir), run=1, buckets=10_000, percent=10, least_words=20, seed=2024)
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from docgauge.llm.stage import new_path
+    from docgauge.llm.warc import through_archives
+
+    return through_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), new_path(spark, "archives"), least=100).drop("error")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_substring_dedup": op2_substring_dedup,
@@ -106,6 +126,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_warc": op13_warc,
 }
 
 #: White space at the ends, as RE2 writes it.
@@ -123,7 +146,57 @@ firsts AS (
   SELECT key, min(doc_id) AS first_doc FROM lines WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) >= 2
 )"""
 
+#: CRC-32 of the words of a table w(word), by bytes and a table of 256 made by rule.
+_CRC = r"""
+steps AS (
+  SELECT list(v ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS v FROM range(256) AS r(i))
+),
+hashed AS (
+  SELECT word, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, octet_length(encode(word)) + 1), lambda k: ('0x' || substr(hex(encode(word)), 2 * k - 1, 2))::BIGINT)),
+                               lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 10000 AS bucket
+  FROM (SELECT DISTINCT word FROM words), steps
+)"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op12_importance_resampling": rf"""
+WITH split AS (
+  SELECT 0 AS side, row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS list FROM documents
+  UNION ALL
+  SELECT 1, 0, NULL, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark
+),
+words AS (SELECT side, row, unnest(list) AS word FROM split),
+{_CRC},
+placed AS (SELECT w.side, w.row, h.bucket FROM words w JOIN hashed h ON w.word = h.word),
+counts AS (SELECT bucket, count(*) FILTER (WHERE side = 0) AS s, count(*) FILTER (WHERE side = 1) AS t FROM placed GROUP BY bucket),
+gains AS (
+  SELECT bucket, CAST(floor(1000 * ln(CAST((t + 1) * ((SELECT sum(s) FROM counts) + 10000) AS DOUBLE) / CAST((s + 1) * ((SELECT sum(t) FROM counts) + 10000) AS DOUBLE))) AS BIGINT) AS gain
+  FROM counts
+),
+weighed AS (
+  SELECT s.row, s.doc_id, len(s.list) AS n_features, CAST(coalesce(floor(sum(g.gain) / count(g.gain)), 0) AS BIGINT) AS weight
+  FROM split s LEFT JOIN placed p ON s.side = p.side AND s.row = p.row LEFT JOIN gains g ON p.bucket = g.bucket
+  WHERE s.side = 0 GROUP BY s.row, s.doc_id, len(s.list)
+),
+scored AS (
+  SELECT *, weight + CAST(floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM weighed
+),
+ordered AS (
+  SELECT row, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, n_features DESC, weight DESC) AS rank FROM scored WHERE n_features >= 20
+)
+SELECT s.doc_id, s.n_features, s.weight, s.score, CASE WHEN o.rank <= (SELECT count(*) FROM ordered) * 10 // 100 THEN o.rank END AS rank
+FROM scored s LEFT JOIN ordered o ON s.row = o.row""",
+    "op13_warc": r"""
+WITH digests AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+),
+firsts AS (
+  SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first_page FROM digests
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id <> first_page THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id <> first_page THEN first_page END AS refers_to
+FROM firsts""",
     "op10_lm_scoring": r"""
 WITH split AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
