@@ -5,28 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docgauge.schemas import BLOCK, PAGES
+
 
 def paragraphs(text: Column, separator: str = r"\n\s*\n", confidence: float | None = None) -> Column:
     """Blocks of a plain text: one paragraph for each part that isn't blank, ids block-1, block-2, ..."""
     parts = F.filter(F.transform(F.split(text, separator), lambda x: F.trim(x)), lambda p: p != "")
+    none = F.lit(None)
     return F.transform(
         parts,
         lambda p, i: F.struct(
-            F.concat(F.lit("block-"), (i + 1).cast("string")).alias("id"),
-            F.lit("paragraph").alias("type"),
-            F.lit(1).alias("page_number"),
-            i.alias("reading_order"),
-            p.alias("text"),
-            F.lit(None).cast("struct<x1: double, y1: double, x2: double, y2: double>").alias("bbox"),
-            F.lit(confidence).cast("double").alias("confidence"),
+            F.concat(F.lit("block-"), (i + 1).cast("string")).alias("id"), F.lit("paragraph").alias("type"), F.lit(1).alias("page_number"), i.alias("reading_order"), p.alias("text"),
+            none.alias("bbox"), F.lit(confidence).alias("confidence"), none.alias("html"), none.alias("latex"), none.alias("cells"), none.alias("attributes"),
         ),
-    )
+    ).cast(f"array<{BLOCK}>")
 
 
 def text_pages(text: Column, **options) -> Column:
-    """One page that holds a plain text, none for an empty one."""
-    page = F.struct(F.lit(1).alias("page_number"), text.alias("text"), paragraphs(text, **options).alias("blocks"))
-    return F.when(text != "", F.array(page)).otherwise(F.slice(F.array(page), 1, 0))
+    """One page that holds a plain text, none for an empty one; pages as evaluate() takes them."""
+    none = F.lit(None)
+    page = F.struct(F.lit(1).alias("page_number"), none.alias("width"), none.alias("height"), text.alias("text"), paragraphs(text, **options).alias("blocks"))
+    return F.when(text != "", F.array(page)).otherwise(F.slice(F.array(page), 1, 0)).cast(PAGES)
 
 
 def pages_of(docs: DataFrame, keys: list[str]) -> DataFrame:

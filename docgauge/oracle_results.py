@@ -133,7 +133,7 @@ FROM scored""",
     ),
     "case_gate": _counts(
         {
-            "page_number_not_positive": _mod(1, 11), "unknown_source_kind": _mod(2, 11), "repeated_block_id": _mod(3, 11), "not_exactly_a_and_b": "0",
+            "page_number_not_positive": _mod(1, 11), "unknown_source_kind": _mod(2, 11), "repeated_block_id": _mod(3, 11), "not_exactly_a_and_b": _mod(3, 11),
             "several_documents": _mod(4, 11), "question_of_other_document": f"{_mod(4, 11)} + {_mod(5, 11)}", "repeated_question_id": _mod(6, 11), "overlapping_repairs": _mod(7, 11),
             "offsets_outside_block": _mod(8, 11), "before_text_differs": _mod(9, 11), "source_note_missing": f"2 * {_mod(10, 11)}",
         },

@@ -163,7 +163,7 @@ def ground_truth_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def case_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paired-repair cases made of documents, broken in nine ways by number."""
     n = F.col("doc_id")
-    docs = _docs(spark, sf_dir).withColumns({"case_id": n.cast("string"), "text": F.rpad(F.left("text", F.lit(20)), 20, ".")})
+    docs = _docs(spark, sf_dir).withColumns({"case_id": n.cast("string"), "text": F.rpad("text", F.greatest(F.length("text"), F.lit(20)), F.lit("."))})
     block = lambda d, page, kind: docs.select("case_id", F.lit("b").alias("block_id"), d.alias("document_id"), page.alias("page_number"), "text", kind.alias("source_kind"), "doc_id")
     blocks = block(F.lit("d"), F.when(n % 11 == 1, 0).otherwise(1), F.when(n % 11 == 2, "scan").otherwise("canonical_parser"))
     blocks = blocks.unionByName(block(F.when(n % 11 == 4, "other").otherwise("d"), F.lit(1), F.lit("pypdf_page_text")).filter(n % 11 > 2).withColumn("block_id", F.when(n % 11 == 3, "b").otherwise("b2")))
@@ -171,7 +171,7 @@ def case_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     questions = questions.unionByName(questions.filter(n % 11 == 6))
     edit = lambda name, start, end: docs.filter(n % 11 != 3).select("case_id", F.lit("b").alias("block_id"), F.lit(name).alias("candidate_id"), start.alias("start"), end.alias("end"), F.substring("text", start + 1, end - start).alias("before"), F.lit("<new>").alias("after"), F.when(n % 11 == 10, " ").otherwise("note").alias("source_note"), "doc_id")
     first = edit("A", F.lit(0), F.when(n % 11 == 7, 8).otherwise(2))
-    second = edit("B", F.lit(5), F.when(n % 11 == 8, 30).otherwise(9)).withColumn("before", F.when(n % 11 == 9, "??").otherwise(F.col("before")))
+    second = edit("B", F.lit(5), F.when(n % 11 == 8, F.length("text") + 10).otherwise(9)).withColumn("before", F.when(n % 11 == 9, "??").otherwise(F.col("before")))
     return _counted(gates.case_violations(blocks.drop("doc_id"), questions.drop("doc_id"), first.unionByName(second).drop("doc_id")))
 
 
