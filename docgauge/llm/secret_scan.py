@@ -5,8 +5,9 @@ percent and Unicode escapes are decoded over the whole layer, base64 segments (a
 that are wrapped over lines, stand in a path, or hold gzip, zlib, bzip2 or xz data) one by
 one; each new layer joins the worklist until none is new.  An escape mark that is itself
 escaped many times over (%25252541) is peeled to its last escape in one step, so depth costs
-no layers.  Compressed data is unfolded as a stream and enters in parts that overlap, so its
-size has no bound and memory does.  A layer that equals one around it is not
+no layers.  Compressed data is unfolded as a stream and enters in parts, each of which ends
+where no word and no run of base64 lines goes on, so that only a single token of great length
+needs memory of its size.  A layer that equals one around it is not
 entered, so cycles end; one that repeats at another place is.
 Every layer carries a map of its characters to the text, through which its spans are
 reported; a span counts for the layer only if decoding had a part in it.
@@ -53,8 +54,12 @@ _ESCAPE = re.compile(r"\\[uU]\{?([0-9A-Fa-f]+)\}?|\\x([0-9A-Fa-f]{2})|&#x([0-9A-
 _BASE64 = re.compile("[A-Za-z0-9+/_-]{16,}={0,2}")
 _NEXT_LINE = re.compile(r"[ \t]*\r?\n[ \t]*([A-Za-z0-9+/_-]+={0,2})(?=[ \t]*\r?(?:\n|\Z))")
 _PATH_MARK = re.compile("[/_-]")
-#: Bytes of unfolded data that make a part, and how far parts overlap (in characters).
-PART_BYTES, OVERLAP = 4 * 2**20, 2**16
+#: Bytes that unfolded data is taken in; a part ends where nothing is open, whatever its length.
+PART_BYTES = 4 * 2**20
+#: A word behind another one of its line, or a character that a line of base64 doesn't hold: what stands before can't be continued.
+_BREAK = re.compile(r"\S[ \t]+(?=\S)|[^A-Za-z0-9+/_=\s-]")
+#: Words before a break that may be the beginning of an assignment: a name, a sign and a quote.
+_WORDS_BEFORE = 3
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -150,14 +155,45 @@ def _texts(data: bytes) -> Iterator[tuple[str, str]] | None:
     return ((">compressed", t) for t in _decoded(_unfolded(data)))
 
 
+def _open_from(text: str) -> int:
+    """Where the last word begins that what follows may continue (base64 goes on over lines), with some words before it; 0 if all of text may be continued."""
+    size = 1 << 12
+    while True:  # from the end, as breaks are near it in most texts
+        low = max(0, len(text) - size)
+        last = None
+        for last in _BREAK.finditer(text, low):
+            pass
+        if last or not low:
+            break
+        size *= 8
+    if not last:
+        return 0
+    at = last.end() if last[0][-1].isspace() else _word_start(text, last.start())
+    for _ in range(_WORDS_BEFORE):
+        before = at
+        while before and text[before - 1].isspace():
+            before -= 1
+        at = _word_start(text, before)
+    return at
+
+
+def _word_start(text: str, at: int) -> int:
+    return max(text.rfind(c, 0, at) for c in " \n\t\r") + 1
+
+
 def _decoded(parts: Iterator[bytes]) -> Iterator[str]:
-    """Texts of a stream of bytes, each led by the end of the one before."""
-    machine, last = codecs.getincrementaldecoder("utf-8")(), ""
+    """Texts of a stream of bytes; none ends in a word or a run of lines that goes on."""
+    machine, held = codecs.getincrementaldecoder("utf-8")(), []
     for part in parts:
-        if made := machine.decode(part):
-            yield last + made
-            last = (last + made)[-OVERLAP:]
+        made = machine.decode(part)
+        at = _open_from(made)
+        if at:
+            yield "".join([*held, made[:at]])
+            held = []
+        held.append(made[at:])
     machine.decode(b"", True)
+    if rest := "".join(held):
+        yield rest
 
 
 def _base64(segment: str) -> Iterator[tuple[str, str]] | None:

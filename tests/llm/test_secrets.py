@@ -3,6 +3,9 @@
 import base64
 import zlib
 
+import pytest
+
+from docgauge.llm import secret_scan
 from docgauge.llm.secret_scan import all_spans
 
 
@@ -90,3 +93,37 @@ def test_layers_equal_a_plain_worklist():
         assert plain == "password=hunter2secret"
         found = {x for x in all_spans(f"a {text} b") if x[0] == "assign"}
         assert ("assign", ">".join(names), 2, 2 + len(text)) in found
+
+
+@pytest.mark.parametrize("wrapped", [False, True])
+def test_long_layers_across_parts(spark, wrapped, monkeypatch):
+    """A layer of many parts' length inside compressed data is found wherever it lies."""
+    monkeypatch.setattr(secret_scan, "PART_BYTES", 1000)
+    for size in (40, 900, 5000):
+        inner = base64.b64encode(("filler words here " * size)[:size].encode() + b" password: hunter2hunter2 " + b"more of it " * 20).decode()
+        if wrapped:
+            inner = "\n".join(inner[i : i + 76] for i in range(0, len(inner), 76))
+        for offset in (0, 1, 500, 880, *range(975, 1003, 3), 1500):
+            text = ("some words of prose. " * 200)[:offset] + "\n" + inner + "\nand more prose. " * 9
+            found = [t for t in secret_scan._decoded(iter([text[i : i + 1000].encode() for i in range(0, len(text), 1000)]))]
+            assert "".join(found) == text and any(inner in t for t in found), (size, offset)
+            blob = base64.b64encode(zlib.compress(text.encode(), 9)).decode()
+            spans = secret_scan.find_secrets(spark.createDataFrame([(1, blob)], "doc_id long, text string")).first()["spans"] if offset in (0, 984) else None
+            assert spans is None or any(s["kind"] == "assign" for s in spans), (size, offset)
+
+
+def test_assignments_across_parts():
+    text = "filler text. " * 60 + "password" + " " * 700 + "=" + " " * 300 + '"hunter2hunter2" ' + "more text. " * 60
+    for size in range(300, 1400, 37):
+        parts = list(secret_scan._decoded(iter([text[i : i + size].encode() for i in range(0, len(text), size)])))
+        assert "".join(parts) == text and sum(len([s for s in secret_scan.base_spans(t) if s[0] == "assign"]) for t in parts) == 1
+
+
+def test_a_layer_of_megabytes_across_a_part():
+    """133 kB and 5 MB of base64 across the end of the first part, at its real size."""
+    for size in (100_000, 5_000_000):
+        inner = base64.b64encode(b"x " * (size // 2) + b"password: hunter2hunter2").decode()
+        for before in (secret_scan.PART_BYTES - 50, secret_scan.PART_BYTES - 70_000, secret_scan.PART_BYTES - 3):
+            text = ("word " * (before // 5 + 1))[: before - 1] + "\n" + inner + "\nend of it."
+            data = zlib.compress(text.encode(), 1)
+            assert any(inner in t for _, t in secret_scan._texts(data))
