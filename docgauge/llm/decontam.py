@@ -7,14 +7,16 @@ hash-joined with those of the benchmark.  Windows of which fewer than ``MIN_PLAI
 plain say too little and are left out.
 
 Beside its template every item has a literal form, the same words without placeholders, whose
-windows are all used; an item of fewer than five words is one literal window as a whole.  So
-items that are mostly numbers and names, and copies in other case, are found word for word.
+windows are all used.  So items that are mostly numbers and names, and copies in other case,
+are found word for word.  An item of fewer than five words is one literal window as a whole;
+such a match is told apart (form ``short``), as it says little: the stage takes it for a leak
+only where the item is all of a line.
 
 A document holds an item if, in one form, windows on nearby alignments (places in the document
 less places in the item, within a fifth of the item) make up 0.8 of the item's different
 windows.  Windows count only if their slots are filled consistently over these alignments:
-each value of the item goes with the value of the document that it meets most often, and
-windows that say otherwise are dropped.
+values of the item and of the document go together one to one, those first that meet most
+often, and windows that say otherwise are dropped.
 
 Only windows that occur in the benchmark leave the document scan: while the benchmark
 has at most ``BROADCAST_WINDOWS`` windows (8 bytes each) their hashes are broadcast as a
@@ -26,6 +28,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -53,6 +56,7 @@ UNITS = frozenset(
 _NUMBER = re.compile(r"[+\-]?[$€£]?\d[\d.,:/]*(?:%|[a-zA-Z°]{1,4})?")
 _EDGES = re.compile(r"^[^\w$€£+\-]+|[^\w%°]+$")
 _ENDS = re.compile(r"[.!?:;][\"'”’)\]]*$")
+_WORD = re.compile(r"\w\S*")
 _WORDS_KEPT = 600_000
 PLAIN, SLOT, CAPITAL, UNIT, OPENS, EMPTY = 0, 1, 2, 4, 8, 16
 _NUM, _NAME, _UNIT = (xxhash.xxh3_64_intdigest(x) for x in (b"\0num", b"\0name", b"\0unit"))
@@ -174,17 +178,21 @@ def best_alignment(matches: list, n_windows: int, min_share: float = MIN_SHARE)
             continue
         met = Counter(pair for _, _, pairs in near for pair in pairs)
         into: dict[str, str] = {}
+        taken: set[str] = set()
         for (mine, other), _ in sorted(met.items(), key=lambda x: (-x[1], x[0])):
-            into.setdefault(mine, other)
-        whole = {h for _, h, pairs in near if all(into[a] == b for a, b in pairs)}
+            if mine not in into and other not in taken:
+                into[mine] = other
+                taken.add(other)
+        whole = {h for _, h, pairs in near if all(into.get(a) == b for a, b in pairs)}
         best = max(best, (len(whole), len(into)))
     return best
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, min_share: float = MIN_SHARE) -> DataFrame:
-    """doc_id, item_id, n_windows (of the item), n_matched, share, n_slots for each document and item that it holds.
+    """doc_id, item_id, n_windows (of the item), n_matched, share, n_slots, form for each document and item that it holds.
 
-    The form (template, else literal) with the larger share is told.  Null and empty texts
+    The form (template, else literal; short: a literal one of fewer words than a window) with
+    the larger share is told.  Null and empty texts
     have no windows and hold nothing; an item without words is never found.  Very long texts
     are taken whole.  Rows of benchmark that share an item_id are pooled, null item_ids too (as
     null); documents that share a doc_id are pooled, null doc_ids too.  Repeated rows change
@@ -213,18 +221,45 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, min_
     enough = F.size("matches") >= min_share * F.col("n_windows")
     judged = grouped.join(n_windows.hint("shuffle_hash"), ["item", "form"]).filter(enough).select("_key", "item", "form", "n_windows", aligned("matches", "n_windows").alias("m"))
     share = F.col("m.n_matched") / F.col("n_windows")
-    whole = judged.select("_key", "item", F.struct(share.alias("share"), (F.col("form") == 0).alias("template"), "n_windows", "m.n_matched", "m.n_slots").alias("b")).filter(F.col("b.share") >= min_share)
+    whole = judged.select("_key", "item", F.struct(share.alias("share"), (F.col("form") == 0).alias("template"), (F.col("form") >= size).alias("literal"), "n_windows", "m.n_matched", "m.n_slots").alias("b")).filter(F.col("b.share") >= min_share)
     best = whole.groupBy("_key", "item").agg(F.max("b").alias("b"))
-    return best.select(id_from(), F.when(F.col("item") != -(2**63), F.col("item")).alias("item_id"), "b.n_windows", "b.n_matched", "b.share", "b.n_slots")
+    return best.select(id_from(), F.when(F.col("item") != -(2**63), F.col("item")).alias("item_id"), "b.n_windows", "b.n_matched", "b.share", "b.n_slots", F.when(F.col("b.template"), "template").when(F.col("b.literal"), "literal").otherwise("short").alias("form"))
+
+
+def lines_of_items(texts: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
+    """doc_id of the texts (doc_id, text) of which a line is an item of fewer than ``size`` words, whatever its case and the punctuation around words."""
+    spark = texts.sparkSession
+
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        templates = Templates()
+        for b in batches:
+            rows = []
+            for key, text in zip(b["doc_id"].tolist(), b["text"], strict=True):
+                for line in set(text.split("\n")):
+                    if len([*islice(_WORD.finditer(line), size)]) == size:
+                        continue
+                    _, _, literals, words = templates.of(line)
+                    if 0 < len(words) < size:
+                        rows.append((key, int(mixed(window_hashes(literals, len(words)) + np.uint64(len(words))).view(np.int64)[0]), len(words)))
+            yield pd.DataFrame(rows, columns=["doc_id", "hash", "n"])
+
+    lines = lambda df: df.mapInPandas(hashed, "doc_id long, hash long, n int")
+    items = benchmark.select(F.lit(0).cast("long").alias("doc_id"), F.regexp_replace(whole_text(), r"\s+", " ").alias("text"))
+    short = stored(lines(items).select("hash", "n").distinct(), "short-items")
+    if short.isEmpty():
+        return spark.createDataFrame([], "doc_id long")
+    return lines(texts).join(short.hint("shuffle_hash"), ["hash", "n"], "left_semi").select("doc_id").distinct()
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, min_share: float = MIN_SHARE) -> DataFrame:
     """The rows of docs whose text holds no item of benchmark; the columns stay.
 
-    Rows are judged by their text, whatever their doc_id; null and empty texts stay, repeated
-    rows share their verdict, and columns of any name stay as they are.
+    An item of fewer words than a window counts only where it is all of a line.  Rows are
+    judged by their text, whatever their doc_id; null and empty texts stay, repeated rows share
+    their verdict, and columns of any name stay as they are.
     """
     key = free_name(docs.columns, "_text_key")
-    texts = docs.select(F.xxhash64(whole_text()).alias("doc_id"), "text")
-    found = stored(contaminated(texts, benchmark, size, min_share).select(F.col("doc_id").alias(key)).distinct(), "contaminated")
+    texts = docs.select(F.xxhash64(whole_text()).alias("doc_id"), whole_text().alias("text"))
+    long = contaminated(texts, benchmark, size, min_share).filter("form <> 'short'").select("doc_id")
+    found = stored(long.union(lines_of_items(texts, benchmark, size)).select(F.col("doc_id").alias(key)).distinct(), "contaminated")
     return docs.withColumn(key, F.xxhash64(whole_text())).join(found.hint("shuffle_hash"), key, "left_anti").select(*[f"`{c}`" for c in docs.columns])

@@ -362,6 +362,24 @@ def test_items_of_slots_or_few_words_are_found(spark):
     assert found == {(1, 1), (2, 2), (3, 3), (11, 1), (12, 2), (14, 3)}
 
 
+def test_slots_go_together_one_to_one(spark):
+    item = "A car drives at 60 mph from the town to the lake which is 120 miles away from it"
+    merged = item.replace("60", "75").replace("120", "75")
+    swapped = item.replace("60", "75").replace("120", "150")
+    docs = spark.createDataFrame([(1, merged), (2, swapped)], "doc_id long, text string")
+    found = {r["doc_id"]: r["share"] for r in decontam.contaminated(docs, spark.createDataFrame([(7, item)], "item_id long, text string"), min_share=0.1).collect()}
+    assert found[2] == 1.0 and found[1] < 1.0
+
+
+def test_short_items_count_as_whole_lines_only(spark):
+    rows = [(1, "the", "en"), (2, "some words and the others", "en"), (3, "first line here\n  The...\nlast", "en"), (4, None, None), (5, "Two  words", "x"), (6, "yes and no\n\n...", "en"), (7, "!!! " * 9 + "yes", "en"), (8, "two words more", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    benchmark = spark.createDataFrame([(1, "the"), (2, "yes"), (3, "two\nwords"), (4, None), (5, "...")], "item_id long, text string")
+    assert sorted(r["doc_id"] for r in decontam.clean_documents(docs, benchmark).collect()) == [2, 4, 6, 8]
+    assert {r["form"] for r in decontam.contaminated(docs, benchmark).collect()} == {"short"}
+    assert decontam.clean_documents(docs, benchmark.limit(0)).count() == len(rows)
+
+
 def test_scattered_windows_are_no_match(spark):
     item = "when the long train had left the old station the two brothers walked home along the dark river and spoke no word"
     row = item.split()
