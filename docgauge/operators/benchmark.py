@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,17 +32,37 @@ def metric_intervals(evaluated: DataFrame, metrics: list[str], unbounded: tuple[
     return grouped.select(*keys, "metric", "n", "mean", F.when(half.isNotNull(), low).alias("ci_low"), F.when(half.isNotNull(), capped).alias("ci_high"))
 
 
+def percentiles(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """keys and exact percentiles (interpolated) of value by name; nulls don't count, groups without values are left out.
+
+    Equal values are counted first, and counts are summed up in order of value, so that a group
+    of any size costs its different values and no row holds them.
+    """
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    group = Window.partitionBy(*keys)
+    ranked = counts.withColumns({"_upto": F.sum("_n").over(group.orderBy(value)), "_all": F.sum("_n").over(group)})
+    place = lambda q: q * (F.col("_all") - 1)
+    at = lambda rank: F.min(F.when(F.col("_upto") > rank, F.col(value)))
+    ends = [x for name, q in shares.items() for x in (at(F.floor(place(q))).alias(f"{name}_low"), at(F.ceil(place(q))).alias(f"{name}_high"))]
+    found = ranked.groupBy(*keys).agg(F.max("_all").alias("_all"), *ends)
+    between = lambda name, q: F.col(f"{name}_low") + (place(q) - F.floor(place(q))) * (F.col(f"{name}_high") - F.col(f"{name}_low"))
+    return found.select(*keys, *[between(name, q).cast("double").alias(name) for name, q in shares.items()])
+
+
 def operations(evaluated: DataFrame, keys: list[str] = GROUP) -> DataFrame:
     """Runs, documents, latency percentiles (interpolated), pages a minute and dataset versions of each group."""
     timed = F.col("latency_ms") > 0
-    return evaluated.groupBy(*keys).agg(
+    known = [F.col(c).alias(f"_{c}") for c in keys]
+    latency = percentiles(evaluated, keys, "latency_ms", {"latency_p50": 0.5, "latency_p95": 0.95}).select(*known, "latency_p50", "latency_p95")
+    summed = evaluated.groupBy(*keys).agg(
         F.count("*").alias("n_runs"),
         F.count_distinct("document_id").alias("n_documents"),
-        F.percentile("latency_ms", 0.5).alias("latency_p50"),
-        F.percentile("latency_ms", 0.95).alias("latency_p95"),
         (F.sum(F.when(timed, F.col("page_count"))) / (F.sum(F.when(timed, F.col("latency_ms"))) / 60000)).alias("pages_per_minute"),
         F.array_sort(F.collect_set(F.concat_ws("@", "dataset_name", "dataset_version"))).alias("dataset_versions"),
     )
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys])
+    joined = summed.join(latency.hint("shuffle_hash"), same, "left")
+    return joined.select(*keys, "n_runs", "n_documents", "latency_p50", "latency_p95", "pages_per_minute", "dataset_versions")
 
 
 def leaderboard(groups: DataFrame, value: str = "overall_quality", tie: list[str] = GROUP) -> DataFrame:

@@ -325,10 +325,12 @@ def leaderboard_of_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     A paragraph counts as recovered where the parse has it word for word.
     """
-    rows = normalize.variants(_documents(spark, sf_dir), "full_text")
-    paragraphs = lambda c: F.array_distinct(F.filter(F.transform(structure.paragraphs(F.col(c), separator="\n"), lambda p: normalize_space(p["text"])), lambda t: t != ""))
+    lines = lambda text: F.array_distinct(F.filter(F.transform(F.split(text, "\n"), normalize_space), lambda t: t != ""))
+    docs = _table(spark, sf_dir, "documents").select(F.coalesce("text", F.lit("")).alias("full_text"))
+    # The document's own lines are taken once, before its variants.
+    rows = normalize.variants(docs.withColumn("g", lines(F.col("full_text"))), "full_text")
     # All paragraphs of a run stand in one row, so nothing is shuffled before the summary.
-    both = rows.select("parser_name", paragraphs("full_text").alias("g"), paragraphs("parsed_text").alias("p"))
+    both = rows.select("parser_name", "g", lines(F.col("parsed_text")).alias("p"))
     per_run = both.select("parser_name", F.size("g").alias("g"), F.size("p").alias("p"), F.size(F.array_intersect("g", "p")).alias("tp")).filter("g + p > 0")
     tp = F.col("tp")
     _, recall, f1 = f1_scores(tp, F.col("p") - tp, F.col("g") - tp)
