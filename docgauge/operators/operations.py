@@ -96,6 +96,16 @@ def owned(rows: DataFrame, owner: str, column: str = "owner_id") -> DataFrame:
     return rows.filter(F.col(column) == owner).orderBy(F.desc("created_at"))
 
 
+def with_documents(rows: DataFrame, documents: DataFrame, owner: str | None = None) -> DataFrame:
+    """rows (by document_id) with document_filename; of one owner's documents only if an owner is given, newest first.
+
+    documents: document_id, original_filename, owner_id.  Rows whose document is gone are left out.
+    """
+    mine = documents if owner is None else documents.filter(F.col("owner_id") == owner)
+    named = rows.join(mine.select("document_id", F.col("original_filename").alias("document_filename")).hint("merge"), "document_id")
+    return named.orderBy(F.desc_nulls_last("updated_at"), "document_id") if "updated_at" in rows.columns else named
+
+
 def result_sizes(results: DataFrame) -> DataFrame:
     """run_id, result_size_bytes: each artifact path once."""
     files = results.select("run_id", F.explode("artifact_manifest").alias("f")).select("run_id", "f.path", "f.size_bytes").dropDuplicates(["run_id", "path"])

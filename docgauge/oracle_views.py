@@ -116,4 +116,35 @@ FROM cases, names, (SELECT unnest([1, 2])::BIGINT AS r)""",
 SELECT o_orderkey, c_name AS parser_name, c_mktsegment AS parser_version FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_custkey % 3 <> 0 AND (lower(c_mktsegment) LIKE '%building%' OR lower(c_name) LIKE '%building%')""",
     "upserted_scores": """
 SELECT c_custkey AS id, c_acctbal AS score FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey * 20 FROM supplier) UNION ALL SELECT s_suppkey * 20, 1.0::DOUBLE FROM supplier""",
+    "runner_gate": """
+SELECT doc_id, unnest([[], ['other_fields', 'schema_or_repeat', 'no_blocks_or_questions'], ['schema_or_repeat'], ['no_blocks_or_questions'], ['block_not_object'], ['block_field_not_allowed'],
+                       ['block_field_missing', 'block_text_not_string'], ['page_number_not_positive'], ['page_number_not_positive', 'run_id_not_string', 'repeated_block_id'],
+                       ['question_fields', 'repeated_question_id'], ['question_not_string', 'document_without_blocks'], ['other_fields']][doc_id % 12 + 1]) AS rule
+FROM documents""",
+    "execution_gate": """
+SELECT CAST(o_orderkey AS VARCHAR) AS run_id, 'not_complete' AS rule, NULL AS detail FROM orders WHERE o_orderkey % 5 = 0
+UNION ALL SELECT CAST(o_orderkey AS VARCHAR), 'case_changed', NULL FROM orders WHERE o_orderkey % 7 = 0 AND o_orderkey <> 0
+UNION ALL SELECT CAST(CASE WHEN o_orderkey % 11 = 0 THEN -o_orderkey ELSE o_orderkey END AS VARCHAR), 'output_changed', 'e' || o_orderkey FROM orders WHERE o_orderkey % 3 <> 0
+UNION ALL SELECT CAST(-o_orderkey AS VARCHAR), 'unknown_run', 'e' || o_orderkey FROM orders WHERE o_orderkey % 11 = 0 AND o_orderkey <> 0""",
+    "pages_of_pipelines": r"""
+WITH pages AS (
+  SELECT doc_id, [coalesce(source, 's') || chr(10) || chr(10) || 'b', coalesce(lang, 'l') || chr(10) || 'line', 'only', ''] AS t, ['m' || chr(10) || chr(10) || coalesce(lang, 'l'), 'whole', 'only', ''] AS m FROM documents
+)
+SELECT doc_id, array_to_string(list_filter([t[doc_id % 4 + 1], t[(doc_id + 1) % 4 + 1]], lambda x: x <> ''), chr(10) || chr(10)) AS text,
+       array_to_string(list_filter([m[doc_id % 4 + 1], m[(doc_id + 1) % 4 + 1]], lambda x: x <> ''), chr(10) || chr(10)) AS markdown
+FROM pages""",
+    "variants_with_prefix": """
+WITH texts AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN source ELSE coalesce(lang, '') END AS text FROM documents),
+clean AS (
+  SELECT doc_id, CASE WHEN length(text) < 20 THEN ['Mock parser extracted a ' || octet_length(encode(text)) || '-byte document.', 'Binary formats are represented by deterministic sample text in Phase 1.'] ELSE [text] END AS lines FROM texts
+),
+made AS (
+  SELECT doc_id, unnest([{'name': 'standard', 'lines': lines}, {'name': 'uppercase', 'lines': list_transform(lines, lambda x: upper(x))},
+                         {'name': 'line_numbered', 'lines': list_transform(lines, lambda x, i: lpad(CAST(i AS VARCHAR), 3, '0') || ' | ' || x)}]) AS v FROM clean
+)
+SELECT doc_id, v.name AS parser_name, array_to_string(list_concat(['Draft', ''], v.lines), chr(10)) AS parsed_text, array_to_string(list_concat(['Draft'], v.lines), chr(10) || chr(10)) AS markdown FROM made""",
+    "results_by_adapter": """
+SELECT doc_id, ['own', 'other', 'list'][doc_id % 4 + 1] AS adapter_key, coalesce(source, 's') AS full_text, 1::BIGINT AS n_blocks FROM documents WHERE doc_id % 4 < 3""",
+    "truths_of_owner": """
+SELECT o_orderkey AS truth_id, CAST(o_custkey AS VARCHAR) AS document_id, c_name AS document_filename FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey = 7""",
 }

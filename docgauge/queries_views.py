@@ -180,10 +180,77 @@ def inputs_of_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.batch_texts(packed, ["doc_id"], ["segment_at"], ["block_id"]).select("doc_id", F.col("batch").cast("long").alias("batch"), F.md5("input").alias("input_md5"))
 
 
+def runner_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payloads for a runner made of documents, broken in several ways by number."""
+    d = F.col("doc_id")
+    text = F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("text")))
+    block = lambda more="", number="1": F.concat(F.lit(f'{{"block_id": "b", "document_id": "d", "page_number": {number}, {more}'), F.substr(text, F.lit(2), F.length(text)))
+    question = '{"question_id": "q", "document_id": "d", "question": "?"}'
+    payload = lambda blocks, questions=question, head='"schema_version": 1, "repeat_id": 0': F.concat(F.lit(f'{{{head}, "blocks": ['), blocks, F.lit(f'], "questions": [{questions}]}}'))
+    shapes = [
+        payload(block()), F.lit("[]"), payload(block(), head='"schema_version": 2, "repeat_id": true'), payload(F.lit(""), ""), payload(F.concat(block(), F.lit(", 7"))), payload(block('"secret": 1, ')),
+        payload(F.lit('{"block_id": "b", "page_number": 1, "text": "t", "document_id": 5}, {"block_id": "c", "page_number": 1, "document_id": "d"}')), payload(block(number="0")), payload(F.concat(block('"run_id": 3, '), F.lit(", "), block(number="true"))),
+        payload(block(), f'{question}, {question[:-1]}, "answer": "x"}}'), payload(block(), '{"question_id": "q", "document_id": "other", "question": 1}'), payload(block(), head='"schema_version": 1, "repeat_id": 0, "gold": 1'),
+    ]
+    rows = _table(spark, sf_dir, "documents").select("doc_id", F.element_at(F.array(*shapes), (d % len(shapes) + 1).cast("int")).alias("payload"))
+    found = gates.runner_violations(rows, ["doc_id"], ("block_id", "document_id", "page_number", "text", "run_id"))
+    return found.select("doc_id", "rule")
+
+
+def execution_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of orders whose frozen case or outputs were changed after they ended."""
+    n = F.col("o_orderkey")
+    case = F.concat(F.lit('{"b":'), n.cast("string"), F.lit(', "a": 1}'))
+    digest = lambda plain: F.sha2(plain, 256)
+    orders = _table(spark, sf_dir, "orders")
+    runs = orders.select(n.cast("string").alias("run_id"), F.when(n % 5 == 0, "failed").otherwise("complete").alias("status"), case.alias("frozen_case"), digest(F.concat(F.lit('{"a":1,"b":'), F.when(n % 7 == 0, 0).otherwise(n).cast("string"), F.lit("}"))).alias("case_sha256"))
+    records = orders.select(F.when(n % 11 == 0, -n).otherwise(n).cast("string").alias("run_id"), F.concat(F.lit("e"), n.cast("string")).alias("execution_id"), F.lit('{"y": [1, 2], "x": "t"}').alias("response"), digest(F.when(n % 3 == 0, '{"x":"t","y":[1,2]}').otherwise('{"x":"t"}')).alias("output_sha256"))
+    return gates.execution_violations(runs, records)
+
+
+def pages_of_pipelines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page results of a pipeline: blocks, OCR lines or markdown of three kinds, whichever a page has."""
+    d = F.col("doc_id")
+    rows = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("source", F.lit("s")).alias("source"), F.coalesce("lang", F.lit("l")).alias("lang"))
+    blocks = F.concat(F.lit('{"res": {"parsing_res_list": [{"block_content": "'), F.col("source"), F.lit('"}, {"block_content": ""}, 5, {"block_content": "b"}]}, "markdown": {"markdown_texts": ["m", "'), F.col("lang"), F.lit('"]}}'))
+    lines = F.concat(F.lit('{"parsing_res_list": [], "overall_ocr_res": {"rec_texts": ["'), F.col("lang"), F.lit('", "line"]}, "markdown": "whole"}'))
+    plain = F.lit('{"markdown": {"markdown_texts": "only"}}')
+    none = F.lit('{"markdown": 5}')
+    page = lambda k: F.element_at(F.array(blocks, lines, plain, none), ((d + k) % 4 + 1).cast("int"))
+    made = normalize.pipeline_pages(rows.withColumn("raw", F.concat(F.lit("["), page(0), F.lit(", "), page(1), F.lit("]"))))
+    return made.select("doc_id", "text", "markdown")
+
+
+def variants_with_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parser variants behind a prefix; short texts are replaced, and each text as markdown."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.col("source")).otherwise(F.coalesce("lang", F.lit(""))).alias("text"))
+    rows = normalize.variants(docs, prefix=" Draft ", replace_short=True)
+    return rows.select("doc_id", "parser_name", "parsed_text", normalize.paragraph_markdown(F.col("parsed_text")).alias("markdown"))
+
+
+def results_by_adapter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of three adapters, each normalized in its own way."""
+    d = F.col("doc_id")
+    rows = _table(spark, sf_dir, "documents").select("doc_id", _pick(d % 4, "own", "other", "list", "gone").alias("adapter_key"), F.coalesce("source", F.lit("s")).alias("source"))
+    own = F.concat(F.lit('{"text": "'), F.col("source"), F.lit('"}'))
+    raw = F.when(d % 4 == 2, F.concat(F.lit('{"content_list": [{"type": "text", "page_idx": 0, "text": "'), F.col("source"), F.lit('"}]}'))).otherwise(own)
+    made = normalize.by_adapter(rows.withColumn("raw", raw), {"own": "plain_text", "other": "plain_text", "list": "content_list"})
+    blocks = F.flatten(F.transform("pages", lambda p: p["blocks"]))
+    return made.select("doc_id", "adapter_key", "full_text", F.size(blocks).cast("long").alias("n_blocks"))
+
+
+def truths_of_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ground truths with the file names of one owner's documents."""
+    documents = _table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("document_id"), F.col("c_name").alias("original_filename"), F.col("c_nationkey").cast("string").alias("owner_id"))
+    truths = _table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("document_id"), F.col("o_orderkey").alias("truth_id"), F.col("o_orderdate").alias("updated_at"))
+    return operations.with_documents(truths, documents, "7").select("truth_id", "document_id", "document_filename")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         file_catalog, outputs_of_folders, pages_of_results, artifact_rows, merged_configurations, percentiles_of_values, dataset_changes, changed_ranges, rebuilt_turns, span_places,
         masking_inputs, blocks_for_research, chosen_questions, grid_of_conditions, runs_of_connectors, upserted_scores, inputs_of_batches,
+        runner_gate, execution_gate, pages_of_pipelines, variants_with_prefix, results_by_adapter, truths_of_owner,
     )
 }
