@@ -6,19 +6,19 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docgauge.functions.columns import csv_safe, normalize_space
+from docgauge.functions.distances import kept
 
-#: Sizes that choose how a pair is compared; no clock, so results don't depend on the machine.
+#: A replaced stretch of at most so many characters is aligned by character as well.
 FINE_CHARS = 400
+#: Longer stretches of words are first parted at runs that stand once in each side; by size, not by the clock, so results don't depend on the machine.
 WORDS = 25_000
-COMMON_WORD = 8
-MANY_UNITS = 1000
+UNITS = ("both", "words", "characters")
 ANCHOR_RUNS = (4, 2, 1)
 _TOKENS = re.compile(r"\S+\s*|\s+")
 
@@ -30,12 +30,20 @@ CSV_COLUMNS = (
 )
 
 
-def _opcodes(a: list[str], b: list[str], common: int | None):
-    rare = None
-    if common is not None:
-        seen = Counter(a) + Counter(b)
-        rare = lambda t: seen[t] > common
-    return SequenceMatcher(rare, a, b, autojunk=False).get_opcodes()
+def _opcodes(a, b) -> Iterator[tuple[str, int, int, int, int]]:
+    """equal and replace stretches of a longest common subsequence (of words or characters)."""
+    i = k = size = 0
+    for x, y in kept(a, b):
+        if (x, y) != (i + size, k + size):
+            if size:
+                yield "equal", i, i + size, k, k + size
+            yield "replace", i + size, x, k + size, y
+            i, k, size = x, y, 0
+        size += 1
+    if size:
+        yield "equal", i, i + size, k, k + size
+    if i + size < len(a) or k + size < len(b):
+        yield "replace", i + size, len(a), k + size, len(b)
 
 
 def _anchors(a: list[str], b: list[str], size: int) -> list[tuple[int, int]]:
@@ -60,11 +68,8 @@ def _anchors(a: list[str], b: list[str], size: int) -> list[tuple[int, int]]:
     return series[::-1]
 
 
-def _aligned(a: list[str], b: list[str], units: int) -> Iterator[tuple[str, int, int, int, int]]:
-    """Opcodes between units.  More than WORDS of them are parted at runs that stand once in each side, and aligned in between.
-
-    Where there are many units (in a stretch, or in both whole texts that are not parted), those seen often are no anchors.
-    """
+def _aligned(a: list[str], b: list[str]) -> Iterator[tuple[str, int, int, int, int]]:
+    """Opcodes between words.  More than WORDS of them are parted at runs that stand once in each side, and aligned in between."""
     work = [(0, len(a), 0, len(b), ANCHOR_RUNS)]
     while work:
         i, j, k, m, runs = work.pop()
@@ -84,16 +89,16 @@ def _aligned(a: list[str], b: list[str], units: int) -> Iterator[tuple[str, int,
                 i, k = x + 1, y + 1
             work += reversed([*parts, (i, j, k, m, ANCHOR_RUNS)])
         else:
-            for kind, p, q, r, s in _opcodes(a[i:j], b[k:m], COMMON_WORD if (units if units <= WORDS else j - i + m - k) > MANY_UNITS else None):
+            for kind, p, q, r, s in _opcodes(a[i:j], b[k:m]):
                 yield kind, i + p, i + q, k + r, k + s
 
 
-def diff_parts(base: str, target: str) -> list[tuple[str, str]]:
+def diff_parts(base: str, target: str, unit: str = "both") -> list[tuple[str, str]]:
     """(equal, removed or added, text): equal and removed parts make up base, equal and added ones target.
 
-    Words (with the space behind them) that both texts share at their ends are set aside, the
-    rest is aligned; small
-    replaced stretches are aligned again by character.
+    As many words (with the space behind them) as possible are equal; unit says whether small
+    replaced stretches are aligned again by character (both), or whether all is compared by
+    words or by characters.
     """
     parts: list[list[str]] = []
 
@@ -104,6 +109,14 @@ def diff_parts(base: str, target: str) -> list[tuple[str, str]]:
             else:
                 parts.append([kind, text])
 
+    if unit not in UNITS:
+        raise ValueError(f"unit is one of {', '.join(UNITS)}")
+    if unit == "characters":
+        for kind, i, j, k, m in _opcodes(base, target):
+            add("equal" if kind == "equal" else "removed", base[i:j])
+            if kind != "equal":
+                add("added", target[k:m])
+        return [(kind, text) for kind, text in parts]
     a, b = _TOKENS.findall(base), _TOKENS.findall(target)
     head = 0
     while head < min(len(a), len(b)) and a[head] == b[head]:
@@ -113,12 +126,12 @@ def diff_parts(base: str, target: str) -> list[tuple[str, str]]:
         tail += 1
     add("equal", "".join(a[:head]))
     a_mid, b_mid = a[head : len(a) - tail], b[head : len(b) - tail]
-    for kind, i, j, k, m in _aligned(a_mid, b_mid, len(a) + len(b)):
+    for kind, i, j, k, m in _aligned(a_mid, b_mid):
         old, new = "".join(a_mid[i:j]), "".join(b_mid[k:m])
         if kind == "equal":
             add("equal", old)
-        elif old and new and len(old) + len(new) <= FINE_CHARS:
-            for fine, p, q, r, s in SequenceMatcher(None, old, new, autojunk=False).get_opcodes():
+        elif unit == "both" and old and new and len(old) + len(new) <= FINE_CHARS:
+            for fine, p, q, r, s in _opcodes(old, new):
                 if fine == "equal":
                     add("equal", old[p:q])
                 else:
@@ -131,7 +144,7 @@ def diff_parts(base: str, target: str) -> list[tuple[str, str]]:
     return [(kind, text) for kind, text in parts]
 
 
-def text_diffs(pairs: DataFrame, base: str = "base", target: str = "target", normalize: bool = True) -> DataFrame:
+def text_diffs(pairs: DataFrame, base: str = "base", target: str = "target", normalize: bool = True, unit: str = "both") -> DataFrame:
     """pairs with diff (array of type, text), similarity_ratio, added_count, removed_count.
 
     Null texts count as empty.  similarity_ratio is 2 * equal / (both lengths), 1 where both
@@ -143,7 +156,7 @@ def text_diffs(pairs: DataFrame, base: str = "base", target: str = "target", nor
     @F.pandas_udf("array<struct<type: string, text: string>>")
     def diffed(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for a, b in batches:
-            yield pd.Series([[{"type": k, "text": t} for k, t in diff_parts(x, y)] if x is not None else None for x, y in zip(a, b, strict=True)], dtype=object)
+            yield pd.Series([[{"type": k, "text": t} for k, t in diff_parts(x, y, unit)] if x is not None else None for x, y in zip(a, b, strict=True)], dtype=object)
 
     same = F.col(base) == F.col(target)
     whole = F.when(F.col(base) == "", F.array().cast("array<struct<type: string, text: string>>")).otherwise(F.array(F.struct(F.lit("equal").alias("type"), F.col(base).alias("text"))))

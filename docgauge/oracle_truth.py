@@ -85,4 +85,7 @@ steps AS (
 )
 SELECT p_partkey, levenshtein(x, y) AS levenshtein, length(x) + length(y) - 2 * longest[length(y) + 1] AS indel, true AS gaps_between
 FROM steps WHERE i = length(x)""",
+    "streamed_scores": r"""
+WITH texts AS (SELECT conv_id || '-' || turn AS id, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS text FROM conversations)
+SELECT 'r' || id AS run_id, id AS document_id, 2::BIGINT AS run_version, length(text) - length(replace(text, 'a', '')) AS text_edit_distance, length(text) AS ground_truth_characters FROM texts""",
 }

@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from docgauge.functions.distances import distance
 from docgauge.operators import metrics, structure
 from docgauge.plans.evaluate import evaluate
+from docgauge.schemas import ENTITIES
 from docgauge.sources import payloads
+from docgauge.streaming import scoring
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,4 +116,20 @@ def part_name_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", "levenshtein", "indel", F.col("gaps").between(F.col("levenshtein"), F.col("indel")).alias("gaps_between"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (truth_blocks, payload_scores, crossed_lines, part_name_distances)}
+def streamed_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations as a stream of results in two versions, joined with a stream of ground truth (every a a b); the last scores of each run."""
+    kind = spark.read.parquet(f"{sf_dir}/conversations.parquet").schema
+    source = spark.readStream.schema(kind).parquet(f"{sf_dir}/conversations.parquet*")
+    turns = source.select(F.concat_ws("-", "conv_id", "turn").alias("document_id"), F.coalesce("text", F.lit("")).alias("full_text"))
+    versions = turns.withColumn("version", F.explode(F.array(F.lit(1), F.lit(2))))
+    text = F.when(F.col("version") == 1, F.lit("draft")).otherwise(F.col("full_text"))
+    results = versions.select(F.concat(F.lit("r"), "document_id").alias("run_id"), "document_id", "version", text.alias("full_text"), structure.text_pages(text).alias("pages"))
+    gold = F.replace("full_text", F.lit("a"), F.lit("b"))
+    truth = turns.select("document_id", F.lit(1).alias("version"), gold.alias("full_text"), structure.text_pages(gold).alias("pages"), F.array().cast(ENTITIES).alias("pii_entities"))
+    path = scoring.shared_path(spark, "scores")
+    scoring.score_joined(results, truth, path, f"{path}-checkpoint").awaitTermination()
+    scores = scoring.current_scores(spark.read.parquet(path))
+    return scores.select("run_id", "document_id", F.col("run_version").cast("long").alias("run_version"), "text_edit_distance", F.col("ground_truth_characters").cast("long").alias("ground_truth_characters"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (truth_blocks, payload_scores, crossed_lines, part_name_distances, streamed_scores)}

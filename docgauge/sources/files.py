@@ -53,12 +53,23 @@ def catalog(files: DataFrame, max_bytes: int, declared: Column | None = None) ->
     return files.select("path", name.alias("name"), extension.alias("extension"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"), rule.alias("rule"))
 
 
-def first_outputs(files: DataFrame) -> DataFrame:
-    """run (folder), extension, path, text: the first readable json, md and txt file of each folder in order of path (binaryFile rows)."""
+#: The kinds of output that are read, and files beside them that are none.
+OUTPUTS = ("json", "md", "txt")
+NO_OUTPUTS = ("config.json",)
+
+
+def first_outputs(files: DataFrame, root: str | None = None) -> DataFrame:
+    """run, extension, path, text: the first readable json, md and txt file of each run in order of path (binaryFile rows).
+
+    A run is the folder of its files or, with a root, the folder right below it, whatever
+    lies deeper.  Configurations are no outputs.
+    """
     parts = F.split("path", "/")
+    name = F.element_at(parts, -1)
+    run = F.get(parts, F.size(parts) - 2) if root is None else F.get(F.split(F.substring_index("path", f"{root.rstrip('/')}/", -1), "/"), F.lit(0))
     text = F.try_validate_utf8(F.col("content").cast("string")) if hasattr(F, "try_validate_utf8") else F.col("content").cast("string")
-    rows = files.select("path", F.get(parts, F.size(parts) - 2).alias("run"), F.lower(F.element_at(F.split("path", r"\."), -1)).alias("extension"), text.alias("text"))
-    usable = rows.filter(F.col("extension").isin("json", "md", "txt") & F.col("text").isNotNull()).filter((F.col("extension") != "json") | F.try_parse_json("text").isNotNull())
+    rows = files.filter(~name.isin(*NO_OUTPUTS)).select("path", run.alias("run"), F.lower(F.element_at(F.split(name, r"\."), -1)).alias("extension"), text.alias("text"))
+    usable = rows.filter(F.col("extension").isin(*OUTPUTS) & F.col("text").isNotNull()).filter((F.col("extension") != "json") | F.try_parse_json("text").isNotNull())
     return usable.groupBy("run", "extension").agg(F.min("path").alias("path"), F.min_by("text", "path").alias("text"))
 
 
