@@ -147,4 +147,21 @@ SELECT doc_id, v.name AS parser_name, array_to_string(list_concat(['Draft', ''],
 SELECT doc_id, ['own', 'other', 'list'][doc_id % 4 + 1] AS adapter_key, coalesce(source, 's') AS full_text, 1::BIGINT AS n_blocks FROM documents WHERE doc_id % 4 < 3""",
     "truths_of_owner": """
 SELECT o_orderkey AS truth_id, CAST(o_custkey AS VARCHAR) AS document_id, c_name AS document_filename FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey = 7""",
+    "preflight_of_cases": f"""
+WITH RECURSIVE {_SEGMENTS.replace("length(CAST(doc_id AS VARCHAR))", "1").replace("length(CAST(s.doc_id AS VARCHAR))", "1")},
+sums AS (SELECT doc_id, max(batch) + 1 AS batches FROM packed GROUP BY doc_id)
+SELECT CAST(s.doc_id AS VARCHAR) AS case_id, batches, 3::BIGINT AS questions, length(t.text) AS input_characters, 10 * (batches + 3) AS calls, 10 * (batches * 12000 + 3 * 1200) AS max_output_tokens
+FROM sums s JOIN texts t ON s.doc_id = t.doc_id""",
+    "pairs_of_runs": """
+WITH places AS (SELECT conv_id, turn, length(text) AS n, count(*) OVER (PARTITION BY conv_id ORDER BY turn DESC) - 1 AS later FROM conversations)
+SELECT conv_id AS experiment_id, CAST(sum(later) AS BIGINT) AS n, CAST(sum(n * later) AS BIGINT) AS base_chars, 'all' AS kind FROM places GROUP BY conv_id HAVING sum(later) > 0
+UNION ALL SELECT conv_id, later, n * later, 'first' FROM places WHERE turn = 0 AND later > 0""",
+    "questions_with_blocks": """
+SELECT 'c' AS case_id, c_name AS question_id, CAST(c_custkey AS VARCHAR) AS document_id, c_mktsegment AS question FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderkey % 5 = 0)""",
+    "matches_by_rule": r"""
+WITH coded AS (SELECT o_orderkey, len(regexp_extract_all(o_orderpriority, '\d-[A-Z]+')) AS n_code, regexp_replace(o_orderpriority, '\d-[A-Z]+', '[CODE]', 'g') AS text FROM orders)
+SELECT o_orderkey, n_code, len(regexp_extract_all(text, '[A-Z]{2,}')) AS n_word, regexp_replace(text, '[A-Z]{2,}', '[WORD]', 'g') AS masked FROM coded""",
+    "stages_of_runs": """
+SELECT event_id AS run_id, 0::BIGINT AS stage_at, 'parse' AS stage, '{"event_type":"' || event_type || '"}' AS "row" FROM events
+UNION ALL SELECT event_id, 1, 'score', '{"user":' || user_id || '}' FROM events WHERE user_id % 2 = 0""",
 }

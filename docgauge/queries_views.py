@@ -246,11 +246,49 @@ def truths_of_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
     return operations.with_documents(truths, documents, "7").select("truth_id", "document_id", "document_filename")
 
 
+def preflight_of_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches, calls, output tokens and input characters that a study of documents with three questions each would take."""
+    rows = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("case_id"), F.lit("b").alias("block_id"), F.coalesce("text", F.lit("")).alias("text"))
+    packed = retrieval.batches(retrieval.segments(rows, 1000), ["case_id"], ["segment_at"], 4000)
+    questions = rows.select("case_id", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("question_id"))
+    found = retrieval.preflight(rows.select("case_id").distinct(), packed, questions, 2, list(repair.CONDITIONS), (12_000, 1_200))
+    return found.select("case_id", *[F.col(c).cast("long").alias(c) for c in ("batches", "questions", "input_characters", "calls", "max_output_tokens")])
+
+
+def pairs_of_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of turns of each conversation as runs of an experiment, all of them and those with the first turn, by number and texts."""
+    texts = _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("experiment_id"), F.lpad(F.col("turn").cast("string"), 9, "0").alias("run_id"), F.col("text"))
+    counted = lambda pairs, name: pairs.groupBy("experiment_id").agg(F.count("*").alias("n"), F.sum(F.length("base")).alias("base_chars")).withColumn("kind", F.lit(name))
+    return counted(compare.run_pairs(texts), "all").unionByName(counted(compare.run_pairs(texts, "000000000"), "first"))
+
+
+def questions_with_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions on customers that have orders; other fields of questions stay behind."""
+    questions = _table(spark, sf_dir, "customer").select(F.lit("c").alias("case_id"), F.col("c_name").alias("question_id"), F.col("c_custkey").cast("string").alias("document_id"), F.col("c_mktsegment").alias("question"), F.col("c_acctbal").alias("answer"))
+    blocks = _table(spark, sf_dir, "orders").filter("o_orderkey % 5 = 0").select(F.col("o_custkey").cast("string").alias("document_id"))
+    return repair.matching_questions(questions, blocks)
+
+
+def matches_by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches of a registered list of rules, each on what the ones before it left."""
+    masking.register_masker("orders", (("CODE", r"\d-[A-Z]+"), ("WORD", r"[A-Z]{2,}")))
+    rows = _table(spark, sf_dir, "orders").select("o_orderkey", masking.match_counts(F.col("o_orderpriority"), "orders").alias("m"), masking.masked(F.col("o_orderpriority"), "orders").alias("masked"))
+    return rows.select("o_orderkey", F.col("m")["CODE"].cast("long").alias("n_code"), F.col("m")["WORD"].cast("long").alias("n_word"), "masked")
+
+
+def stages_of_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of two stages of events as one trace, by stage and type."""
+    events = _table(spark, sf_dir, "events").select(F.col("event_id").alias("run_id"), "event_type", "user_id")
+    whole = operations.trace({"parse": events.select("run_id", "event_type"), "score": events.filter("user_id % 2 = 0").select("run_id", F.col("user_id").alias("user"))}, ["run_id"])
+    return whole.select("run_id", F.col("stage_at").cast("long").alias("stage_at"), "stage", "row")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         file_catalog, outputs_of_folders, pages_of_results, artifact_rows, merged_configurations, percentiles_of_values, dataset_changes, changed_ranges, rebuilt_turns, span_places,
         masking_inputs, blocks_for_research, chosen_questions, grid_of_conditions, runs_of_connectors, upserted_scores, inputs_of_batches,
         runner_gate, execution_gate, pages_of_pipelines, variants_with_prefix, results_by_adapter, truths_of_owner,
+        preflight_of_cases, pairs_of_runs, questions_with_blocks, matches_by_rule, stages_of_runs,
     )
 }
