@@ -56,7 +56,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     with cleaned(spark):
         df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made.stored_at = path
+    return made
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes stored() tables that nothing will read again: all that was made of them has been stored."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def clear(spark: SparkSession, run: str | None = None) -> None:
