@@ -4,7 +4,9 @@ Two texts are linked if the Jaccard similarity of their sets of 5-word shingles
 more.  A 64-bit fingerprint can't promise to find such pairs (at 0.8 about ten bits differ,
 so that no positional byte need be shared); here no pair is lost:
 
-1. Texts that are equal up to case and white space are collapsed.
+1. Texts that are equal up to case and white space are collapsed.  Of the rest, SimHash
+   fingerprints that differ in two bits at most (``simhash.links``) give the first candidates;
+   those similar by their shingles are linked, and what they connect isn't compared again.
 2. All shingles are put in one order, and a text of n shingles is posted under its first
    n - ceil(0.8 n) + 1 ones.  Similar texts share a posting, the first shingle that both
    hold.  The order is by hash with frequent shingles last (which ones count as frequent
@@ -30,9 +32,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docgauge.llm import simhash
 from docgauge.llm.components import components
 from docgauge.llm.stage import doc_key, free_name, release, stored, whole_text
 from docgauge.llm.words import window_hashes, word_codes
@@ -40,6 +43,8 @@ from docgauge.llm.words import window_hashes, word_codes
 NEAR_WORDS = 5
 SIMILARITY = 0.8
 SMALL_POSTING = 32
+#: Members of a list of own shingles up to which all pairs are counted; few, so that their number grows with the members.
+SMALL_OWN = 6
 #: Frequent shingles that are broadcast at most, the most frequent ones.
 FREQUENT = 50_000
 _SLACK = 1e-9
@@ -149,23 +154,54 @@ def _small_pairs(lists: DataFrame, keys: list[str], member: list[str], fits: Col
     return few.select(*keys, "x", F.explode("members").alias("y")).filter((F.col("x.first") < F.col("y.first")) & fits)
 
 
-def near_links(texts: DataFrame, words: int = NEAR_WORDS, similarity: float = SIMILARITY, small: int = SMALL_POSTING) -> DataFrame:
-    """a, b: links between similar texts (first, text), enough of them to connect all similar ones."""
+def fingerprint(found: np.ndarray) -> int:
+    """SimHash of a set of shingle hashes as a signed number: a bit is set if more than half of them set it; 0 without any."""
+    mixed = found.view("uint64") * np.uint64(0x9E3779B97F4A7C15)
+    mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    mixed ^= mixed >> np.uint64(29)
+    ones = np.zeros(64, "int64")
+    for at in range(0, len(mixed), 65_536):
+        ones += np.unpackbits(mixed[at : at + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype="int64")
+    return int(np.packbits(2 * ones > len(mixed), bitorder="little").view("<i8")[0])
+
+
+def simhash_candidates(texts: DataFrame, words: int = NEAR_WORDS) -> DataFrame:
+    """a, b: pairs of texts whose SimHash fingerprints differ in two bits at most, enough of them to connect all such texts."""
+
+    def marked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"fingerprint": np.array([fingerprint(shingles(t, words)) for t in b["text"]], "int64"), "first": b["first"]})
+
+    each = stored(texts.select("first", "text").mapInPandas(marked, "fingerprint long, first long"), "near-fingerprints")
+    distinct = stored(each.groupBy("fingerprint").agg(F.min("first").alias("least")), "near-distinct")
+    equal = each.join(distinct.hint("shuffle_hash"), "fingerprint").filter("first <> least").select(F.col("least").alias("a"), F.col("first").alias("b"))
+    other = simhash.links(distinct.withColumnRenamed("least", "first"))
+    return equal.union(other.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+
+
+def near_links(texts: DataFrame, words: int = NEAR_WORDS, similarity: float = SIMILARITY, small: int | None = None) -> DataFrame:
+    """a, b: links between similar texts (first, text), enough of them to connect all similar ones.
+
+    small: what counts as a large list, of postings and of own shingles (SMALL_POSTING and SMALL_OWN by default).
+    """
+    small, small_own = (SMALL_POSTING, SMALL_OWN) if small is None else (small, small)
     frequent = texts.sparkSession.sparkContext.broadcast(_frequent(texts, words))
     compare = lambda pairs, name: _compared(pairs, texts, words, similarity, frequent, name)
-    postings = stored(_postings(texts, words, similarity, frequent), "near-postings")
-    centre = F.min(F.struct("rare", "first"))["first"].alias("centre")
-    sizes = stored(postings.groupBy("posting").agg(F.count("*").alias("size"), centre).filter("size > 1"), "near-sizes")
-    shared = stored(postings.join(sizes.hint("shuffle_hash"), "posting"), "near-shared")
-    release(postings, sizes)
+    by_bits = compare(simhash_candidates(texts, words).withColumn("star", F.lit(False)), "near-simhash").filter("similar").select("a", "b")
+    posting = Window.partitionBy("posting")
+    centre = F.min(F.struct("rare", "first")).over(posting)["first"]
+    shared = stored(_postings(texts, words, similarity, frequent).withColumns({"size": F.count("*").over(posting), "centre": centre}).filter("size > 1"), "near-shared")
     fitting = _small_pairs(shared.filter(F.col("size") <= small), ["posting"], ["first", "n", "at"], _fit("x", "y", similarity)).select(F.col("x.first").alias("a"), F.col("y.first").alias("b"))
     starred = shared.filter((F.col("size") > small) & (F.col("first") != F.col("centre"))).select(F.col("centre").alias("a"), F.col("first").alias("b"), F.lit(True).alias("star"))
     pairs = stored(fitting.withColumn("star", F.lit(False)).union(starred).groupBy("a", "b").agg(F.max("star").alias("star")), "near-pairs")
     release(shared)
-    first = compare(pairs, "near-first")
+    # Members of a centre are compared with it in any case: what they share with it tells them apart.
+    known = _parts(by_bits)
+    open_ = _with_parts(stored(_with_parts(pairs, known, "b", "part"), "near-half-placed"), known, "a", "home").filter("star OR part <> home").select("a", "b", "star")
+    first = compare(open_, "near-first")
     release(pairs)
-    found = first.filter("similar").select("a", "b")
-    return found.union(_apart(first.filter("own IS NOT NULL"), found, compare, similarity, small))
+    found = first.filter("similar").select("a", "b").union(by_bits)
+    return found.union(_apart(first.filter("own IS NOT NULL"), found, compare, similarity, small_own))
 
 
 def _parts(links: DataFrame) -> DataFrame:

@@ -122,3 +122,19 @@ def test_candidates_of_a_large_group_grow_with_it(spark):
     finally:
         near._compared = plain
     assert links >= 900 and sum(compared) < 20 * len(texts), compared
+
+
+def test_simhash_gives_the_first_candidates(spark, monkeypatch):
+    """Fingerprints of near copies meet first, and what they connect isn't compared again."""
+    draw = random.Random(21)
+    base = [f"w{draw.randrange(10**6)}" for _ in range(4000)]
+    texts = [base, *[edited(draw, base, 1) for _ in range(6)], *[[f"v{draw.randrange(10**6)}" for _ in range(300)] for _ in range(5)]]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "first long, text string")
+    bits = [near.fingerprint(near.shingles(" ".join(t))) for t in texts]
+    close = {(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if ((bits[a] ^ bits[b]) & (2**64 - 1)).bit_count() <= 2}
+    found = {(min(r["a"], r["b"]), max(r["a"], r["b"])) for r in near.simhash_candidates(df).collect()}
+    assert found <= close and {x for p in found for x in p} == {x for p in close for x in p} and len(found) >= 3
+    compared, plain = [], near._compared
+    monkeypatch.setattr(near, "_compared", lambda pairs, *rest: (compared.append((rest[-1], pairs.count())), plain(pairs, *rest))[1])
+    near.near_links(df).count()
+    assert compared[0][0] == "near-simhash" and compared[0][1] >= 3 and dict(compared)["near-first"] < 21
