@@ -91,3 +91,20 @@ def test_evaluation_of_long_documents(spark):
     truth = spark.createDataFrame([("d", "t", pages, [])], f"document_id string, full_text string, pages {PAGES}, pii_entities {ENTITIES}")
     row = evaluate(predictions, truth).first()
     assert row["layout_matches_iou50"] == 50 and row["reading_order_accuracy"] == 1.0 and row["reading_order_matched_blocks"] == 50
+
+
+@pytest.mark.parametrize("name", ["tree_results", "pipeline_results", "content_list_results"])
+def test_normalizers_run_once(name, spark):
+    """No filter in front of the blocks works out the normalized pages by itself."""
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter (size(transform(" not in plan and "Filter ((size(transform(" not in plan
+
+
+def test_blocks_of_null_and_empty_pages(spark):
+    from docgauge.operators.structure import blocks_of
+    from docgauge.schemas import PAGES
+
+    block = ("b", "paragraph", 7, 0, "t", None, None, None, None, None, None)
+    docs = [("none", None), ("empty", []), ("bare", [(1, None, None, "", None), (2, None, None, "", [])]), ("two", [(1, None, None, "", [block, None]), (9, None, None, "", [block])])]
+    rows = blocks_of(spark.createDataFrame(docs, f"run_id string, pages {PAGES}"), ["run_id"]).select("run_id", "page_number", "page_at", "source_index", "id").collect()
+    assert sorted(map(tuple, rows), key=str) == sorted([("two", 1, 0, 0, "b"), ("two", 1, 0, 1, None), ("two", 9, 1, 0, "b")], key=str)
