@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from docgauge.functions.columns import csv_safe, normalize_space
 from docgauge.functions.distances import kept
+from docgauge.functions.frames import slices
 
 #: A replaced stretch of at most so many characters is aligned by character as well.
 FINE_CHARS = 400
@@ -156,7 +157,9 @@ def text_diffs(pairs: DataFrame, base: str = "base", target: str = "target", nor
     @F.pandas_udf("array<struct<type: string, text: string>>")
     def diffed(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for a, b in batches:
-            yield pd.Series([[{"type": k, "text": t} for k, t in diff_parts(x, y, unit)] if x is not None else None for x, y in zip(a, b, strict=True)], dtype=object)
+            # Texts without much in common have a part for every few characters, so parts of a whole batch would be many times its size.
+            for low, high in slices(a, b):
+                yield pd.Series([[{"type": k, "text": t} for k, t in diff_parts(x, y, unit)] if x is not None else None for x, y in zip(a.iloc[low:high], b.iloc[low:high], strict=True)], dtype=object)
 
     same = F.col(base) == F.col(target)
     whole = F.when(F.col(base) == "", F.array().cast("array<struct<type: string, text: string>>")).otherwise(F.array(F.struct(F.lit("equal").alias("type"), F.col(base).alias("text"))))
