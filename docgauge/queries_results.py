@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docgauge.functions.columns import stable_id
+from docgauge.functions.frames import tasks_for
 from docgauge.operators import benchmark, compare, gates, masking, normalize, operations, repair, retrieval, structure
 from docgauge.plans.evaluate import METRICS, evaluate
 from docgauge.schemas import ENTITIES, PAGES
@@ -182,8 +183,9 @@ def answer_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     questions = orders.select(n.cast("string").alias("question_id"), F.when(n % 13 == 0, "nowhere").otherwise("d").alias("document_id"))
     blocks = orders.select(n.cast("string").alias("block_id"), F.lit("d").alias("document_id"))
     answers = orders.filter(n % 5 != 0).select(n.cast("string").alias("question_id"), F.when(n % 7 == 0, " ").otherwise("yes").alias("answer"), F.array(n.cast("string"), F.when(n % 11 == 0, "gone").otherwise(n.cast("string"))).alias("evidence_block_ids"))
-    found = gates.answer_violations(answers, questions, blocks)
-    payload = gates.payload_violations(blocks, questions)
+    tasks = tasks_for(orders)
+    found = gates.answer_violations(answers, questions, blocks, tasks)
+    payload = gates.payload_violations(blocks, questions, tasks)
     return _counted(found.select("rule").union(payload.select(F.concat(F.lit("payload_"), "rule").alias("rule"))))
 
 
