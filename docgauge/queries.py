@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docgauge.functions.columns import csv_safe, f1_scores, normalize_space, normalize_text, tidy, tokens
+from docgauge.functions.frames import tasks_for
 from docgauge.operators import benchmark, compare, gates, masking, metrics, normalize, operations, repair, retrieval, structure
 
 LETTERS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -182,8 +183,9 @@ def table_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def entity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Span scores of every order."""
-    rows = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("run_id"), F.col("l_returnflag").alias("type"), (F.col("l_linenumber") * 10).alias("start"), (F.col("l_linenumber") * 10 + 5).alias("end"), "l_partkey", "l_suppkey")
-    found = metrics.entity_metrics(rows.filter("l_partkey % 3 <> 0"), rows.filter("l_suppkey % 4 <> 0"))
+    lines = _table(spark, sf_dir, "lineitem")
+    rows = lines.select(F.col("l_orderkey").cast("string").alias("run_id"), F.col("l_returnflag").alias("type"), (F.col("l_linenumber") * 10).alias("start"), (F.col("l_linenumber") * 10 + 5).alias("end"), "l_partkey", "l_suppkey")
+    found = metrics.entity_metrics(rows.filter("l_partkey % 3 <> 0"), rows.filter("l_suppkey % 4 <> 0"), tasks_for(lines))
     counts = ["ground_truth_pii_entities", "prediction_pii_entities", "matched_pii_entities"]
     return found.select("run_id", *counts, *[tidy(F.col(c)).alias(c) for c in ("pii_precision", "pii_recall", "pii_f1", "pii_leakage_rate", "pii_overmask_rate")])
 

@@ -49,3 +49,29 @@ def test_chunk_bounds_are_found_once(spark):
     for r in retrieval.chunks(blocks, 50, 10).collect():
         found.setdefault(int(r["block_id"]), []).append((r["chunk_at"], r["start"], r["end"], r["chunk"]))
     assert {i: sorted(f) for i, f in found.items()} == {i: [(k, a, b, t[a:b]) for k, (a, b) in enumerate(retrieval.chunk_bounds(t, 50, 10))] for i, t in enumerate(texts) if t}
+
+
+def test_tasks_follow_the_rows(spark, monkeypatch):
+    from docgauge.functions import frames
+
+    monkeypatch.setattr(frames, "TASK_ROWS", 10)
+    assert frames.tasks_for(spark.range(995)) == 100
+    for name, n in (("entity_scores", 600), ("answer_gate", 150)):
+        assert re.search(rf"hashpartitioning\([^)]*, {n}\), REPARTITION_BY_NUM", plan(__spark_entry__.queries()[name](spark, SF)))
+
+
+def test_digits_of_inversions_are_dealt_anew(spark):
+    found = plan(__spark_entry__.queries()["crossed_lines"](spark, SF))
+    assert re.search(r"hashpartitioning\(supplier#\d+L?, level#\d+, above#\d+L?, \d+\)", found)
+
+
+def test_inversions_equal_brute_force(spark):
+    import random
+
+    from docgauge.operators import metrics
+
+    random.seed(3)
+    groups = {n: random.sample(range(1000), n) for n in (1, 2, 3, 4, 5, 16, 17, 64, 65, 200)}
+    rows = spark.createDataFrame([(str(n), p, g) for n, gs in groups.items() for p, g in enumerate(gs)], "run_id string, p int, g int")
+    found = {r["run_id"]: (r["n_matched"], r["n_inversions"]) for r in metrics.inversions(rows).collect()}
+    assert found == {str(n): (n, sum(gs[i] > gs[j] for i in range(n) for j in range(i + 1, n))) for n, gs in groups.items()}
