@@ -10,11 +10,15 @@ so that no positional byte need be shared); here no pair is lost:
 2. All shingles are put in one order, and a text of n shingles is posted under its first
    n - ceil(0.8 n) + 1 ones.  Similar texts share a posting, the first shingle that both
    hold.  The order is by hash with frequent shingles last (which ones count as frequent
-   changes the work, never the result), so what many texts quote is rarely posted.
+   changes the work, never the result), so what many texts quote is rarely posted.  What would
+   be posted is counted over all texts for that, so no frequent shingle is missed because
+   each task holds it once or twice.
 3. Pairs of a posting pass if sizes and places allow the similarity.  In a posting of more
    than ``SMALL_POSTING`` texts all are compared with its centre, the text of the fewest rare
    shingles (of copies of one text that is the text itself, as edits are rare).
-4. Candidates are verified on all their shingles (64-bit hashes of the words), then components are formed.
+4. Candidates whose bitmaps differ too much go: a bit is the parity of the shingles in its cell,
+   so shared ones cancel, and as many bits differ as shingles at most.  The rest are verified on
+   all their shingles (64-bit hashes of the words), then components are formed.
 5. Members of a centre that this leaves in different components are told apart by what they
    have beyond it.  Let x and y share a and b shingles with the centre.  They have at most
    min(a, b) of these in common, so to be similar they share shingles of their own, or min(a, b)
@@ -46,7 +50,7 @@ SMALL_POSTING = 32
 #: Members of a list of own shingles up to which all pairs are counted; few, so that their number grows with the members.
 SMALL_OWN = 6
 #: Frequent shingles that are broadcast at most, the most frequent ones.
-FREQUENT = 50_000
+FREQUENT = 200_000
 _SLACK = 1e-9
 
 
@@ -65,22 +69,42 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> boo
     return shared >= similarity * (len(a) + len(b) - shared) - _SLACK
 
 
-def _frequent(texts: DataFrame, words: int) -> np.ndarray:
-    """Shingles that many texts hold, sorted; rare ones are passed over task by task."""
+def _posted(n: int, similarity: float) -> int:
+    """Shingles that a text of n posts: the fewest that meet any similar text."""
+    return max(n - math.ceil(similarity * n - _SLACK) + 1, 0)
+
+
+def _frequent(texts: DataFrame, words: int, similarity: float) -> np.ndarray:
+    """Shingles that many texts hold, sorted.
+
+    All that a text would post by hash alone are counted, and a tenth more, as what is put
+    last lets others in; of those behind only what a task holds more than twice.
+    """
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            value, n = np.unique(np.concatenate([np.empty(0, "int64"), *[shingles(t, words) for t in b["text"]]]), return_counts=True)
-            yield pd.DataFrame({"posting": value[n > 2], "n": n[n > 2].astype("int64")})
-
-    counts = texts.select("text").mapInPandas(counted, "posting long, n long").groupBy("posting").agg(F.sum("n").alias("n"))
+            for low in range(0, len(b), 2000):
+                found = [np.empty(0, "int64"), *[shingles(t, words) for t in b["text"].iloc[low : low + 2000]]]
+                value, n = np.unique(np.concatenate(found), return_counts=True)
+                kept = n > 2
+                kept[np.searchsorted(value, np.concatenate([x[: math.ceil(1.1 * _posted(len(x), similarity))] for x in found]))] = True
+                yield pd.DataFrame({"posting": value[kept], "n": n[kept].astype("int32")})
+
+    counts = texts.select("text").mapInPandas(counted, "posting long, n int").groupBy("posting").agg(F.sum("n").alias("n"))
     rows = counts.filter(F.col("n") > SMALL_POSTING).orderBy(F.desc("n"), "posting").limit(FREQUENT).collect()
     return np.sort(np.array([r["posting"] for r in rows], "int64"))
 
 
+def _among(found: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Which of found are in last (sorted)."""
+    if not len(last):
+        return np.zeros(len(found), bool)
+    return last[np.minimum(np.searchsorted(last, found), len(last) - 1)] == found
+
+
 def _prefix(found: np.ndarray, last: np.ndarray, shared: int) -> tuple[np.ndarray, int]:
     """The first of found in the common order, enough to meet any other set that shares so many; how many of found are rare."""
-    often = np.isin(found, last)
+    often = _among(found, last)
     return found[np.lexsort((found, often))][: max(len(found) - shared + 1, 0)], int(len(found) - np.count_nonzero(often))
 
 
@@ -165,14 +189,52 @@ def fingerprint(found: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(mixed), bitorder="little").view("<i8")[0])
 
 
-def simhash_candidates(texts: DataFrame, words: int = NEAR_WORDS) -> DataFrame:
-    """a, b: pairs of texts whose SimHash fingerprints differ in two bits at most, enough of them to connect all such texts."""
+def bitmap(found: np.ndarray) -> bytes:
+    """Parities of a set of shingle hashes in twice as many cells or more, a power of two; the halves of a larger one, folded, are a smaller one."""
+    cells = max(64, 1 << (2 * len(found)).bit_length())
+    at = (found.view("uint64") * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) & np.uint64(cells - 1)
+    return np.packbits(np.bincount(at.astype("int64"), minlength=cells) & 1, bitorder="little").tobytes()
+
+
+def differing(x: bytes, y: bytes) -> int:
+    """Shingles at least that one of the sets with these bitmaps holds and the other doesn't."""
+    x, y = sorted((x, y), key=len)
+    one, two, bits = int.from_bytes(x, "little"), int.from_bytes(y, "little"), 8 * len(y)
+    while bits > 8 * len(x):
+        bits //= 2
+        two = two >> bits ^ two & (1 << bits) - 1
+    return (one ^ two).bit_count()
+
+
+def _marks(texts: DataFrame, words: int) -> DataFrame:
+    """first, n (shingles), fingerprint and bitmap of each text, stored."""
 
     def marked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"fingerprint": np.array([fingerprint(shingles(t, words)) for t in b["text"]], "int64"), "first": b["first"]})
+            for low in range(0, len(b), 1000):
+                part = b.iloc[low : low + 1000]
+                each = [(len(x), fingerprint(x), bitmap(x)) for x in (shingles(t, words) for t in part["text"])]
+                yield pd.DataFrame(each, columns=["n", "fingerprint", "bits"]).assign(first=part["first"].to_numpy())
+
+    return stored(texts.select("first", "text").mapInPandas(marked, "n int, fingerprint long, bits binary, first long"), "near-marks")
+
 
-    each = stored(texts.select("first", "text").mapInPandas(marked, "fingerprint long, first long"), "near-fingerprints")
+def _sifted(pairs: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
+    """pairs (a, b, star) without those whose bitmaps tell that they aren't similar; star pairs stay."""
+
+    @F.pandas_udf("boolean")
+    def possible(n: pd.Series, x: pd.Series, m: pd.Series, y: pd.Series) -> pd.Series:
+        both = zip(n.tolist(), x, m.tolist(), y, strict=True)
+        return pd.Series([(i + j - differing(p, q)) / 2 >= (i + j) * (similarity / (1 + similarity)) - _SLACK for i, p, j, q in both], dtype=bool)
+
+    side = lambda c: marks.select(F.col("first").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
+    met = pairs.filter("NOT star").join(side("b").hint("merge"), "b").join(side("a").hint("merge"), "a")
+    return met.filter(possible("n_a", "bits_a", "n_b", "bits_b")).select("a", "b", "star").union(pairs.filter("star").select("a", "b", "star"))
+
+
+def simhash_candidates(texts: DataFrame, words: int = NEAR_WORDS, marks: DataFrame | None = None) -> DataFrame:
+    """a, b: pairs of texts whose SimHash fingerprints differ in two bits at most, enough of them to connect all such texts."""
+    each = (marks or _marks(texts, words)).select("fingerprint", "first")
     distinct = stored(each.groupBy("fingerprint").agg(F.min("first").alias("least")), "near-distinct")
     equal = each.join(distinct.hint("shuffle_hash"), "fingerprint").filter("first <> least").select(F.col("least").alias("a"), F.col("first").alias("b"))
     other = simhash.links(distinct.withColumnRenamed("least", "first"))
@@ -185,9 +247,10 @@ def near_links(texts: DataFrame, words: int = NEAR_WORDS, similarity: float = SI
     small: what counts as a large list, of postings and of own shingles (SMALL_POSTING and SMALL_OWN by default).
     """
     small, small_own = (SMALL_POSTING, SMALL_OWN) if small is None else (small, small)
-    frequent = texts.sparkSession.sparkContext.broadcast(_frequent(texts, words))
-    compare = lambda pairs, name: _compared(pairs, texts, words, similarity, frequent, name)
-    by_bits = compare(simhash_candidates(texts, words).withColumn("star", F.lit(False)), "near-simhash").filter("similar").select("a", "b")
+    frequent = texts.sparkSession.sparkContext.broadcast(_frequent(texts, words, similarity))
+    marks = _marks(texts, words)
+    compare = lambda pairs, name: _compared(_sifted(pairs, marks, similarity), texts, words, similarity, frequent, name)
+    by_bits = compare(simhash_candidates(texts, words, marks).withColumn("star", F.lit(False)), "near-simhash").filter("similar").select("a", "b")
     posting = Window.partitionBy("posting")
     centre = F.min(F.struct("rare", "first")).over(posting)["first"]
     shared = stored(_postings(texts, words, similarity, frequent).withColumns({"size": F.count("*").over(posting), "centre": centre}).filter("size > 1"), "near-shared")

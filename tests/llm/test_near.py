@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from docgauge.llm import near
@@ -138,3 +139,28 @@ def test_simhash_gives_the_first_candidates(spark, monkeypatch):
     monkeypatch.setattr(near, "_compared", lambda pairs, *rest: (compared.append((rest[-1], pairs.count())), plain(pairs, *rest))[1])
     near.near_links(df).count()
     assert compared[0][0] == "near-simhash" and compared[0][1] >= 3 and dict(compared)["near-first"] < 21
+
+
+def test_bitmaps_never_tell_similar_texts_apart():
+    draw = random.Random(5)
+    for n in (0, 1, 31, 32, 33, 700):
+        for m in (0, 1, 40, 5000):
+            x, y = (np.unique(np.array([draw.randrange(-(2**63), 2**63) for _ in range(k)], "int64")) for k in (n, m))
+            shared = x[: min(n, m) // 2]
+            y = np.union1d(y[: m - len(shared)], shared)
+            real = len(np.setxor1d(x, y))
+            assert near.differing(near.bitmap(x), near.bitmap(y)) <= real and near.differing(near.bitmap(y), near.bitmap(x)) <= real
+    far = [np.unique(np.array([draw.randrange(-(2**63), 2**63) for _ in range(450)], "int64")) for _ in range(2)]
+    assert near.differing(*map(near.bitmap, far)) > 300
+
+
+def test_a_passage_spread_over_many_tasks_is_frequent(spark, monkeypatch):
+    """Unrelated texts that quote one passage, two of them in a task: none is posted under it or compared."""
+    draw = random.Random(3)
+    passage = [f"p{i}" for i in range(40)]
+    words = lambda: [f"w{draw.randrange(10**6)}" for _ in range(200)]
+    texts = [" ".join(words() + passage + words()) for _ in range(64)]
+    df = spark.createDataFrame(list(enumerate(texts)), "first long, text string").repartitionByRange(32, "first")
+    compared, plain = [], near._compared
+    monkeypatch.setattr(near, "_compared", lambda pairs, *rest: (compared.append(pairs.count()), plain(pairs, *rest))[1])
+    assert near.near_links(df).count() == 0 and sum(compared) == 0, compared
