@@ -9,8 +9,9 @@ so that no positional byte need be shared); here no pair is lost:
    those similar by their shingles are linked, and what they connect isn't compared again.
 2. All shingles are put in one order, and a text of n shingles is posted under its first
    n - ceil(0.8 n) + 1 ones.  Similar texts share a posting, the first shingle that both
-   hold.  The order is by hash with frequent shingles last (which ones count as frequent
-   changes the work, never the result), so what many texts quote is rarely posted.  What would
+   hold.  The order is by hash with frequent shingles last, the most frequent at the very end
+   (which ones count as frequent changes the work, never the result), so what many texts
+   quote is rarely posted.  What would
    be posted is counted over all texts for that, so no frequent shingle is missed because
    each task holds it once or twice.
 3. Pairs of a posting pass if sizes and places allow the similarity.  In a posting of more
@@ -25,7 +26,11 @@ so that no positional byte need be shared); here no pair is lost:
    is enough by itself.  For the first, members are posted once more under the first of their
    own shingles, few for near copies; the second can't be where y isn't smaller than a centre
    that x is not similar to, so only members apart from the centre meet smaller members.
-   Lists of own shingles that are large again have a centre as well, before their rest is paired.
+   A pair is due only under the centre of the first shingle that it shares, so members meet
+   only where their places in its postings allow the similarity.
+   Lists of own shingles that are large again have a centre as well, before their rest is paired:
+   where sizes and places allow it at the first own shingle that a pair shares, for which the
+   smaller of the two needs the ninth of its shingles only.
 """
 
 from __future__ import annotations
@@ -74,8 +79,8 @@ def _posted(n: int, similarity: float) -> int:
     return max(n - math.ceil(similarity * n - _SLACK) + 1, 0)
 
 
-def _frequent(texts: DataFrame, words: int, similarity: float) -> np.ndarray:
-    """Shingles that many texts hold, sorted.
+def _frequent(texts: DataFrame, words: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many texts hold, sorted, and the place of each by how many hold it (from 1, the most frequent last).
 
     All that a text would post by hash alone are counted, and a tenth more, as what is put
     last lets others in; of those behind only what a task holds more than twice.
@@ -92,20 +97,24 @@ def _frequent(texts: DataFrame, words: int, similarity: float) -> np.ndarray:
 
     counts = texts.select("text").mapInPandas(counted, "posting long, n int").groupBy("posting").agg(F.sum("n").alias("n"))
     rows = counts.filter(F.col("n") > SMALL_POSTING).orderBy(F.desc("n"), "posting").limit(FREQUENT).collect()
-    return np.sort(np.array([r["posting"] for r in rows], "int64"))
+    value = np.array([r["posting"] for r in rows], "int64")
+    by_value = np.argsort(value)
+    return value[by_value], len(value) - by_value
 
 
-def _among(found: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Which of found are in last (sorted)."""
-    if not len(last):
-        return np.zeros(len(found), bool)
-    return last[np.minimum(np.searchsorted(last, found), len(last) - 1)] == found
+def _places(found: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The place of each of found among the frequent shingles, 0 for rare ones."""
+    value, place = frequent
+    if not len(value):
+        return np.zeros(len(found), "int64")
+    at = np.minimum(np.searchsorted(value, found), len(value) - 1)
+    return np.where(value[at] == found, place[at], 0)
 
 
-def _prefix(found: np.ndarray, last: np.ndarray, shared: int) -> tuple[np.ndarray, int]:
+def _prefix(found: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], shared: int) -> tuple[np.ndarray, int]:
     """The first of found in the common order, enough to meet any other set that shares so many; how many of found are rare."""
-    often = _among(found, last)
-    return found[np.lexsort((found, often))][: max(len(found) - shared + 1, 0)], int(len(found) - np.count_nonzero(often))
+    place = _places(found, frequent)
+    return found[np.lexsort((found, place))][: max(len(found) - shared + 1, 0)], int(len(found) - np.count_nonzero(place))
 
 
 def _postings(texts: DataFrame, words: int, similarity: float, frequent) -> DataFrame:
@@ -139,34 +148,36 @@ def _fit(x: str, y: str, similarity: float) -> Column:
     return F.least(n - i, m - j) >= _needed(n, m, similarity)
 
 
-_COMPARED = "a long, b long, similar boolean, n_a int, n int, shared int, own array<long>"
+_COMPARED = "a long, b long, similar boolean, at int, n_a int, n int, shared int, own array<long>"
+#: at of pairs that aren't star pairs.
+_PLAIN = -1
 
 
 def _compared(pairs: DataFrame, texts: DataFrame, words: int, similarity: float, frequent, name: str) -> DataFrame:
-    """a, b, similar of pairs (a, b, star), stored; of star pairs also sizes, what they share, and the first own shingles of b."""
+    """a, b, similar of pairs (a, b, at), stored; of star pairs also at, sizes, what they share, and the first own shingles of b."""
 
     def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, known = None, None
         for b in batches:
             for low in range(0, len(b), 1000):
                 out = []
-                for one, two, star, x, y in b.iloc[low : low + 1000][["a", "b", "star", "text_a", "text_b"]].itertuples(index=False):
+                for one, two, at, x, y in b.iloc[low : low + 1000][["a", "b", "at", "text_a", "text_b"]].itertuples(index=False):
                     if one != last:  # successive pairs often share a text
                         last, known = one, shingles(x, words)
                     other = shingles(y, words)
-                    if not star:
-                        out.append((one, two, similar(known, other, similarity), 0, 0, 0, None))
+                    if at == _PLAIN:
+                        out.append((one, two, similar(known, other, similarity), at, 0, 0, 0, None))
                         continue
                     own = np.setdiff1d(other, known, assume_unique=True)
                     shared, n = len(other) - len(own), len(other)
                     alike = shared >= similarity * (len(known) + len(own)) - _SLACK
                     first, _ = _prefix(own, frequent.value, max(1, math.ceil(similarity * n - shared - _SLACK)))
-                    out.append((one, two, alike, len(known), n, shared, first))
-                yield pd.DataFrame(out, columns=["a", "b", "similar", "n_a", "n", "shared", "own"])
+                    out.append((one, two, alike, at, len(known), n, shared, first))
+                yield pd.DataFrame(out, columns=["a", "b", "similar", "at", "n_a", "n", "shared", "own"])
 
     side = lambda c: texts.select(F.col("first").alias(c), F.col("text").alias(f"text_{c}"))
     # Written out, so that the second join deals the pairs anew and Spark can split a centre with very many members.
-    half = stored(pairs.select("a", "b", "star").join(side("b").hint("merge"), "b"), "near-half")
+    half = stored(pairs.select("a", "b", "at").join(side("b").hint("merge"), "b"), "near-half")
     made = stored(half.join(side("a").hint("merge"), "a").mapInPandas(compared, _COMPARED), name)
     release(half)
     return made
@@ -220,7 +231,7 @@ def _marks(texts: DataFrame, words: int) -> DataFrame:
 
 
 def _sifted(pairs: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
-    """pairs (a, b, star) without those whose bitmaps tell that they aren't similar; star pairs stay."""
+    """pairs (a, b, at) without those whose bitmaps tell that they aren't similar; star pairs stay."""
 
     @F.pandas_udf("boolean")
     def possible(n: pd.Series, x: pd.Series, m: pd.Series, y: pd.Series) -> pd.Series:
@@ -228,8 +239,8 @@ def _sifted(pairs: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
         return pd.Series([(i + j - differing(p, q)) / 2 >= (i + j) * (similarity / (1 + similarity)) - _SLACK for i, p, j, q in both], dtype=bool)
 
     side = lambda c: marks.select(F.col("first").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
-    met = pairs.filter("NOT star").join(side("b").hint("merge"), "b").join(side("a").hint("merge"), "a")
-    return met.filter(possible("n_a", "bits_a", "n_b", "bits_b")).select("a", "b", "star").union(pairs.filter("star").select("a", "b", "star"))
+    met = pairs.filter(F.col("at") == _PLAIN).join(side("b").hint("merge"), "b").join(side("a").hint("merge"), "a")
+    return met.filter(possible("n_a", "bits_a", "n_b", "bits_b")).select("a", "b", "at").union(pairs.filter(F.col("at") != _PLAIN).select("a", "b", "at"))
 
 
 def simhash_candidates(texts: DataFrame, words: int = NEAR_WORDS, marks: DataFrame | None = None) -> DataFrame:
@@ -250,17 +261,18 @@ def near_links(texts: DataFrame, words: int = NEAR_WORDS, similarity: float = SI
     frequent = texts.sparkSession.sparkContext.broadcast(_frequent(texts, words, similarity))
     marks = _marks(texts, words)
     compare = lambda pairs, name: _compared(_sifted(pairs, marks, similarity), texts, words, similarity, frequent, name)
-    by_bits = compare(simhash_candidates(texts, words, marks).withColumn("star", F.lit(False)), "near-simhash").filter("similar").select("a", "b")
+    by_bits = compare(simhash_candidates(texts, words, marks).withColumn("at", F.lit(_PLAIN)), "near-simhash").filter("similar").select("a", "b")
     posting = Window.partitionBy("posting")
     centre = F.min(F.struct("rare", "first")).over(posting)["first"]
     shared = stored(_postings(texts, words, similarity, frequent).withColumns({"size": F.count("*").over(posting), "centre": centre}).filter("size > 1"), "near-shared")
     fitting = _small_pairs(shared.filter(F.col("size") <= small), ["posting"], ["first", "n", "at"], _fit("x", "y", similarity)).select(F.col("x.first").alias("a"), F.col("y.first").alias("b"))
-    starred = shared.filter((F.col("size") > small) & (F.col("first") != F.col("centre"))).select(F.col("centre").alias("a"), F.col("first").alias("b"), F.lit(True).alias("star"))
-    pairs = stored(fitting.withColumn("star", F.lit(False)).union(starred).groupBy("a", "b").agg(F.max("star").alias("star")), "near-pairs")
+    starred = shared.filter((F.col("size") > small) & (F.col("first") != F.col("centre"))).select(F.col("centre").alias("a"), F.col("first").alias("b"), "at")
+    # at: the first place at which b is posted with the centre a.
+    pairs = stored(fitting.withColumn("at", F.lit(None).cast("int")).union(starred).groupBy("a", "b").agg(F.coalesce(F.min("at"), F.lit(_PLAIN)).alias("at")), "near-pairs")
     release(shared)
     # Members of a centre are compared with it in any case: what they share with it tells them apart.
     known = _parts(by_bits)
-    open_ = _with_parts(stored(_with_parts(pairs, known, "b", "part"), "near-half-placed"), known, "a", "home").filter("star OR part <> home").select("a", "b", "star")
+    open_ = _with_parts(stored(_with_parts(pairs, known, "b", "part"), "near-half-placed"), known, "a", "home").filter((F.col("at") != _PLAIN) | F.expr("part <> home")).select("a", "b", "at")
     first = compare(open_, "near-first")
     release(pairs)
     found = first.filter("similar").select("a", "b").union(by_bits)
@@ -284,22 +296,23 @@ def _apart(stars: DataFrame, found: DataFrame, compare, similarity: float, small
     placed = stored(_with_parts(half, parts, "a", "home"), "near-placed")
     release(half)
     open_ = stored(placed.groupBy("a").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("a"), "near-open")
-    left = stored(placed.join(open_.hint("merge"), "a", "left_semi").select("a", F.col("b").alias("first"), "part", "home", "n_a", "n", "shared", (F.col("n") - F.col("shared")).alias("beyond"), "own"), "near-left")
+    left = stored(placed.join(open_.hint("merge"), "a", "left_semi").select("a", F.col("b").alias("first"), "part", "home", "at", "n_a", "n", "shared", (F.col("n") - F.col("shared")).alias("beyond"), "own"), "near-left")
     release(placed)
     col = lambda side, name: F.col(f"{side}.{name}")
     of = lambda name, which: which(col("x", name), col("y", name))
     differ = col("x", "part") != col("y", "part")
     missing = _needed(col("x", "n"), col("y", "n"), similarity) - of("shared", F.least)
+    due = differ & _fit("x", "y", similarity)
     # What the centre alone allows: members apart from it and smaller ones.
-    x = left.filter("part <> home").select("a", "first", "part", "n", "shared").alias("x")
-    y = left.filter("n < n_a").select("a", "first", "part", "n", "shared").alias("y")
-    through = x.join(y.hint("merge"), (col("x", "a") == col("y", "a")) & differ & (missing <= 0)).select(of("first", F.least).alias("a"), of("first", F.greatest).alias("b"))
+    x = left.filter("part <> home").select("a", "first", "part", "at", "n", "shared").alias("x")
+    y = left.filter("n < n_a").select("a", "first", "part", "at", "n", "shared").alias("y")
+    through = x.join(y.hint("merge"), (col("x", "a") == col("y", "a")) & due & (missing <= 0)).select(of("first", F.least).alias("a"), of("first", F.greatest).alias("b"))
     # What own shingles allow.
-    member = ["first", "part", "n", "shared", "beyond"]
-    own = stored(left.select("a", *member, (F.col("beyond") - F.size("own")).alias("behind"), F.explode("own").alias("shingle")), "near-own")
+    member = ["first", "part", "at", "n", "shared", "beyond"]
+    own = stored(left.select("a", *member, (F.col("beyond") - F.size("own")).alias("behind"), F.posexplode("own").alias("place", "shingle")), "near-own")
     sizes = own.groupBy("a", "shingle").agg(F.count("*").alias("size"), F.min("part").alias("low"), F.max("part").alias("high"), F.min(F.struct("beyond", "first"))["first"].alias("centre")).filter("low < high")
     lists = stored(own.join(stored(sizes, "near-sizes").hint("merge"), ["a", "shingle"]), "near-lists")
-    fits = differ & (missing <= of("beyond", F.least))
+    fits = due & (missing <= of("beyond", F.least))
     release(own)
     large = lists.filter(F.col("size") > small)
     # Own shingles that a pair shares: those of small lists are counted, of the rest no more than a member has can be shared.
@@ -309,16 +322,22 @@ def _apart(stars: DataFrame, found: DataFrame, compare, similarity: float, small
     counted = _small_pairs(few, ["a", "shingle"], [*member, "behind", "large"], fits).select("a", col("x", "first").alias("x"), col("y", "first").alias("y"), open_to.alias("least"))
     pairs = counted.groupBy("a", "x", "y").agg(F.count("*").alias("n"), F.max("least").alias("least")).filter("n >= least").select(F.col("x").alias("a"), F.col("y").alias("b")).union(through)
     more = large.filter("first <> centre").select(F.col("centre").alias("a"), F.col("first").alias("b"))
-    again = compare(pairs.union(more).distinct().withColumn("star", F.lit(False)), "near-second").filter("similar").select("a", "b")
+    again = compare(pairs.union(more).distinct().withColumn("at", F.lit(_PLAIN)), "near-second").filter("similar").select("a", "b")
     if large.isEmpty():
         return again
     parts = _parts(found.union(again))
     rest = stored(_with_parts(large.drop("part", "low", "high"), parts, "first", "part"), "near-rest")
     opened = rest.groupBy("a", "shingle").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("a", "shingle")
-    rest = stored(rest.join(stored(opened, "near-open").hint("merge"), ["a", "shingle"], "left_semi"), "near-rest")
-    x, y = rest.alias("x"), rest.alias("y")
-    both = x.join(y.hint("merge"), (col("x", "a") == col("y", "a")) & (col("x", "shingle") == col("y", "shingle")) & (col("x", "first") < col("y", "first")) & fits)
-    last = compare(both.select(col("x", "first").alias("a"), col("y", "first").alias("b")).distinct().withColumn("star", F.lit(False)), "near-third")
+    rest = rest.join(stored(opened, "near-open").hint("merge"), ["a", "shingle"], "left_semi")
+    # open: own shingles from this one on that others hold.
+    rest = stored(rest.withColumn("open", F.count("*").over(Window.partitionBy("a", "first").orderBy(F.desc("place")))), "near-rest")
+    # What met in no small list meets here at the first own shingle that it shares, and shares only open ones and those behind; y is the smaller one.
+    least = _needed(F.col("n"), F.col("n"), similarity)
+    x, y = rest.alias("x"), rest.filter((F.col("n") - F.col("at") >= least) & (F.col("beyond") - F.col("place") >= least - F.col("shared"))).alias("y")
+    smaller = F.struct("y.n", "y.first") < F.struct("x.n", "x.first")
+    possible = F.least(col("x", "beyond") - col("x", "place"), col("y", "beyond") - col("y", "place"), of("open", F.least) + of("behind", F.greatest))
+    both = x.join(y.hint("merge"), (col("x", "a") == col("y", "a")) & (col("x", "shingle") == col("y", "shingle")) & smaller & due & (missing <= possible))
+    last = compare(both.select(of("first", F.least).alias("a"), of("first", F.greatest).alias("b")).distinct().withColumn("at", F.lit(_PLAIN)), "near-third")
     return again.union(last.filter("similar").select("a", "b"))
 
 

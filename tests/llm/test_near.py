@@ -164,3 +164,16 @@ def test_a_passage_spread_over_many_tasks_is_frequent(spark, monkeypatch):
     compared, plain = [], near._compared
     monkeypatch.setattr(near, "_compared", lambda pairs, *rest: (compared.append(pairs.count()), plain(pairs, *rest))[1])
     assert near.near_links(df).count() == 0 and sum(compared) == 0, compared
+
+
+def test_copies_of_an_absent_text_meet_rarely(spark, monkeypatch):
+    """Copies with so many edits that none is similar to another, their original not among them: pairs that own shingles make are few for each."""
+    draw = random.Random(11)
+    base = [f"w{draw.randrange(10**6)}" for _ in range(300)]
+    texts = [" ".join(edited(draw, base, 9)) for _ in range(120)]
+    made, plain = [], near._sifted
+    monkeypatch.setattr(near, "_sifted", lambda pairs, *rest: (made.append(pairs.count()), plain(pairs, *rest))[1])
+    df = spark.createDataFrame(list(enumerate(texts)), "first long, text string")
+    sets = [set(near.shingles(t).tolist()) for t in texts]
+    assert max(len(a & b) / len(a | b) for a in sets for b in sets if a is not b) < 0.8
+    assert near.near_links(df).count() == 0 and sum(made) < 10 * len(texts), made
